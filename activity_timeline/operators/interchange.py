@@ -7,6 +7,8 @@ one row, longer ones several rows whose texts follow one another.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,13 +111,16 @@ def _audio_head() -> str:
 def document_pieces(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame | None,
                     name: str, width: int = 1920, height: int = 1080) -> DataFrame:
     """The text of all documents as pieces: session_id, n_parts, section, chunk, place, text."""
-    zero = F.lit(0).cast("bigint")
-
-    def piece(df: DataFrame, section, chunk: Column, place: Column, text: Column) -> DataFrame:
-        section = F.lit(section) if isinstance(section, int) else section
-        return df.select(SESSION, "n_parts", section.cast("bigint").alias("section"),
-                         chunk.alias("chunk"), place.cast("bigint").alias("place"),
-                         text.alias("text"))
+    def pieces(df: DataFrame, *texts: tuple, chunk: str | None = None,
+               place: str | None = None) -> DataFrame:
+        """Rows of (section, text) pairs; chunk and place count only in lists of clips or keys."""
+        chunk, place = (F.col(c) if c else F.lit(0) for c in (chunk, place))
+        return df.select(
+            SESSION, "n_parts", chunk.cast("bigint").alias("chunk"),
+            place.cast("bigint").alias("place"), F.inline(F.array(*[
+                F.struct((F.lit(s) if isinstance(s, int) else s).cast("bigint").alias("section"),
+                         (F.lit(t) if isinstance(t, str) else t).alias("text"))
+                for s, t in texts])))
 
     heads = timelines.where(F.col("part") == 0)
     clips = mark_first_use(video_clips(timelines, cameras))
@@ -127,22 +132,19 @@ def document_pieces(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame
         F.when(F.col("is_definition"), _text(_file(6, "video", F.col("file_frames"), fps)))
         .otherwise(_text(reference)),
         F.lit(_closing(5, "clipitem")))
-    tail = _closing(2, "media") + "  </sequence>\n</xmeml>"
-    pieces = [
-        piece(heads, HEAD, zero, zero, _head(name, width, height)),
-        piece(clips, VIDEO, F.col("part"), F.col("seg_idx"), clip_text),
-        piece(heads, VIDEO_END, zero, zero, F.lit(_closing(4, "track", "video"))),
-        piece(heads, TAIL, zero, zero, F.lit(tail)),
+    found = [
+        pieces(heads, (HEAD, _head(name, width, height)),
+               (VIDEO_END, _closing(4, "track", "video")),
+               (TAIL, _closing(2, "media") + "  </sequence>\n</xmeml>")),
+        pieces(clips, (VIDEO, clip_text), chunk="part", place="seg_idx"),
     ]
     if tracks is not None:
         audio = audio_clips(timelines, tracks)
-        with_audio = audio.where(F.col("track") == 0)
-        keys = (keyframes(timelines)
-                .join(audio.select(SESSION, "track"), [SESSION, "track"], "left_semi"))
         # tracks named by any gain event; repeats go inside the row, before the shuffle
         keyed = timelines.select(SESSION, F.explode(F.array_distinct(F.transform(
             "ducking_events", lambda e: e["track_index"]))).alias("track")).distinct()
-        with_keys = audio.join(keyed, [SESSION, "track"], "left_semi")
+        keys = keyframes(timelines).join(audio.select(SESSION, "track"), [SESSION, "track"],
+                                         "left_semi")
 
         def section(base: int) -> Column:
             return F.col("track") * TRACK_SECTIONS + base
@@ -150,6 +152,9 @@ def document_pieces(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame
         track_head = ["        <track>\n", *_leaf(5, "enabled", "TRUE"),
                       *_leaf(5, "locked", "FALSE")]
         end = F.col("end_frame")
+        opening = F.concat(_text(track_head),
+                           _text(_clip_opening(5, end, F.col("start_frame"), end, fps)),
+                           _text(_file(6, "audio", end, fps)))
         filter_head = (
             "            <filter>\n              <effect>\n"
             + "".join(_leaf(8, "name", "Audio Levels") + _leaf(8, "effectid", "audiolevels")
@@ -158,22 +163,17 @@ def document_pieces(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame
             + "".join(_leaf(9, "parameterid", "level") + _leaf(9, "name", "Level")))
         key_text = _text(_node(9, "keyframe", _leaf(10, "when", F.col("frame")),
                                _leaf(10, "value", F.col("gain"))))
-        pieces += [
-            piece(with_audio, AUDIO_HEAD, zero, zero, F.lit(_audio_head())),
-            piece(audio, section(CLIP), zero, zero, F.concat(
-                _text(track_head), _text(_clip_opening(5, end, F.col("start_frame"), end, fps)),
-                _text(_file(6, "audio", end, fps)))),
-            piece(with_keys, section(KEYS_HEAD), zero, zero, F.lit(filter_head)),
-            piece(keys, section(KEYS), F.col("part"), F.col("place"), key_text),
-            piece(with_keys, section(KEYS_END), zero, zero,
-                  F.lit(_closing(8, "parameter", "effect", "filter"))),
-            piece(audio, section(CLIP_END), zero, zero, F.lit(_closing(5, "clipitem", "track"))),
-            piece(with_audio, TAIL - 1, zero, zero, F.lit(_closing(3, "audio"))),
+        found += [
+            pieces(audio, (section(CLIP), opening),
+                   (section(CLIP_END), _closing(5, "clipitem", "track"))),
+            pieces(audio.where(F.col("track") == 0), (AUDIO_HEAD, _audio_head()),
+                   (TAIL - 1, _closing(3, "audio"))),
+            pieces(audio.join(keyed, [SESSION, "track"], "left_semi"),
+                   (section(KEYS_HEAD), filter_head),
+                   (section(KEYS_END), _closing(8, "parameter", "effect", "filter"))),
+            pieces(keys, (section(KEYS), key_text), chunk="part", place="place"),
         ]
-    union = pieces[0]
-    for more in pieces[1:]:
-        union = union.unionByName(more)
-    return union
+    return reduce(DataFrame.unionByName, found)
 
 
 def sequence_documents(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame | None,

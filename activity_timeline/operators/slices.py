@@ -120,10 +120,13 @@ def attach(df: DataFrame, dimension: DataFrame, on: list[str], spread_by: list[s
     """Left join with a dimension that is unique on `on`.
 
     Up to `limit` rows it is broadcast. A larger one is shuffled, with its rows
-    repeated per salt, so that one hot key spreads over `salts` tasks.
+    repeated per salt, so that one hot key spreads over `salts` tasks. Keys that
+    are unique in `df` as well need one salt only.
     """
     if dimension.limit(limit + 1).count() <= limit:
         return df.join(F.broadcast(dimension), on, "left")
+    if salts == 1:
+        return df.join(dimension, on, "left")
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], "left").drop("_salt")

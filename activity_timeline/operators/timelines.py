@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import whole
 from activity_timeline.operators.rules import segment_gains
+from activity_timeline.operators.slices import settle
 from activity_timeline.params import Params
 from activity_timeline.schemas import DEFAULT_FPS, DOCUMENT, GAIN_EVENT, SEGMENT, SESSION, STATES
 
@@ -19,23 +20,35 @@ TIMELINE = [SESSION, "part", "n_parts", "first_segment", *DOCUMENT.fieldNames()]
 
 
 def assemble(segments: DataFrame, durations: DataFrame, params: Params,
-             fps: float | Column = DEFAULT_FPS, part_segments: int = PART_SEGMENTS) -> DataFrame:
+             fps: float | Column = DEFAULT_FPS, part_segments: int = PART_SEGMENTS,
+             block: int | None = None) -> DataFrame:
     """Timeline rows from numbered segments and one duration per session.
 
     `fps` may be a column of `durations`. Sessions without segments are kept.
+    With `block` set some session may have very many parts: the parts are then
+    counted first, so that the durations join on session and part.
     """
-    parts = (segments.groupBy(SESSION, whole(F.col("seg_idx"), part_segments).alias("part"))
-             .agg(F.sort_array(F.collect_list(F.struct(
-                 "seg_idx", *SEGMENT.fieldNames()))).alias("_items"))
-             .withColumn("n_parts", F.count("*").over(Window.partitionBy(SESSION))))
     rate = fps if isinstance(fps, Column) else F.lit(float(fps))
     heads = durations.select(SESSION, "total_duration_s", rate.cast("double").alias("fps"))
+    keys = [SESSION]
+    if block is not None:
+        segments = settle(segments)
+        keys = [SESSION, "part"]
+        counts = segments.groupBy(SESSION).agg(
+            (whole(F.max("seg_idx"), part_segments) + 1).alias("n_parts"))
+        heads = heads.join(counts, SESSION, "left").withColumn("part", F.explode(
+            F.sequence(F.lit(0).cast("bigint"), F.coalesce("n_parts", F.lit(1)) - 1)))
+    parts = (segments.groupBy(SESSION, whole(F.col("seg_idx"), part_segments).alias("part"))
+             .agg(F.sort_array(F.collect_list(F.struct(
+                 "seg_idx", *SEGMENT.fieldNames()))).alias("_items")))
+    if block is None:
+        parts = parts.withColumn("n_parts", F.count("*").over(Window.partitionBy(SESSION)))
     items = F.coalesce("_items", F.array().cast(parts.schema["_items"].dataType))
     events = F.array().cast(f"array<{GAIN_EVENT.simpleString()}>")
     if params.ducking_enabled:
         events = F.flatten(F.transform(
             items, lambda s: segment_gains(s["start_s"], s["speaker_state"], params)))
-    return heads.join(parts, SESSION, "left").select(
+    return heads.join(parts, keys, "left").select(
         SESSION, F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
         F.coalesce("n_parts", F.lit(1)).cast("bigint").alias("n_parts"),
         (F.coalesce("part", F.lit(0)) * part_segments).cast("bigint").alias("first_segment"),

@@ -22,7 +22,7 @@ CHOOSE = "choose"
 
 def _chosen(samples: DataFrame, params: Params, block: int | None | str) -> int | None:
     if block == CHOOSE:
-        block = choose_block(samples, [SESSION], F.max("idx") / F.lit(params.hop_samples))
+        block = choose_block(samples, [SESSION], F.count("*") / F.lit(params.hop_samples))
     return frame_block(params, block)
 
 
@@ -58,6 +58,7 @@ def analyze(samples: DataFrame, tracks: DataFrame | None, params: Params,
             fps: float | Column = DEFAULT_FPS, block: int | None | str = CHOOSE,
             part_segments: int = PART_SEGMENTS) -> DataFrame:
     """Timelines of all sessions. `samples`: session_id, track (0 or 1), idx, x."""
+    block = _chosen(samples, params, block)
     placed = assign_cameras(segments(samples, params, block), tracks, params)
     return assemble(placed, session_duration(samples, params.sample_rate), params, fps,
-                    part_segments)
+                    part_segments, block)

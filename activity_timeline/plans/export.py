@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from activity_timeline.operators.interchange import sequence_documents
+from activity_timeline.operators.slices import settle
 from activity_timeline.sources.documents import write_relation
 
 SEQUENCE_NAME = "Rough Cut"
@@ -12,8 +13,12 @@ SEQUENCE_NAME = "Rough Cut"
 
 def export(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame | None = None,
            name: str = SEQUENCE_NAME, width: int = 1920, height: int = 1080) -> DataFrame:
-    """session_id, part, xml. Without `tracks` (or without their paths) there is no audio."""
-    return sequence_documents(timelines, cameras, tracks, name, width, height)
+    """session_id, part, xml. Without `tracks` (or without their paths) there is no audio.
+
+    A document is put together from several views of its timeline, so the
+    timelines are written once and not computed for each view.
+    """
+    return sequence_documents(settle(timelines), cameras, tracks, name, width, height)
 
 
 def save(documents: DataFrame, path: str, buckets: int = 64) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from activity_timeline.operators.slices import number_in_order, scan
+from activity_timeline.operators.slices import attach, number_in_order, scan
 from activity_timeline.schemas import TRACK_KEYS
 
 
@@ -24,12 +24,23 @@ def samples_from(df: DataFrame, session: Column, track: Column, order_by: list[s
 
 
 def samples_from_arrays(df: DataFrame, session: Column, track: Column, chunk: Column,
-                        values: Column, block: int | None = None) -> DataFrame:
-    """Samples from tracks that are stored as arrays, `chunk` giving their order."""
+                        values: Column, block: int | None = None,
+                        chunk_size: int | None = None) -> DataFrame:
+    """Samples from tracks that are stored as arrays, `chunk` giving their order.
+
+    If all chunks but the last of a track hold `chunk_size` samples and are
+    numbered from 0, nothing is shuffled. Otherwise only their sizes are put in
+    order; the arrays meet the result by their own key.
+    """
     chunks = df.select(
         session.cast("bigint").alias("session_id"), track.cast("int").alias("track"),
         chunk.cast("bigint").alias("chunk"), values.cast("array<double>").alias("values"))
-    placed = scan(chunks, TRACK_KEYS, "chunk", block,
-                  sums={"first": F.size("values").cast("bigint")})
+    if chunk_size is not None:
+        placed = chunks.withColumn("first", F.col("chunk") * chunk_size)
+    else:
+        keys = [*TRACK_KEYS, "chunk"]
+        sizes = chunks.select(*keys, F.size("values").cast("bigint").alias("n"))
+        firsts = scan(sizes, TRACK_KEYS, "chunk", block, sums={"first": F.col("n")}).drop("n")
+        placed = attach(chunks, firsts, keys, keys, salts=1)
     return (placed.select(*TRACK_KEYS, "first", F.posexplode("values").alias("place", "x"))
             .select(*TRACK_KEYS, (F.col("first") + F.col("place")).alias("idx"), "x"))

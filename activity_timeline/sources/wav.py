@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from activity_timeline.functions.numbers import whole
 from activity_timeline.schemas import TRACK_KEYS
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 PIECES = ("path string, sample_rate int, channels int, first bigint, values array<double>")
 _ARROW = pa.schema([
     ("path", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()),

@@ -295,9 +295,10 @@ def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
         ((F.col("before") + F.col("chars")) / rate).alias("end_s"), "speaker_state")), block
 
 
-def _turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _turn_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
     raw, block = _turns(spark, sf_dir)
-    return segments.number_segments(segments.clean_segments(raw, TURN_PARAMS, block), block)
+    clean = segments.clean_segments(raw, TURN_PARAMS, block)
+    return segments.number_segments(clean, block), block
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,14 +340,14 @@ def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _timelines(spark: SparkSession, sf_dir: str, part_segments: int = timelines.PART_SEGMENTS):
-    placed = rules.assign_cameras(_turn_segments(spark, sf_dir), _tracks(spark, sf_dir),
-                                  TURN_PARAMS)
+    found, block = _turn_segments(spark, sf_dir)
+    placed = rules.assign_cameras(found, _tracks(spark, sf_dir), TURN_PARAMS)
     return timelines.assemble(placed, _durations(spark, sf_dir), TURN_PARAMS,
-                              _fps(F.col(SESSION)), part_segments)
+                              _fps(F.col(SESSION)), part_segments, block)
 
 
 def turn_segments(spark, sf_dir):
-    return _seconds(_turn_segments(spark, sf_dir))
+    return _seconds(_turn_segments(spark, sf_dir)[0])
 
 
 def segment_durations(spark, sf_dir):
@@ -355,14 +356,14 @@ def segment_durations(spark, sf_dir):
 
 
 def camera_plan(spark, sf_dir):
-    placed = rules.assign_cameras(_turn_segments(spark, sf_dir), _tracks(spark, sf_dir),
+    placed = rules.assign_cameras(_turn_segments(spark, sf_dir)[0], _tracks(spark, sf_dir),
                                   TURN_PARAMS)
     return _six(placed.select(SESSION, "seg_idx", "start_s", "end_s", "speaker_state",
                               "camera_index", "speaker_label"), "start_s", "end_s")
 
 
 def gain_events(spark, sf_dir):
-    return _six(rules.gain_events(_turn_segments(spark, sf_dir), TURN_PARAMS), "time_s")
+    return _six(rules.gain_events(_turn_segments(spark, sf_dir)[0], TURN_PARAMS), "time_s")
 
 
 def timeline_counts(spark, sf_dir):
