@@ -65,7 +65,8 @@ def activity_flags(frames: DataFrame, keys: list[str], suffixes: list[str], para
     earlier = (Window.partitionBy(*keys).orderBy("slice")
                .rowsBetween(Window.unboundedPreceding, -1))
     carry = per_slice.select(*group, *[F.max(n).over(earlier).alias(f"_carry{n}") for n in names])
-    joined = own_frames(seen, block).join(carry, group, "left")
+    # inner: each slice with frames has a row here, and both sides then share one shuffle
+    joined = own_frames(seen, block).join(carry, group)
     return joined.select(
         *frames.columns,
         *[active(F.greatest(F.col(f"_high{s}"), F.col(f"_carry_high{s}")),
