@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import whole
-from activity_timeline.operators.slices import scan
+from activity_timeline.operators.slices import GROUP_ROWS, choose_block, scan, settle
 from activity_timeline.params import Params
 from activity_timeline.schemas import SEGMENTS, SESSION
 
@@ -63,10 +63,11 @@ def _open(segments: DataFrame, block: int | None) -> DataFrame:
     return looked.select(*CUT)
 
 
-def _close(cuts: DataFrame, block: int | None) -> DataFrame:
-    return (scan(cuts, KEYS, "pos", block, following=_next_end())
+def _close(cuts: DataFrame, block: int | None, numbered: bool = False) -> DataFrame:
+    sums = {"seg_idx": F.lit(1).cast("bigint")} if numbered else {}
+    return (scan(cuts, KEYS, "pos", block, following=_next_end(), sums=sums)
             .select(SESSION, "pos", "start_s", _end().alias("end_s"),
-                    "camera_index", "speaker_state", "speaker_label"))
+                    "camera_index", "speaker_state", "speaker_label", *sums))
 
 
 def _drop_short(cuts: DataFrame, min_s: float, block: int | None) -> DataFrame:
@@ -99,17 +100,26 @@ def merge_adjacent(segments: DataFrame, block: int | None = None) -> DataFrame:
 def _clean(cuts: DataFrame, params: Params, block: int | None) -> DataFrame:
     for min_s in (params.debounce_s, params.min_segment_s):
         cuts = _drop_short(cuts, min_s, block)
-    return _close(_drop_equal(cuts, block), block)
+    return _close(_drop_equal(cuts, block), block, numbered=True)
 
 
 def clean_segments(segments: DataFrame, params: Params, block: int | None = None) -> DataFrame:
-    """Debounce, minimum length and merging of a given segment list."""
+    """Debounce, minimum length and merging of a given segment list; numbers the result."""
     return _clean(_open(segments, block), params, block)
 
 
-def segment_states(states: DataFrame, params: Params, block: int | None = None) -> DataFrame:
-    """Runs, debounce, minimum length and merging, in this order."""
-    return _clean(_cuts_of_states(states, params.hop_s, block), params, block)
+def segment_states(states: DataFrame, params: Params, block: int | None = None,
+                   limit: int = GROUP_ROWS) -> DataFrame:
+    """Runs, debounce, minimum length and merging, in this order; numbers the result.
+
+    A session with too many frames for one task mostly has far fewer runs: the
+    later steps need slices only if some session has more than `limit` runs.
+    """
+    cuts = _cuts_of_states(states, params.hop_s, block)
+    if block is not None:
+        cuts = settle(cuts)
+        block = choose_block(cuts, KEYS, limit=limit, block=block)
+    return _clean(cuts, params, block)
 
 
 def duration_s() -> Column:

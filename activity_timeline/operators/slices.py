@@ -23,16 +23,17 @@ BROADCAST_ROWS = 100_000  # rows of a dimension that may be broadcast
 SALTS = 64
 
 
-def choose_block(df: DataFrame, keys: list[str], rows: Column | None = None, *,
+def choose_block(df: DataFrame, keys: list[str], *, per: int = 1,
                  limit: int = GROUP_ROWS, block: int = BLOCK) -> int | None:
-    """None if every group of `df` has at most `limit` rows, else `block`.
+    """None if every group of `df` has at most `limit` rows (times `per`), else `block`.
 
-    `rows` is an aggregate that gives the size of a group. Only one number
-    reaches the driver.
+    A table that is small as a whole needs no look at its groups. Only a count
+    and a maximum reach the driver.
     """
-    sizes = df.groupBy(*keys).agg((F.count("*") if rows is None else rows).alias("rows"))
-    largest = sizes.agg(F.max("rows")).first()[0]
-    return block if (largest or 0) > limit else None
+    if df.count() <= limit * per:
+        return None
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return block if largest > limit * per else None
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

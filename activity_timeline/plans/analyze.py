@@ -9,9 +9,9 @@ from activity_timeline.operators.activity import activity_flags, joint_state
 from activity_timeline.operators.frames import (
     frame_block, frame_table, own_frames, paired_energy)
 from activity_timeline.operators.rules import assign_cameras
-from activity_timeline.operators.segments import number_segments, segment_states
+from activity_timeline.operators.segments import segment_states
 from activity_timeline.operators.signal import session_duration
-from activity_timeline.operators.slices import choose_block
+from activity_timeline.operators.slices import GROUP_ROWS, choose_block
 from activity_timeline.operators.timelines import PART_SEGMENTS, assemble
 from activity_timeline.params import Params
 from activity_timeline.schemas import DEFAULT_FPS, SESSION
@@ -22,7 +22,7 @@ CHOOSE = "choose"
 
 def _chosen(samples: DataFrame, params: Params, block: int | None | str) -> int | None:
     if block == CHOOSE:
-        block = choose_block(samples, [SESSION], F.count("*") / F.lit(params.hop_samples))
+        block = choose_block(samples, [SESSION], per=params.hop_samples)
     return frame_block(params, block)
 
 
@@ -46,12 +46,11 @@ def joint_states(samples: DataFrame, params: Params,
         F.col("is_active_0"), F.col("is_active_1")).alias("speaker_state"))
 
 
-def segments(samples: DataFrame, params: Params,
-             block: int | None | str = CHOOSE) -> DataFrame:
+def segments(samples: DataFrame, params: Params, block: int | None | str = CHOOSE,
+             limit: int = GROUP_ROWS) -> DataFrame:
     """Clean numbered segments of each session."""
     block = _chosen(samples, params, block)
-    return number_segments(segment_states(joint_states(samples, params, block), params, block),
-                           block)
+    return segment_states(joint_states(samples, params, block), params, block, limit)
 
 
 def analyze(samples: DataFrame, tracks: DataFrame | None, params: Params,

@@ -46,76 +46,88 @@ def _six(df: DataFrame, *names: str) -> DataFrame:
 
 # ---- events: users are sessions, views and clicks are track 0 ----
 
-def _event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Each step returns its rows and the slice size that the size of the largest user asks for.
+
+def _event_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
     events = _table(spark, sf_dir, "events")
+    block = choose_block(events, ["user_id"])
     track = F.when(F.col("event_type").isin("view", "click"), 0).otherwise(1)
     return tables.samples_from(events, F.col("user_id"), track, ["ts", "event_id"],
-                               F.col("value") / F.lit(600.0), choose_block(events, ["user_id"]))
+                               F.col("value") / F.lit(600.0), block), block
 
 
-def _event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panes = frames.pane_energy(_event_samples(spark, sf_dir), EVENT_PARAMS)
-    return frames.frame_table(panes, TRACK_KEYS, {"energy": ""}, EVENT_PARAMS)
+def _event_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
+    samples, block = _event_samples(spark, sf_dir)
+    block = frames.frame_block(EVENT_PARAMS, block)
+    panes = frames.pane_energy(samples, EVENT_PARAMS)
+    return frames.frame_table(panes, TRACK_KEYS, {"energy": ""}, EVENT_PARAMS, block), block
 
 
-def _event_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity_flags(_event_frames(spark, sf_dir), TRACK_KEYS, [""], EVENT_PARAMS)
+def _event_flags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
+    made, block = _event_frames(spark, sf_dir)
+    flags = activity_flags(made, TRACK_KEYS, [""], EVENT_PARAMS, block)
+    return frames.own_frames(flags, block), block
 
 
-def _event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine_tracks(_event_flags(spark, sf_dir))
+def _event_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
+    flags, block = _event_flags(spark, sf_dir)
+    return combine_tracks(flags), block
 
 
-def _event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.run_lengths(_event_states(spark, sf_dir), EVENT_PARAMS.hop_s)
+def _event_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
+    states, block = _event_states(spark, sf_dir)
+    return segments.run_lengths(states, EVENT_PARAMS.hop_s, block), block
 
 
 def track_index(spark, sf_dir):
-    return _six(_event_samples(spark, sf_dir), "x")
+    return _six(_event_samples(spark, sf_dir)[0], "x")
 
 
 def mono_mixdown_rows(spark, sf_dir):
     """The two tracks of a user as two channels of one recording."""
-    one = _event_samples(spark, sf_dir).withColumn("track", F.lit(0))
+    one = _event_samples(spark, sf_dir)[0].withColumn("track", F.lit(0))
     return _six(signal.mono_mixdown(one), "x")
 
 
 def align_pad(spark, sf_dir):
-    return _six(signal.align_pad(_event_samples(spark, sf_dir)), "x")
+    return _six(signal.align_pad(_event_samples(spark, sf_dir)[0]), "x")
 
 
 def session_duration(spark, sf_dir):
-    return _six(signal.session_duration(_event_samples(spark, sf_dir), 100), "total_duration_s")
+    return _six(signal.session_duration(_event_samples(spark, sf_dir)[0], 100),
+                "total_duration_s")
 
 
 def frame_rms(spark, sf_dir):
-    panes = frames.pane_energy(_event_samples(spark, sf_dir), EVENT_PARAMS)
-    return _six(frames.frame_levels(panes, TRACK_KEYS, {"energy": "rms_db"}, EVENT_PARAMS),
-                "rms_db")
+    made, block = _event_frames(spark, sf_dir)
+    return _six(frames.own_frames(made, block).select(*TRACK_KEYS, "frame", "rms_db"), "rms_db")
 
 
 def ema_envelope(spark, sf_dir):
-    return _six(_event_frames(spark, sf_dir).select(*TRACK_KEYS, "frame", "envelope_db"),
+    made, block = _event_frames(spark, sf_dir)
+    return _six(frames.own_frames(made, block).select(*TRACK_KEYS, "frame", "envelope_db"),
                 "envelope_db")
 
 
 def frame_table(spark, sf_dir):
-    return _six(_event_frames(spark, sf_dir).select(
+    made, block = _event_frames(spark, sf_dir)
+    return _six(frames.own_frames(made, block).select(
         *TRACK_KEYS, "frame", "time_s", "rms_db", "envelope_db",
         F.lit(False).alias("is_active")), "time_s", "rms_db", "envelope_db")
 
 
 def activity_flag(spark, sf_dir):
-    return _event_flags(spark, sf_dir).select(*TRACK_KEYS, "frame", "is_active")
+    return _event_flags(spark, sf_dir)[0].select(*TRACK_KEYS, "frame", "is_active")
 
 
 def speaker_states(spark, sf_dir):
-    return _event_states(spark, sf_dir)
+    return _event_states(spark, sf_dir)[0]
 
 
 def joint_states(spark, sf_dir):
     """States when the shorter track is padded with silence."""
-    return (chain.joint_states(_event_samples(spark, sf_dir), EVENT_PARAMS)
+    samples, block = _event_samples(spark, sf_dir)
+    return (chain.joint_states(samples, EVENT_PARAMS, block)
             .select(SESSION, "frame", "speaker_state"))
 
 
@@ -125,31 +137,36 @@ def _seconds(df: DataFrame) -> DataFrame:
 
 
 def runs(spark, sf_dir):
-    return _seconds(_event_runs(spark, sf_dir))
+    return _seconds(_event_runs(spark, sf_dir)[0])
 
 
 def debounced(spark, sf_dir):
-    return _seconds(segments.absorb_short(_event_runs(spark, sf_dir), EVENT_PARAMS.debounce_s))
+    found, block = _event_runs(spark, sf_dir)
+    return _seconds(segments.absorb_short(found, EVENT_PARAMS.debounce_s, block))
 
 
 def min_length(spark, sf_dir):
-    short = segments.absorb_short(_event_runs(spark, sf_dir), EVENT_PARAMS.debounce_s)
-    return _seconds(segments.absorb_short(short, EVENT_PARAMS.min_segment_s))
+    found, block = _event_runs(spark, sf_dir)
+    short = segments.absorb_short(found, EVENT_PARAMS.debounce_s, block)
+    return _seconds(segments.absorb_short(short, EVENT_PARAMS.min_segment_s, block))
 
 
 def merged(spark, sf_dir):
     """The chain in one go: runs, debounce, minimum length, merging."""
-    return _seconds(segments.segment_states(_event_states(spark, sf_dir), EVENT_PARAMS))
+    states, block = _event_states(spark, sf_dir)
+    return _seconds(segments.segment_states(states, EVENT_PARAMS, block))
 
 
 def merge_runs(spark, sf_dir):
     """Merging alone, on runs without their silences."""
-    loud = _event_runs(spark, sf_dir).where(F.col("speaker_state") != "silence")
-    return _seconds(segments.merge_adjacent(loud))
+    found, block = _event_runs(spark, sf_dir)
+    loud = found.where(F.col("speaker_state") != "silence")
+    return _seconds(segments.merge_adjacent(loud, block))
 
 
 def event_segments(spark, sf_dir):
-    found = chain.segments(_event_samples(spark, sf_dir), EVENT_PARAMS)
+    samples, block = _event_samples(spark, sf_dir)
+    found = chain.segments(samples, EVENT_PARAMS, block)
     return _six(found.select(SESSION, "seg_idx", "start_s", "end_s", "speaker_state"),
                 "start_s", "end_s")
 
@@ -244,36 +261,51 @@ def _line_samples(lines: DataFrame, session, block: int | None) -> DataFrame:
                                F.col("l_extendedprice") / F.lit(105000.0), block)
 
 
-def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
     lines = _table(spark, sf_dir, "lineitem")
-    return _line_samples(lines, F.col("l_suppkey"), choose_block(lines, ["l_suppkey"]))
+    block = choose_block(lines, ["l_suppkey"])
+    return _line_samples(lines, F.col("l_suppkey"), block), block
 
 
 def frame_rms_panes(spark, sf_dir):
     """Windows that overlap by half a hop, from panes of ten samples."""
-    panes = frames.pane_energy(_suppliers(spark, sf_dir), PANE_PARAMS)
-    return _six(frames.frame_levels(panes, TRACK_KEYS, {"energy": "rms_db"}, PANE_PARAMS),
-                "rms_db")
+    samples, block = _suppliers(spark, sf_dir)
+    block = frames.frame_block(PANE_PARAMS, block)
+    levels = frames.frame_levels(frames.pane_energy(samples, PANE_PARAMS), TRACK_KEYS,
+                                 {"energy": "rms_db"}, PANE_PARAMS, block)
+    return _six(frames.own_frames(levels, block).select(*TRACK_KEYS, "frame", "rms_db"), "rms_db")
 
 
 def segments_lineitem(spark, sf_dir):
-    found = chain.segments(_suppliers(spark, sf_dir), LINE_PARAMS)
+    samples, block = _suppliers(spark, sf_dir)
+    found = chain.segments(samples, LINE_PARAMS, block)
     return _six(found.select(SESSION, "seg_idx", "start_s", "end_s", "speaker_state"),
                 "start_s", "end_s")
 
 
-def segments_hot_session(spark, sf_dir):
-    """A third of all rows in one session, worked on in slices of 284 frames."""
+def _hot_segments(spark: SparkSession, sf_dir: str, **limit) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem")
     session = F.when(F.col("l_suppkey") % 3 == 0, 0).otherwise(F.col("l_suppkey"))
-    found = chain.segments(_line_samples(lines, session, HOT_SLICE), LINE_PARAMS, HOT_SLICE)
+    samples = _line_samples(lines, session, HOT_SLICE)
+    found = chain.segments(samples, LINE_PARAMS, HOT_SLICE, **limit)
     return _six(found.select(SESSION, "seg_idx", "start_s", "end_s", "speaker_state"),
                 "start_s", "end_s")
 
 
+def segments_hot_session(spark, sf_dir):
+    """A third of all rows in one session: samples and frames in slices, the few runs whole."""
+    return _hot_segments(spark, sf_dir)
+
+
+def segments_hot_slices(spark, sf_dir):
+    """The same with the runs in slices, too."""
+    return _hot_segments(spark, sf_dir, limit=0)
+
+
 def timelines_lineitem(spark, sf_dir):
     """Samples to timelines in one job, counted per session."""
-    made = analyze(_suppliers(spark, sf_dir), None, LINE_PARAMS)
+    samples, block = _suppliers(spark, sf_dir)
+    made = analyze(samples, None, LINE_PARAMS, block=block)
     return _six(preview(made)[0].withColumn("n_segments", F.col("n_segments").cast("bigint")),
                 "total_duration_s")
 
@@ -297,8 +329,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
 
 def _turn_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
     raw, block = _turns(spark, sf_dir)
-    clean = segments.clean_segments(raw, TURN_PARAMS, block)
-    return segments.number_segments(clean, block), block
+    return segments.clean_segments(raw, TURN_PARAMS, block), block
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,4 +503,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         frame_numbers, rate_class, start_timecode, file_uris, video_clips, file_first_use,
         audio_clips, keyframes, timeline_json_roundtrip, timeline_parts, timeline_event_rows,
         timeline_summary, segment_report, sequence_xml, sequence_xml_video,
-        segments_lineitem, segments_hot_session, timelines_lineitem)}
+        segments_lineitem, segments_hot_session, segments_hot_slices, timelines_lineitem)}

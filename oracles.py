@@ -432,6 +432,8 @@ FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id""",
         "segments_lineitem": _with(_line_segments("l_suppkey"), _SEG),
         "segments_hot_session": _with(_line_segments(
             "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END"), _SEG),
+        "segments_hot_slices": _with(_line_segments(
+            "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END"), _SEG),
         "timelines_lineitem": _with(_line_segments("l_suppkey"), f"""SELECT session_id,
   round(total_duration_s, 6) AS total_duration_s, {_d(29.97)} AS fps,
   coalesce(n_segments, 0) AS n_segments, CAST(0 AS BIGINT) AS n_ducking_events

@@ -75,7 +75,7 @@ def test_random_states_equal_the_folds(spark, block):
     states = states_of(spark, lists)
     found = segments.run_lengths(states, p.hop_s, block)
     assert listed(found) == {s: runs(v, p.hop_s) for s, v in lists.items()}
-    assert listed(segments.segment_states(states, p, block)) == {
+    assert listed(segments.segment_states(states, p, block, limit=0)) == {
         s: clean(runs(v, p.hop_s), p) for s, v in lists.items()}
     once = segments.absorb_short(found, p.debounce_s, block)
     assert listed(once) == {s: absorb(runs(v, p.hop_s), p.debounce_s) for s, v in lists.items()}
@@ -109,15 +109,16 @@ def test_two_speakers_at_once(spark):
 
 
 @pytest.mark.parametrize("rate, window, hop", [(100, 30, 10), (1000, 30, 10), (1000, 30, 20)])
-@pytest.mark.parametrize("block", [None, 1])
-def test_the_chain_equals_the_definitions_with_a_hot_session(spark, rate, window, hop, block):
+@pytest.mark.parametrize("block, limit", [(None, 1), (1, 1_000_000), (1, 0)])
+def test_the_chain_equals_the_definitions_with_a_hot_session(spark, rate, window, hop, block,
+                                                             limit):
     p = Params(sample_rate=rate, window_ms=window, hop_ms=hop, smoothing_ms=2 * hop,
                hangover_ms=3 * hop, debounce_ms=2 * hop, min_segment_ms=4 * hop)
     step = p.hop_samples
     tracks = noisy_sessions(rate + hop, {
         (0, 0): 900 * step, (0, 1): 850 * step + 1, (1, 0): 120 * step, (2, 1): 90 * step,
         (3, 0): 2, (4, 0): 200 * step, (4, 1): 3 * step, (5, 0): 130 * step, (5, 1): 230 * step})
-    got = listed(chain.segments(as_samples(spark, tracks), p, block))
+    got = listed(chain.segments(as_samples(spark, tracks), p, block, limit))
     want = {}
     for s in range(6):
         found = session_segments(tracks.get((s, 0), []), tracks.get((s, 1), []), p)

@@ -52,6 +52,8 @@ def test_block_is_chosen_by_the_largest_group(spark):
     df = spark.createDataFrame([(1,)] * 5 + [(2,)] * 9, "k long")
     assert choose_block(df, ["k"], limit=9) is None
     assert choose_block(df, ["k"], limit=8, block=4) == 4
+    assert choose_block(df, ["k"], per=3, limit=3) is None
+    assert choose_block(df, ["k"], per=2, limit=4, block=4) == 4
     assert choose_block(df.limit(0), ["k"]) is None
 
 
