@@ -41,7 +41,9 @@ def _cuts_of_states(states: DataFrame, hop_s: float, block: int | None) -> DataF
     hop = F.lit(hop_s)
     cuts = (states.select(
                 "*", F.lag("speaker_state").over(line).alias("_before"),
-                F.max("frame").over(Window.partitionBy(*group)).alias("_last"))
+                # ordered like the lag, so that both share one pass
+                F.max("frame").over(line.rowsBetween(
+                    Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
             .where(changed)
             .select(SESSION, F.col("frame").alias("pos"), (F.col("frame") * hop).alias("start_s"),
                     F.when(F.col("frame") > 0, F.col("frame") * hop).alias("before_end_s"),

@@ -67,10 +67,10 @@ def resample(samples: DataFrame, from_rate: int, to_rate: int,
     if from_rate == to_rate:
         return samples
     if block is None:
-        track = Window.partitionBy(*TRACK_KEYS)
-        ready = samples.select(
-            *TRACK_KEYS, "idx", "x", F.count("*").over(track).alias("n"),
-            F.lead("x").over(track.orderBy("idx")).alias("next_x"))
+        line = Window.partitionBy(*TRACK_KEYS).orderBy("idx")
+        track = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ready = samples.select(*TRACK_KEYS, "idx", "x", F.count("*").over(track).alias("n"),
+                               F.lead("x").over(line).alias("next_x"))
     else:
         slice_keys = [*TRACK_KEYS, "_slice"]
         own = whole(F.col("idx"), block)

@@ -69,9 +69,10 @@ def scan(df: DataFrame, keys: list[str], pos: str, block: int | None = None, *,
     previous, following = previous or {}, following or {}
     sums, whole_max = sums or {}, whole_max or {}
     if block is None:
-        group = Window.partitionBy(*keys)
-        line = group.orderBy(pos)
+        line = Window.partitionBy(*keys).orderBy(pos)
         earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+        # ordered like the others, so that all share one pass
+        group = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return df.select(
             "*",
             *[F.lag(c).over(line).alias(n) for n, c in previous.items()],

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from activity_timeline.operators.timelines import TIMELINE, check_documents, to_document
+from activity_timeline.operators.timelines import TIMELINE, check_documents
 from activity_timeline.schemas import DOCUMENT, SESSION
 
 
@@ -25,18 +26,20 @@ def read_timeline_files(spark: SparkSession, path: str, session: Column | None =
 
 
 def write_timelines(timelines: DataFrame, path: str, buckets: int = 64) -> None:
-    """JSON documents, one line each, in bucket folders; the keys of the session lie beside them."""
-    write_relation(to_document(timelines), path, buckets, "json")
+    """JSON documents, one line each, in bucket folders; nulls are written, too."""
+    write_relation(timelines, path, buckets, "json", ignoreNullFields="false")
 
 
 def read_timelines(spark: SparkSession, path: str) -> DataFrame:
-    """Documents written by write_timelines, ready for from_document."""
-    return spark.read.schema(
-        "session_id bigint, part bigint, n_parts bigint, first_segment bigint, json string"
-    ).json(path)
+    """Timelines written by write_timelines."""
+    keys = [T.StructField(n, T.LongType()) for n in TIMELINE if n not in DOCUMENT.fieldNames()]
+    read = (spark.read.schema(T.StructType([*keys, *DOCUMENT.fields]))
+            .option("mode", "FAILFAST").json(path))
+    return check_documents(read).select(*TIMELINE)
 
 
-def write_relation(df: DataFrame, path: str, buckets: int = 64, format: str = "parquet") -> None:
+def write_relation(df: DataFrame, path: str, buckets: int = 64, format: str = "parquet",
+                   **options: str) -> None:
     """Any relation with a session_id, in bucket folders.
 
     The rebalance hint lets Spark split a bucket that holds a hot session and
@@ -44,4 +47,4 @@ def write_relation(df: DataFrame, path: str, buckets: int = 64, format: str = "p
     """
     (df.withColumn("bucket", F.pmod(F.xxhash64(SESSION), F.lit(buckets)).cast("int"))
        .hint("rebalance", "bucket")
-       .write.partitionBy("bucket").format(format).save(path))
+       .write.partitionBy("bucket").format(format).options(**options).save(path))

@@ -33,7 +33,7 @@ LINE_PARAMS = Params(sample_rate=100, smoothing_ms=50.0, speech_threshold_db=-4.
 PANE_PARAMS = Params(sample_rate=1000, hop_ms=20.0)
 TURN_PARAMS = Params(sample_rate=15, hop_ms=100.0, window_ms=100.0, debounce_ms=10_000.0,
                      min_segment_ms=20_000.0, ducking_enabled=True)
-HOT_SLICE = 284
+HOT_SLICE = 852
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,7 +177,7 @@ def _vector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.col("vec_id")
     return tables.samples_from_arrays(
         _table(spark, sf_dir, "embeddings"), F.call_function("div", vec, F.lit(2)), vec % 2,
-        F.lit(0), F.col("embedding"))
+        F.lit(0), F.col("embedding"), chunk_size=64)
 
 
 def array_samples(spark, sf_dir):
@@ -198,12 +198,18 @@ def mono_mixdown(spark, sf_dir):
         "vec_id", signal.mono(F.col("embedding")).alias("x")), "x")
 
 
+def _resampled(spark: SparkSession, sf_dir: str, from_rate: int, to_rate: int) -> DataFrame:
+    samples = _vector_samples(spark, sf_dir)
+    block = choose_block(samples, TRACK_KEYS)
+    return _six(signal.resample(samples, from_rate, to_rate, block), "x")
+
+
 def resample_linear(spark, sf_dir):
-    return _six(signal.resample(_vector_samples(spark, sf_dir), 44_100, 16_000), "x")
+    return _resampled(spark, sf_dir, 44_100, 16_000)
 
 
 def resample_up(spark, sf_dir):
-    return _six(signal.resample(_vector_samples(spark, sf_dir), 16_000, 44_100), "x")
+    return _resampled(spark, sf_dir, 16_000, 44_100)
 
 
 def wav_samples(spark, sf_dir):
@@ -464,7 +470,7 @@ def timeline_parts(spark, sf_dir):
     """Timelines cut into parts of two segments, written as JSON and read back."""
     path = scratch_path(spark, "timelines")
     documents.write_timelines(_timelines(spark, sf_dir, 2), path, 4)
-    return _flat(timelines.from_document(documents.read_timelines(spark, path)))
+    return _flat(documents.read_timelines(spark, path))
 
 
 def timeline_event_rows(spark, sf_dir):
