@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import whole
+from activity_timeline.operators.slices import explode_range
 from activity_timeline.schemas import SESSION, TRACK_KEYS
 
 PAD_CHUNK = 65_536
@@ -45,10 +46,9 @@ def align_pad(samples: DataFrame, tracks: DataFrame | None = None,
         lengths = (tracks.select(*TRACK_KEYS).join(lengths, TRACK_KEYS, "full")
                    .select(*TRACK_KEYS, F.coalesce("n", F.lit(0)).alias("n")))
     longest = lengths.withColumn("longest", F.max("n").over(Window.partitionBy(SESSION)))
-    pieces = (longest.where(F.col("n") < F.col("longest"))
-              .select(*TRACK_KEYS, "n", "longest",
-                      F.explode(F.sequence(whole(F.col("n"), chunk),
-                                           whole(F.col("longest") - 1, chunk))).alias("piece"))
+    short = longest.where(F.col("n") < F.col("longest"))
+    pieces = (explode_range(short, whole(F.col("n"), chunk), whole(F.col("longest") - 1, chunk),
+                            "piece")
               .repartition(*TRACK_KEYS, "piece"))
     first = F.greatest(F.col("n"), F.col("piece") * chunk)
     last = F.least(F.col("longest"), (F.col("piece") + 1) * chunk) - 1
@@ -78,9 +78,8 @@ def resample(samples: DataFrame, from_rate: int, to_rate: int,
         edge = (F.col("idx") % block == 0) & (F.col("idx") > 0)
         spread = samples.withColumn("_slice", F.explode(
             F.when(edge, F.array(own, own - 1)).otherwise(F.array(own))))
-        lengths = track_lengths(samples).withColumn(
-            "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                           whole(F.col("n") - 1, block))))
+        lengths = explode_range(track_lengths(samples), F.lit(0).cast("bigint"),
+                                whole(F.col("n") - 1, block), "_slice")
         line = Window.partitionBy(*slice_keys).orderBy("idx")
         ready = (spread.withColumn("next_x", F.lead("x").over(line))
                  .where(own == F.col("_slice")).join(lengths, slice_keys))

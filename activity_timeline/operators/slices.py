@@ -21,6 +21,7 @@ GROUP_ROWS = 20_000_000   # rows of one group that a single task may order
 BLOCK = 131_072           # positions per slice
 BROADCAST_ROWS = 100_000  # rows of a dimension that may be broadcast
 SALTS = 64
+RANGE_STEP = 65_536       # numbers that one row may turn into at once
 
 
 def choose_block(df: DataFrame, keys: list[str], *, per: int = 1,
@@ -56,6 +57,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def explode_range(df: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """One row per whole number from `low` to `high`; no row holds more than RANGE_STEP of them."""
+    steps = df.withColumn("_high", high).withColumn(
+        "_step", F.explode(F.sequence(low, F.greatest(low, F.col("_high")),
+                                      F.lit(RANGE_STEP).cast("bigint"))))
+    last = F.least(F.col("_step") + (RANGE_STEP - 1), F.col("_high"))
+    return (steps.where(F.col("_step") <= F.col("_high"))
+            .withColumn(name, F.explode(F.sequence("_step", last))).drop("_high", "_step"))
+
+
 def scan(df: DataFrame, keys: list[str], pos: str, block: int | None = None, *,
          previous: dict[str, Column] | None = None,
          following: dict[str, Column] | None = None,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import whole
 from activity_timeline.operators.rules import segment_gains
-from activity_timeline.operators.slices import settle
+from activity_timeline.operators.slices import explode_range, settle
 from activity_timeline.params import Params
 from activity_timeline.schemas import DEFAULT_FPS, DOCUMENT, GAIN_EVENT, SEGMENT, SESSION, STATES
 
@@ -36,8 +36,8 @@ def assemble(segments: DataFrame, durations: DataFrame, params: Params,
         keys = [SESSION, "part"]
         counts = segments.groupBy(SESSION).agg(
             (whole(F.max("seg_idx"), part_segments) + 1).alias("n_parts"))
-        heads = heads.join(counts, SESSION, "left").withColumn("part", F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.coalesce("n_parts", F.lit(1)) - 1)))
+        heads = explode_range(heads.join(counts, SESSION, "left"), F.lit(0).cast("bigint"),
+                              F.coalesce("n_parts", F.lit(1)) - 1, "part")
     parts = (segments.groupBy(SESSION, whole(F.col("seg_idx"), part_segments).alias("part"))
              .agg(F.sort_array(F.collect_list(F.struct(
                  "seg_idx", *SEGMENT.fieldNames()))).alias("_items")))

@@ -473,6 +473,15 @@ def timeline_parts(spark, sf_dir):
     return _flat(documents.read_timelines(spark, path))
 
 
+def timeline_files(spark, sf_dir):
+    """One JSON document per session in a folder of its own, read back as whole files."""
+    path = scratch_path(spark, "documents")
+    (timelines.to_document(_timelines(spark, sf_dir)).select("json", SESSION)
+     .write.partitionBy(SESSION).text(path))
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"session_id=(\d+)", 1)
+    return _flat(documents.read_timeline_files(spark, path, number.cast("bigint")))
+
+
 def timeline_event_rows(spark, sf_dir):
     made = timelines.from_document(timelines.to_document(_timelines(spark, sf_dir)))
     return _six(timelines.timeline_events(made).select(
@@ -507,6 +516,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         joint_states, runs, debounced, min_length, merged, merge_runs, event_segments,
         turn_segments, segment_durations, camera_plan, gain_events, timeline_counts,
         frame_numbers, rate_class, start_timecode, file_uris, video_clips, file_first_use,
-        audio_clips, keyframes, timeline_json_roundtrip, timeline_parts, timeline_event_rows,
+        audio_clips, keyframes, timeline_json_roundtrip, timeline_files, timeline_parts,
+        timeline_event_rows,
         timeline_summary, segment_report, sequence_xml, sequence_xml_video,
         segments_lineitem, segments_hot_session, segments_hot_slices, timelines_lineitem)}

@@ -473,6 +473,7 @@ FROM (SELECT page_id, rtrim(replace('/media/ü *~/' || url, '//', '/'), '/') AS
         "audio_clips": _with([_DURATIONS, _AUDIO], "SELECT * FROM audio"),
         "keyframes": _with([*_TIMELINE, _KEYS], "SELECT session_id, track, frame, gain FROM keys"),
         "timeline_json_roundtrip": _with(_TIMELINE, _FLAT),
+        "timeline_files": _with(_TIMELINE, _FLAT),
         "timeline_parts": _with(_TIMELINE, _FLAT),
         "timeline_event_rows": _with(_TIMELINE, "SELECT session_id, round(time_s, 6) AS time_s,"
                                      " target_db, track_index FROM gains"),

@@ -10,10 +10,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("tests")
-               .config("spark.sql.shuffle.partitions", "8")
+               .config("spark.sql.shuffle.partitions", "4")
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "6g")
                .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

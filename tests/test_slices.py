@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from activity_timeline.operators.slices import attach, choose_block, number_in_order, scan
+from activity_timeline.operators.slices import (
+    RANGE_STEP, attach, choose_block, explode_range, number_in_order, scan)
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +58,15 @@ def test_block_is_chosen_by_the_largest_group(spark):
     assert choose_block(df.limit(0), ["k"]) is None
 
 
+def test_ranges_are_whole(spark):
+    rows = [(1, 0, 0), (2, 5, 4), (3, 7, 7 + 2 * RANGE_STEP), (4, 3, 2 + RANGE_STEP)]
+    df = spark.createDataFrame(rows, "k long, a long, b long")
+    got = (explode_range(df, F.col("a"), F.col("b"), "n").groupBy("k")
+           .agg(F.min("n"), F.max("n"), F.count("*"), F.count_distinct("n")).collect())
+    assert {tuple(r) for r in got} == {(k, a, b, b - a + 1, b - a + 1)
+                                       for k, a, b in rows if a <= b}
+
+
 @pytest.mark.parametrize("limit, salts", [(100, 4), (0, 4), (0, 1)])
 def test_attach_gives_one_answer_on_every_way(spark, limit, salts):
     left = spark.createDataFrame([(i % 3, i) for i in range(50)], "k long, i long")
