@@ -32,20 +32,36 @@ def pane_energy(samples: DataFrame, params: Params) -> DataFrame:
 
 
 def paired_energy(samples: DataFrame, params: Params, block: int | None = None) -> DataFrame:
-    """Energy of both tracks per pane: session_id, pane, n, energy_0, energy_1."""
+    """Energy of both tracks per pane: session_id, [slice], pane, n, energy_0, energy_1.
+
+    Small panes would not shrink the data much, so their samples go straight
+    to the session or slice where the frames are made.
+    """
     g = gcd(params.window_samples, params.hop_samples)
-    if block is None and g < PREAGGREGATE_PANE:
-        samples = samples.repartition(SESSION)
+    samples = samples.withColumn("pane", whole(F.col("idx"), g) if g > 1 else F.col("idx"))
+    keys = [SESSION, "pane"]
+    if g < PREAGGREGATE_PANE:
+        if block is None:
+            samples = samples.repartition(SESSION)
+        else:
+            samples = _in_slices(samples, params, block)
+            keys = [SESSION, "slice", "pane"]
     square = F.col("x") * F.col("x")
 
     def of(track: int, value):
         return F.when(F.col("track") == track, value)
 
-    return samples.groupBy(SESSION, whole(F.col("idx"), g).alias("pane")).agg(
+    return samples.groupBy(*keys).agg(
         F.greatest(F.count(of(0, 1)), F.count(of(1, 1))).alias("n"),
         *[F.coalesce(F.sum(of(t, square)), F.lit(0.0)).alias(f"energy_{t}") for t in (0, 1)])
 
 
+def _panes_per(params: Params) -> tuple[int, int]:
+    """Panes in a hop and in a window."""
+    g = gcd(params.window_samples, params.hop_samples)
+    return params.hop_samples // g, params.window_samples // g
+
+
 def smoothing_span(kernel: int) -> int:
     """Frames after which an old level has lost all weight (below 1e-25)."""
     q = 1.0 - 2.0 / (kernel + 1)
@@ -62,15 +78,15 @@ def frame_block(params: Params, block: int | None) -> int | None:
     """`block` rounded up so that a slice holds its run-in and whole spans."""
     if block is None:
         return None
-    h = params.hop_samples // gcd(params.window_samples, params.hop_samples)
-    m = params.window_samples // gcd(params.window_samples, params.hop_samples)
+    h, m = _panes_per(params)
     span = smoothing_span(params.kernel)
     return span * ceil(max(block, run_in(params), ceil(m / h)) / span)
 
 
-def _in_slices(panes: DataFrame, h: int, m: int, block: int, lead: int) -> DataFrame:
+def _in_slices(panes: DataFrame, params: Params, block: int) -> DataFrame:
     """Panes with a slice number; panes near an edge go to the neighbour as well."""
-    size = block * h
+    h, m = _panes_per(params)
+    size, lead = block * h, run_in(params)
     pane = F.col("pane")
     own = whole(pane, size)
     place = pane % size
@@ -89,11 +105,11 @@ def frame_levels(panes: DataFrame, keys: list[str], energies: dict[str, str], pa
     `energies` maps an energy column to the level column made from it. `span`
     puts frames into runs of that many, so that later steps find them sorted.
     """
-    window, hop = params.window_samples, params.hop_samples
-    g = gcd(window, hop)
-    h, m = hop // g, window // g
+    window = params.window_samples
+    h, m = _panes_per(params)
     if block is not None:
-        panes = _in_slices(panes, h, m, block, run_in(params))
+        if "slice" not in panes.columns:
+            panes = _in_slices(panes, params, block)
         keys = [*keys, "slice"]
     frames = panes.withColumn("frame", whole(F.col("pane"), h))
     order = ["frame"]

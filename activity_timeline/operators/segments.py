@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import whole
-from activity_timeline.operators.slices import GROUP_ROWS, choose_block, scan, settle
+from activity_timeline.operators.slices import GROUP_ROWS, choose_block, scan
 from activity_timeline.params import Params
 from activity_timeline.schemas import SEGMENTS, SESSION
 
@@ -119,7 +119,6 @@ def segment_states(states: DataFrame, params: Params, block: int | None = None,
     """
     cuts = _cuts_of_states(states, params.hop_s, block)
     if block is not None:
-        cuts = settle(cuts)
         block = choose_block(cuts, KEYS, limit=limit, block=block)
     return _clean(cuts, params, block)
 

@@ -57,6 +57,14 @@ def test_slices_share_one_shuffle_of_the_frames(stored):
     assert text.count("FileScan") == 1
 
 
+def test_small_panes_go_straight_to_their_slice(stored):
+    text = final(chain.paired_frames(stored, Params(sample_rate=100), 900))
+    assert text.count("ReusedExchange") == 1
+    big = [line for line in text.splitlines() if "Exchange hashpartitioning" in line
+           and "slice" in line and "REPARTITION" in line and "Reused" not in line]
+    assert len(big) == 1 and "_groupingexpression" not in text
+
+
 def test_sliced_and_whole_frames_are_the_same(stored):
     def rows(block):
         return sorted((r.frame, r.is_active_0, r.is_active_1, round(r.envelope_db_0, 9))
