@@ -12,11 +12,17 @@ BAR_WIDTH = 50  # fixed value: characters for the whole session
 
 
 def timeline_summary(timelines: DataFrame) -> DataFrame:
-    """Duration, rate, number of segments and of gain events per session."""
-    return timelines.groupBy(SESSION).agg(
+    """Duration, rate, number of segments and of gain events per session, and as text."""
+    counts = timelines.groupBy(SESSION).agg(
         F.max("total_duration_s").alias("total_duration_s"), F.max("fps").alias("fps"),
         F.sum(F.size("segments")).alias("n_segments"),
         F.sum(F.size("ducking_events")).alias("n_ducking_events"))
+    return counts.select(
+        "*",
+        F.format_string("Duration: %.1fs | FPS: %s | Segments: %d", "total_duration_s",
+                        F.col("fps").cast("string"), "n_segments").alias("header"),
+        F.when(F.col("n_ducking_events") > 0,
+               F.format_string("Ducking events: %d", "n_ducking_events")).alias("footer"))
 
 
 def segment_report(timelines: DataFrame) -> DataFrame:

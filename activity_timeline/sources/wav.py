@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +30,12 @@ _ARROW = pa.schema([
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
 
-def _open(path: str):
-    # Spark writes file:/a, the file system library reads file:///a
-    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and \
-        not path.startswith("file://") else path
-    if uri.startswith("file://"):
-        return fs.LocalFileSystem().open_input_file(unquote(uri[len("file://"):]))
-    system, name = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(name)
+def locate(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and name for a path as Spark writes it (file:/a, hdfs://h/a, or plain)."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe="/:@%"))
 
 
 def _layout(file) -> tuple[int, int, int, int, int, int]:
@@ -83,7 +81,8 @@ def _reader(piece_bytes: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, piece in zip(batch["path"].to_pylist(), batch["piece"].to_pylist()):
-                with _open(path) as file:
+                system, name = locate(path)
+                with system.open_input_file(name) as file:
                     code, channels, rate, bits, start, size = _layout(file)
                     width = channels * bits // 8
                     frames = piece_bytes // width

@@ -233,16 +233,18 @@ def _wav_writer(folder: str):
         import wave
 
         import numpy as np
-        root = Path(folder.removeprefix("file:"))
-        root.mkdir(parents=True, exist_ok=True)
+        from activity_timeline.sources.wav import locate
+        system, root = locate(folder)
+        system.create_dir(root, recursive=True)
         for batch in batches:
             for number, values in zip(batch["session_id"], batch["values"]):
-                path = root / f"{number}.wav"
-                with wave.open(str(path), "wb") as out:
+                with system.open_output_stream(f"{root}/{number}.wav") as file, \
+                        wave.open(file, "wb") as out:
                     out.setnchannels(2)
                     out.setsampwidth(2)
                     out.setframerate(16_000)
-                    out.writeframes(np.asarray(values, "<i2").tobytes())
+                    out.setnframes(len(values) // 2)
+                    out.writeframesraw(np.asarray(values, "<i2").tobytes())
             yield batch[["session_id"]].astype(str).rename(columns={"session_id": "path"})
     return write
 
@@ -312,8 +314,7 @@ def timelines_lineitem(spark, sf_dir):
     """Samples to timelines in one job, counted per session."""
     samples, block = _suppliers(spark, sf_dir)
     made = analyze(samples, None, LINE_PARAMS, block=block)
-    return _six(preview(made)[0].withColumn("n_segments", F.col("n_segments").cast("bigint")),
-                "total_duration_s")
+    return _six(preview(made)[0].drop("header", "footer"), "total_duration_s")
 
 
 # ---- conversations: turns are segments, 15 characters take a second ----
@@ -326,6 +327,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
         F.when(F.col("role") == "user", "speaker_a")
         .when(F.col("role") == "assistant", "speaker_b").otherwise("silence")
         .alias("speaker_state"), F.length("text").cast("bigint").alias("chars"))
+    # whole characters are added up, so the times are the same in any order of adding
     placed = scan(spoken, [SESSION], "pos", block, sums={"before": F.col("chars")})
     rate = F.lit(15.0)
     return segments.as_segments(placed.select(

@@ -479,7 +479,10 @@ FROM (SELECT page_id, rtrim(replace('/media/ü *~/' || url, '//', '/'), '/') AS
                                      " target_db, track_index FROM gains"),
         "timeline_summary": _with(_TIMELINE, """SELECT session_id,
   round(any_value(total_duration_s), 6) AS total_duration_s, any_value(fps) AS fps,
-  count(*) AS n_segments, 2 * count(*) AS n_ducking_events
+  count(*) AS n_segments, 2 * count(*) AS n_ducking_events,
+  printf('Duration: %.1fs | FPS: %s | Segments: %d', any_value(total_duration_s),
+         CAST(any_value(fps) AS VARCHAR), count(*)) AS header,
+  'Ducking events: ' || (2 * count(*)) AS footer
 FROM plan JOIN durations USING (session_id) GROUP BY session_id"""),
         "segment_report": _with(_TIMELINE, f"""SELECT session_id, number,
   round(start_s, 6) AS start_s, round(end_s, 6) AS end_s,

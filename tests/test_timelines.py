@@ -147,7 +147,8 @@ def test_preview_lines(spark):
     made = timelines.assemble(number_segments(spark.createDataFrame(rows, SEGMENTS)),
                               durations(spark, {1: 10.0}), DUCK)
     summary, report = preview(made)
-    assert tuple(summary.first()) == (1, 10.0, 29.97, 3, 6)
+    assert tuple(summary.first()) == (
+        1, 10.0, 29.97, 3, 6, "Duration: 10.0s | FPS: 29.97 | Segments: 3", "Ducking events: 6")
     assert [r.line for r in report.orderBy("number").collect()] == [
         "    1     0.00s -    7.50s  [cam1]  host          " + "#" * 37,
         "    2     7.50s -   10.00s  [cam0]  silence       " + "#" * 12,

@@ -57,6 +57,13 @@ def test_every_format_is_read_piece_by_piece(spark, tmp_path):
     assert {(r.sample_rate,) for r in pieces.select("sample_rate").collect()} == {(8000,)}
 
 
+def test_names_with_blanks_and_signs(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    write(folder / "50% é#1.wav", wav.PCM, 16, 1, b"\0\x40")
+    assert [r["values"] for r in wav.read_wav(spark, str(tmp_path)).collect()] == [[0.5]]
+
+
 @pytest.mark.parametrize("content", [b"ID3 no wave", b"RIFF\0\0\0\0WAVE"])
 def test_other_files_fail(spark, tmp_path, content):
     (tmp_path / "9.wav").write_bytes(content)
