@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import linear_gain, seconds_to_frames
 from activity_timeline.functions.paths import file_stem
-from activity_timeline.operators.slices import attach
+from activity_timeline.operators.slices import GROUP_ROWS, attach
 from activity_timeline.operators.timelines import timeline_events, timeline_segments
 from activity_timeline.schemas import SESSION
 
@@ -20,8 +20,8 @@ def video_clips(timelines: DataFrame, cameras: DataFrame) -> DataFrame:
     segments = timeline_segments(timelines)
     wide = cameras.where(F.col("camera_index") == 0).select(SESSION, F.col("path").alias("_wide"))
     named = attach(segments, cameras.select(SESSION, "camera_index", "path"),
-                   [SESSION, "camera_index"], ["seg_idx"])
-    named = attach(named, wide, [SESSION], ["seg_idx"])
+                   [SESSION, "camera_index"], ["seg_idx"], hot_rows=GROUP_ROWS)
+    named = attach(named, wide, [SESSION], ["seg_idx"], hot_rows=GROUP_ROWS)
     fps = F.col("fps")
     index = F.when(F.col("path").isNotNull(), F.col("camera_index"))
     index = F.when(F.col("camera_index") < 0, F.raise_error(F.lit("negative camera index"))

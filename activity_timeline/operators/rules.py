@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from activity_timeline.operators.slices import attach
+from activity_timeline.operators.slices import GROUP_ROWS, attach
 from activity_timeline.params import Params
 from activity_timeline.schemas import BOTH, SESSION, SPEAKER_A, SPEAKER_B
 
@@ -23,7 +23,8 @@ def _speakers(tracks: DataFrame) -> DataFrame:
         of(0, "speaker_label").alias("_label_a"), of(1, "speaker_label").alias("_label_b"))
 
 
-def assign_cameras(segments: DataFrame, tracks: DataFrame | None, params: Params) -> DataFrame:
+def assign_cameras(segments: DataFrame, tracks: DataFrame | None, params: Params,
+                   block: int | None = None) -> DataFrame:
     """camera_index and speaker_label per segment; other columns stay."""
     if tracks is None:
         known = segments.select("*", *[
@@ -31,7 +32,8 @@ def assign_cameras(segments: DataFrame, tracks: DataFrame | None, params: Params
                 ("_camera_a", "int"), ("_camera_b", "int"),
                 ("_label_a", "string"), ("_label_b", "string"))])
     else:
-        known = attach(segments, _speakers(tracks), [SESSION], ["pos"])
+        known = attach(segments, _speakers(tracks), [SESSION], ["pos"],
+                       hot_rows=None if block is None else GROUP_ROWS)
     state = F.col("speaker_state")
     camera = (F.when(state == SPEAKER_A, F.coalesce("_camera_a", F.lit(CAMERA_A)))
               .when(state == SPEAKER_B, F.coalesce("_camera_b", F.lit(CAMERA_B)))

@@ -20,7 +20,6 @@ from activity_timeline.functions.numbers import whole
 GROUP_ROWS = 20_000_000   # rows of one group that a single task may order
 BLOCK = 131_072           # positions per slice
 BROADCAST_ROWS = 100_000  # rows of a dimension that may be broadcast
-SALTS = 64
 RANGE_STEP = 65_536       # numbers that one row may turn into at once
 
 
@@ -129,20 +128,28 @@ def scan(df: DataFrame, keys: list[str], pos: str, block: int | None = None, *,
 
 
 def attach(df: DataFrame, dimension: DataFrame, on: list[str], spread_by: list[str], *,
-           limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+           limit: int = BROADCAST_ROWS, hot_rows: int | None = None) -> DataFrame:
     """Left join with a dimension that is unique on `on`.
 
-    Up to `limit` rows it is broadcast. A larger one is shuffled, with its rows
-    repeated per salt, so that one hot key spreads over `salts` tasks. Keys that
-    are unique in `df` as well need one salt only.
+    Up to `limit` rows it is broadcast. A larger one is shuffled. Then each key
+    with more than `hot_rows` rows in `df` is split into that many task loads by
+    `spread_by`, and its dimension row is repeated for each; None says that no
+    key of `df` is that large.
     """
     if dimension.limit(limit + 1).count() <= limit:
         return df.join(F.broadcast(dimension), on, "left")
-    if salts == 1:
+    if hot_rows is None:
         return df.join(dimension, on, "left")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
+    # at most one key per hot_rows rows of df: small enough to broadcast
+    hot = F.broadcast(
+        df.groupBy(*on).count().where(F.col("count") > hot_rows)
+        .select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_loads")))
+    salt = F.pmod(F.xxhash64(*spread_by), F.col("_loads")).cast("int")
+    salted = df.join(hot, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    copies = dimension.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_loads", F.lit(1)) - 1)))
+    return (salted.drop("_loads").join(copies.drop("_loads"), [*on, "_salt"], "left")
+            .drop("_salt"))
 
 
 def number_in_order(df: DataFrame, keys: list[str], order: list[str], name: str,

@@ -58,6 +58,6 @@ def analyze(samples: DataFrame, tracks: DataFrame | None, params: Params,
             part_segments: int = PART_SEGMENTS) -> DataFrame:
     """Timelines of all sessions. `samples`: session_id, track (0 or 1), idx, x."""
     block = _chosen(samples, params, block)
-    placed = assign_cameras(segments(samples, params, block), tracks, params)
+    placed = assign_cameras(segments(samples, params, block), tracks, params, block)
     return assemble(placed, session_duration(samples, params.sample_rate), params, fps,
                     part_segments, block)

@@ -41,6 +41,6 @@ def samples_from_arrays(df: DataFrame, session: Column, track: Column, chunk: Co
         keys = [*TRACK_KEYS, "chunk"]
         sizes = chunks.select(*keys, F.size("values").cast("bigint").alias("n"))
         firsts = scan(sizes, TRACK_KEYS, "chunk", block, sums={"first": F.col("n")}).drop("n")
-        placed = attach(chunks, firsts, keys, keys, salts=1)
+        placed = attach(chunks, firsts, keys, keys)
     return (placed.select(*TRACK_KEYS, "first", F.posexplode("values").alias("place", "x"))
             .select(*TRACK_KEYS, (F.col("first") + F.col("place")).alias("idx"), "x"))

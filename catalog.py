@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 from collections.abc import Callable
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +117,13 @@ def frame_table(spark, sf_dir):
         F.lit(False).alias("is_active")), "time_s", "rms_db", "envelope_db")
 
 
+def frame_dataset(spark, sf_dir):
+    """The frame table as a bucketed dataset, read back."""
+    path = scratch_path(spark, "frames")
+    documents.write_relation(frame_table(spark, sf_dir), path, 8)
+    return spark.read.parquet(path).drop("bucket")
+
+
 def activity_flag(spark, sf_dir):
     return _event_flags(spark, sf_dir)[0].select(*TRACK_KEYS, "frame", "is_active")
 
@@ -214,7 +222,8 @@ def resample_up(spark, sf_dir):
 
 def wav_samples(spark, sf_dir):
     """Stereo 16-bit files made from groups of eight vectors, read back and mixed."""
-    _ship_package(spark)
+    # the package for the Python workers, as any job would submit it
+    spark.sparkContext.addPyFile(_package_archive())
     folder = scratch_path(spark, "wav")
     parts = (_table(spark, sf_dir, "embeddings")
              .groupBy(F.call_function("div", F.col("vec_id"), F.lit(8)).alias("session_id"))
@@ -249,12 +258,11 @@ def _wav_writer(folder: str):
     return write
 
 
-def _ship_package(spark: SparkSession) -> None:
-    """The package for the Python workers, as any job would submit it."""
+@cache
+def _package_archive() -> str:
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="spark-")) / "activity_timeline"
-    spark.sparkContext.addPyFile(shutil.make_archive(
-        str(target), "zip", root_dir=root, base_dir="activity_timeline"))
+    return shutil.make_archive(str(target), "zip", root_dir=root, base_dir="activity_timeline")
 
 
 # ---- lineitem: suppliers are sessions, the line status is the track ----
@@ -380,7 +388,7 @@ def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _timelines(spark: SparkSession, sf_dir: str, part_segments: int = timelines.PART_SEGMENTS):
     found, block = _turn_segments(spark, sf_dir)
-    placed = rules.assign_cameras(found, _tracks(spark, sf_dir), TURN_PARAMS)
+    placed = rules.assign_cameras(found, _tracks(spark, sf_dir), TURN_PARAMS, block)
     return timelines.assemble(placed, _durations(spark, sf_dir), TURN_PARAMS,
                               _fps(F.col(SESSION)), part_segments, block)
 
@@ -395,8 +403,8 @@ def segment_durations(spark, sf_dir):
 
 
 def camera_plan(spark, sf_dir):
-    placed = rules.assign_cameras(_turn_segments(spark, sf_dir)[0], _tracks(spark, sf_dir),
-                                  TURN_PARAMS)
+    found, block = _turn_segments(spark, sf_dir)
+    placed = rules.assign_cameras(found, _tracks(spark, sf_dir), TURN_PARAMS, block)
     return _six(placed.select(SESSION, "seg_idx", "start_s", "end_s", "speaker_state",
                               "camera_index", "speaker_label"), "start_s", "end_s")
 
@@ -514,11 +522,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
         track_index, array_samples, chunked_samples, wav_samples, mono_mixdown,
         mono_mixdown_rows, resample_linear, resample_up, align_pad, session_duration,
-        frame_rms, frame_rms_panes, ema_envelope, frame_table, activity_flag, speaker_states,
-        joint_states, runs, debounced, min_length, merged, merge_runs, event_segments,
-        turn_segments, segment_durations, camera_plan, gain_events, timeline_counts,
-        frame_numbers, rate_class, start_timecode, file_uris, video_clips, file_first_use,
-        audio_clips, keyframes, timeline_json_roundtrip, timeline_files, timeline_parts,
-        timeline_event_rows,
-        timeline_summary, segment_report, sequence_xml, sequence_xml_video,
-        segments_lineitem, segments_hot_session, segments_hot_slices, timelines_lineitem)}
+        frame_rms, frame_rms_panes, ema_envelope, frame_table, frame_dataset, activity_flag,
+        speaker_states, joint_states, runs, debounced, min_length, merged, merge_runs,
+        event_segments, turn_segments, segment_durations, camera_plan, gain_events,
+        timeline_counts, frame_numbers, rate_class, start_timecode, file_uris, video_clips,
+        file_first_use, audio_clips, keyframes, timeline_json_roundtrip, timeline_files,
+        timeline_parts, timeline_event_rows, timeline_summary, segment_report, sequence_xml,
+        sequence_xml_video, segments_lineitem, segments_hot_session, segments_hot_slices,
+        timelines_lineitem)}

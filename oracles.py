@@ -416,6 +416,9 @@ FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id""",
                               " round(env, 6) AS envelope_db FROM ema"),
         "frame_table": _with(_FRAMES, f"""SELECT session_id, track, frame,
   round(frame * {_d(0.01)}, 6) AS time_s, round(rms_db, 6) AS rms_db,
+  round(env, 6) AS envelope_db, false AS is_active FROM ema"""),
+        "frame_dataset": _with(_FRAMES, f"""SELECT session_id, track, frame,
+  round(frame * {_d(0.01)}, 6) AS time_s, round(rms_db, 6) AS rms_db,
   round(env, 6) AS envelope_db, false AS is_active FROM ema"""),
         "activity_flag": _with(_FLAGS, "SELECT session_id, track, frame, is_active FROM flags"),
         "speaker_states": _with([*_FLAGS, _STATES], "SELECT * FROM states"),

@@ -67,11 +67,13 @@ def test_ranges_are_whole(spark):
                                        for k, a, b in rows if a <= b}
 
 
-@pytest.mark.parametrize("limit, salts", [(100, 4), (0, 4), (0, 1)])
-def test_attach_gives_one_answer_on_every_way(spark, limit, salts):
-    left = spark.createDataFrame([(i % 3, i) for i in range(50)], "k long, i long")
+@pytest.mark.parametrize("limit, hot", [(100, None), (0, None), (0, 5), (0, 12), (0, 100)])
+def test_attach_gives_one_answer_on_every_way(spark, limit, hot):
+    keys = [0] * 34 + [1] * 8 + [2] * 8
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
-    got = attach(left, right, ["k"], ["i"], limit=limit, salts=salts)
+    got = attach(left, right, ["k"], ["i"], limit=limit, hot_rows=hot)
     assert got.columns == ["k", "i", "name"]
     assert {(r.k, r.i, r.name) for r in got.collect()} == {
-        (i % 3, i, {0: "a", 1: "b"}.get(i % 3)) for i in range(50)}
+        (k, i, {0: "a", 1: "b"}.get(k)) for i, k in enumerate(keys)}
+    assert got.count() == len(keys)
