@@ -417,7 +417,7 @@ def timeline_counts(spark, sf_dir):
     return _six(_timelines(spark, sf_dir).select(
         SESSION, "total_duration_s", "fps", F.size("segments").alias("n_segments"),
         F.size("ducking_events").alias("n_events"),
-        F.element_at("segments", 1)["speaker_state"].alias("first_state")), "total_duration_s")
+        F.get("segments", F.lit(0))["speaker_state"].alias("first_state")), "total_duration_s")
 
 
 def frame_numbers(spark, sf_dir):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from brute import ema, flags, rms_db
 from fixtures import as_samples, bursts, noisy_sessions, tone
+from pyspark.sql import functions as F
 
 from activity_timeline import Params
 from activity_timeline.operators.activity import activity_flags, combine_tracks
@@ -108,6 +109,27 @@ def test_flags_equal_the_state_machine(spark, kernel_ms, hangover_ms, sliced):
         assert [t for *_, t in line] == [i * p.hop_s for i in range(len(want))]
 
 
+@pytest.mark.parametrize("block", [None, 12])
+def test_flags_of_many_random_envelopes(spark, block):
+    p = Params(sample_rate=100, smoothing_ms=10, hangover_ms=30)
+    rnd = np.random.default_rng(8)
+    # on, between, at and around both thresholds
+    levels = [-60.0, -34.0, -33.0, -32.5, -30.0, -28.0, -27.9, -10.0]
+    lines = {i: [levels[k] for k in rnd.integers(0, len(levels), rnd.integers(1, 70))]
+             for i in range(400)}
+    rows = [(i, 0, f, v) for i, line in lines.items() for f, v in enumerate(line)]
+    df = spark.createDataFrame(rows, "session_id long, track int, frame long, envelope_db double")
+    if block is not None:
+        # copies of the frames that a slice needs before its own first one
+        lead = p.hangover_frames + 1
+        df = (df.withColumn("slice", F.expr(f"frame div {block}"))
+              .unionByName(df.where(f"frame % {block} >= {block - lead}")
+                           .withColumn("slice", F.expr(f"frame div {block} + 1"))))
+    got = per_track(activity_flags(df, TRACK_KEYS, [""], p, block), "is_active")
+    for i, line in lines.items():
+        assert [a for _, a in got[(i, 0)]] == flags(line, -28.0, -33.0, p.hangover_frames)
+
+
 def test_equality_with_a_threshold_switches_nothing(spark):
     p = Params(sample_rate=100, smoothing_ms=10, hangover_ms=10)
     levels = [-28.0, -27.9, -33.0, -33.0, -33.0, -33.1, -33.0, -33.0, -28.0]

@@ -55,6 +55,18 @@ def test_a_brief_interruption_vanishes(spark):
     assert listed(segments.segment_states(states, p)) == {1: [(0, 6.05, A)]}
 
 
+def test_durations_at_the_limit_are_judged_as_doubles(spark):
+    # 30 frames are sometimes a little less than 0.3 s, depending on where they start
+    rnd = random.Random(5)
+    lists = {s: [x for _ in range(40) for x in [rnd.choice([A, B, S, X])] * rnd.choice(
+        [29, 30, 30, 30, 31, 200])] for s in range(30)}
+    p = Params(debounce_ms=300, min_segment_ms=2000)
+    want = {s: clean(runs(v, p.hop_s), p) for s, v in lists.items()}
+    assert listed(segments.segment_states(states_of(spark, lists), p)) == want
+    debounced = segments.absorb_short(segments.run_lengths(states_of(spark, lists), p.hop_s), 0.3)
+    assert listed(debounced) == {s: absorb(runs(v, p.hop_s), 0.3) for s, v in lists.items()}
+
+
 def test_runs_and_empty_input(spark):
     states = states_of(spark, {1: [A] * 50 + [B] * 50 + [S] * 50, 2: [A] * 100})
     assert listed(segments.run_lengths(states, 0.01)) == {
