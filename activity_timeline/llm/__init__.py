@@ -1,11 +1 @@
-"""Operators for building training corpora.
-
-Functions that run inside tasks are sent by value, so executors need not have
-this package installed.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for building training corpora."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from activity_timeline.llm.common import SPACES, row_key, stored, text_or_empty
+from activity_timeline.llm.common import SPACES, in_tasks, row_key, ship, stored, text_or_empty
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STREAMED = ("kind string, row_key bigint, pos int, h1 bigint, h2 bigint, doc bigint,"
@@ -139,7 +139,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     ordered = (lines(docs, min_chars)
                .repartitionByRange(parts, "h1", "h2", F.desc("doc"))
                .sortWithinPartitions("h1", "h2", F.desc("doc"), "row_key", "pos"))
-    streamed = stored(ordered.mapInArrow(_stream(min_docs), STREAMED), "lines")
+    streamed = stored(in_tasks(ordered, _stream(min_docs), STREAMED), "lines")
     shared = (streamed.where("kind = 'run'").groupBy("h1", "h2")
               .agg(F.sum("n_docs").alias("docs"), F.max("doc").alias("top"))
               .where(F.col("docs") >= min_docs))
@@ -176,7 +176,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     """row_key, keep: bitmaps of the documents that lose lines."""
     lost = (dropped_lines(docs, min_chars, min_docs).groupBy("row_key")
             .agg(F.collect_set("pos").alias("lost")))
-    return lost.mapInArrow(_bitmaps, "row_key bigint, keep binary")
+    return in_tasks(lost, _bitmaps, "row_key bigint, keep binary")
 
 
 def cut_text(text: str | None, bitmap: bytes | None) -> tuple[str | None, int, int]:
@@ -200,6 +200,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     def kept(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([cut_text(t, k)[0] for t, k in zip(text, keep)], dtype=object)
 
+    ship(docs.sparkSession)
     joined = _joined(docs, bitmaps)
     return joined.select(*[(kept("row.text", "keep") if c == "text" else F.col("row")[c]).alias(c)
                            for c in docs.columns])
@@ -219,5 +220,5 @@ def kept_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     slim = docs.select("doc_id", "text")
-    return _joined(slim, bitmaps).select("row.doc_id", "row.text", "keep").mapInArrow(
-        digest, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    return in_tasks(_joined(slim, bitmaps).select("row.doc_id", "row.text", "keep"),
+                    digest, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")

@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from activity_timeline.llm import exact_dedup, line_dedup, sharding
+from activity_timeline.llm import (
+    decontaminate, exact_dedup, language_id, line_dedup, secrets, sentencepiece_matching, sharding,
+    token_counts)
 from activity_timeline.llm.common import table
 from activity_timeline.operators.slices import scratch_path
 
 SHARDS = 24
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_decontaminate(spark, sf_dir):
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"),
+                                       table(spark, sf_dir, "benchmark"))
+    return found.drop("row_key")
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -37,5 +46,33 @@ def op4_sharding(spark, sf_dir):
                         "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op5_secrets(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark, sf_dir):
+    return sentencepiece_matching.round_trip(table(spark, sf_dir, "documents"),
+                                             f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op10_token_counts(spark, sf_dir):
+    """Estimates of all documents, revised by a tokenizer's counts; the revision is given twice."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "token-counts"))
+    rollup.commit("estimates", token_counts.inserts(token_counts.estimated(docs), "bytes-v0"))
+    revised = token_counts.revisions(
+        token_counts.estimated(docs), "bytes-v0",
+        token_counts.counted(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), "byte-bpe-50k-v1")
+    for _ in range(2):
+        rollup.commit("revision", revised)
+    return rollup.totals()
+
+
 def queries() -> dict[str, Callable[..., DataFrame]]:
-    return {q.__name__: q for q in (op2_line_dedup, op3_exact_dedup, op4_sharding)}
+    return {q.__name__: q for q in (
+        op1_decontaminate, op2_line_dedup, op3_exact_dedup, op4_sharding, op5_secrets,
+        op6_language_id, op7_sentencepiece, op10_token_counts)}
