@@ -163,3 +163,16 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows that may be learned from, predict all."""
     return predict(docs, *learn(docs))
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """Documents with a letter that are like some learned language at all (a cosine above 0).
+
+    Their `lang` is the predicted one, all other columns as they were.
+    """
+    predicted = predictor(*learn(docs))
+    ship(docs.sparkSession)
+    found = docs.select(F.struct("*").alias("row"), predicted(F.col("text")).alias("found"))
+    kept = found.where("found.lang_pred <> 'und' AND found.score > 0")
+    return kept.select(*[(F.col("found.lang_pred") if c == "lang" else F.col("row")[c]).alias(c)
+                         for c in docs.columns])

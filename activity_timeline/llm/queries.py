@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from activity_timeline.llm import (
-    decontaminate, exact_dedup, language_id, line_dedup, secrets, sentencepiece_matching, sharding,
-    token_counts)
+    decontaminate, exact_dedup, language_id, line_dedup, ngram_jaccard, secrets, sentencepiece_matching, sharding,
+    substring_dedup, token_counts)
 from activity_timeline.llm.common import table
 from activity_timeline.operators.slices import scratch_path
 
 SHARDS = 24
 TOKENIZERS = "/opt/tokenizers"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -55,8 +56,15 @@ def op6_language_id(spark, sf_dir):
 
 
 def op7_sentencepiece(spark, sf_dir):
-    return sentencepiece_matching.round_trip(table(spark, sf_dir, "documents"),
-                                             f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepiece_matching.round_trip(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard.link_components(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op10_token_counts(spark, sf_dir):
@@ -75,4 +83,5 @@ def op10_token_counts(spark, sf_dir):
 def queries() -> dict[str, Callable[..., DataFrame]]:
     return {q.__name__: q for q in (
         op1_decontaminate, op2_line_dedup, op3_exact_dedup, op4_sharding, op5_secrets,
-        op6_language_id, op7_sentencepiece, op10_token_counts)}
+        op6_language_id, op7_sentencepiece, op8_substring_dedup,
+        op9_ngram_jaccard, op10_token_counts)}

@@ -278,6 +278,11 @@ def decode(ids: np.ndarray | None, words: Vocabulary) -> str | None:
         spelled.decode("utf-8", "replace")
 
 
+def restores(text: str | None, ids: np.ndarray | None, words: Vocabulary) -> bool | None:
+    """Whether decoding gives the text, but for the sign that the model takes for a space."""
+    return None if text is None else decode(ids, words) == text.replace(SPACE, " ")
+
+
 @lru_cache(2)
 def _encoder(model_name: str) -> Encoder:
     """One encoder for each worker process and model."""
@@ -290,19 +295,25 @@ def _ship(docs: DataFrame, model_file: str) -> str:
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, ids of every document."""
+    """doc_id, n_ids, ids, restored (decoding gives the text back) of every document."""
     name = _ship(docs, model_file)
 
     def run(batches):
         encoder = _encoder(name)
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = encoder.encode(batch.column("text").to_pylist())
-                yield pa.record_batch([batch.column("doc_id"),
-                                       pa.array(found, pa.list_(pa.int32()))],
-                                      names=["doc_id", "ids"])
+                texts = batch.column("text").to_pylist()
+                found = encoder.encode(texts)
+                yield pa.record_batch(
+                    [batch.column("doc_id"),
+                     pa.array([None if x is None else len(x) for x in found], pa.int64()),
+                     pa.array(found, pa.list_(pa.int32())),
+                     pa.array([restores(t, x, encoder.words) for t, x in zip(texts, found)],
+                              pa.bool_())],
+                    names=["doc_id", "n_ids", "ids", "restored"])
 
-    return in_tasks(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>")
+    return in_tasks(docs.select("doc_id", "text"), run,
+                    "doc_id bigint, n_ids bigint, ids array<int>, restored boolean")
 
 
 def decode_ids(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -335,7 +346,7 @@ def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
                     if text is None:
                         rows.append((None, None, None))
                         continue
-                    same = decode(ids, encoder.words) == text.replace(SPACE, " ")
+                    same = restores(text, ids, encoder.words)
                     rows.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(),
                                  same))
                 yield pa.record_batch(

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MIX = 0x9E3779B97F4A7C15
 BASE = 0xD1342543DE82EF95      # odd
@@ -54,7 +55,7 @@ def token_hash(token: str) -> int:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """The batch in pieces of about `limit` bytes of `column`, one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
@@ -66,7 +67,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row and where each begins (one more at the end)."""
-    texts = pa.compute.fill_null(texts, "")
+    texts = pc.fill_null(texts, "")
     wide = texts.cast(pa.large_binary())
     offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset:wide.offset + len(wide) + 1]
     data = wide.buffers()[2]
