@@ -11,8 +11,9 @@ has m matches. A pair is a candidate if it shares the smaller m of the two.
 Equal sets are one class from the start. Classes that have prefix n-grams in
 common would give all pairs of a large group; instead they meet in a frame:
 
-* each class takes the prefix n-gram that most classes share, and the frame that
-  most classes with this n-gram take;
+* each class votes for the prefix n-gram that most classes share, each n-gram
+  leads to the frame that most of its classes vote for, and a class joins the
+  frame that a good part of its prefix leads to (otherwise it stands alone);
 * a frame has a centre, the n-grams that more than half of its classes hold
   (found from some of them; any centre gives right results). Classes are sent to
   it once and keep only what they and the centre do not share. The distance of
@@ -50,6 +51,7 @@ LONGEST = 8             # most matches asked for
 VERIFY = 20             # cost of a comparison, in n-grams looked through
 CENTRE_SAMPLE = 64      # classes that a centre is found from
 ROWS_PER_COPY = 2_000   # classes of a frame that one copy of its centre serves
+SUPPORT = 4             # a class joins a frame that a fourth of its prefix leads to
 BITS = 1 << 22          # bits of the filter of rows whose sets are wanted
 
 
@@ -160,7 +162,7 @@ def _prefixes(words: int, percent: int, excess: np.ndarray):
 
 
 def prefixes(docs: DataFrame, like: Similarity, excess: np.ndarray) -> DataFrame:
-    """cls, n, asked, level, token: a row for each n-gram of each class's prefix.
+    """cls, n, asked, length, level, token: a row for each n-gram of each class's prefix.
 
     A token of level v belongs to the prefixes for v matches and more.
     """
@@ -169,20 +171,29 @@ def prefixes(docs: DataFrame, like: Similarity, excess: np.ndarray) -> DataFrame
                     "cls binary, n int, asked int, prefix array<bigint>")
     one = made.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "asked", "prefix")])
     need = F.ceil(F.col("n") * like.percent / 100).cast("int")
-    return one.select("cls", "n", "asked", F.posexplode("prefix").alias("place", "token")).select(
-        "cls", "n", "asked", "token",
+    return one.select("cls", "n", "asked", F.size("prefix").alias("length"),
+                      F.posexplode("prefix").alias("place", "token")).select(
+        "cls", "n", "asked", "length", "token",
         F.greatest(F.lit(1), F.col("place") - (F.col("n") - need) + 1).alias("level"))
 
 
 def frames_of(shared: DataFrame) -> DataFrame:
-    """cls, frame of the classes that meet others (frame: the n-gram a group goes by)."""
+    """cls, frame of the classes that stand in a group (frame: the n-gram the group goes by).
+
+    Each n-gram leads to the frame that most of its classes would choose. A class joins the
+    frame that most of its prefix leads to, if that is a good part of the prefix.
+    """
     best = shared.groupBy("cls").agg(F.max(F.struct("classes", "token")).alias("best")).select(
         "cls", F.col("best.token").alias("best"))
-    votes = shared.join(best, "cls").groupBy("token", "best").count()
-    leader = votes.groupBy(F.col("token").alias("best")).agg(
-        F.max(F.struct("count", "best")).alias("top")).select(
-            "best", F.col("top.best").alias("frame"))
-    return best.join(leader, "best").select("cls", "frame")
+    votes = shared.select("cls", "token").join(best, "cls").groupBy("token", "best").count()
+    leader = votes.groupBy("token").agg(F.max(F.struct("count", "best")).alias("top")).select(
+        "token", F.col("top.best").alias("frame"))
+    support = (shared.select("cls", "token", "length").join(leader, "token")
+               .groupBy("cls", "frame").agg(F.count("*").alias("led"),
+                                            F.first("length").alias("length")))
+    enough = F.least("length", F.greatest(F.lit(2), F.ceil(F.col("length") / SUPPORT)))
+    return (support.where(F.col("led") >= enough).groupBy("cls")
+            .agg(F.max(F.struct("led", "frame")).alias("top")).select("cls", "top.frame"))
 
 
 def cross_pairs(shared: DataFrame, framed: DataFrame, like: Similarity) -> DataFrame:
@@ -340,9 +351,12 @@ def link_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     tokens = stored(prefixes(docs, like, frequency_cells(surveyed)), "prefixes")
     counts = tokens.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
     shared = stored(tokens.join(counts, "token"), "shared")
-    framed = frames_of(shared)
+    framed = stored(frames_of(shared), "frames")
     sizes = framed.groupBy("frame").agg(F.count("*").alias("size"))
-    framed = stored(framed.join(sizes, "frame"), "frames")
+    framed = framed.join(sizes, "frame").where("size > 1")
+    framed = stored(shared.select("cls").distinct().join(framed, "cls", "left").select(
+        "cls", F.coalesce("frame", F.xxhash64("cls")).alias("frame"),
+        F.coalesce("size", F.lit(1)).alias("size")), "framed")
 
     pairs = stored(cross_pairs(shared, framed.select("cls", "frame"), like), "pairs")
     paired = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().withColumn(
