@@ -51,7 +51,7 @@ LONGEST = 8             # most matches asked for
 VERIFY = 20             # cost of a comparison, in n-grams looked through
 CENTRE_SAMPLE = 64      # classes that a centre is found from
 ROWS_PER_COPY = 2_000   # classes of a frame that one copy of its centre serves
-SUPPORT = 4             # a class joins a frame that a fourth of its prefix leads to
+SUPPORT = 2             # a class joins a frame that half of its prefix leads to
 BITS = 1 << 22          # bits of the filter of rows whose sets are wanted
 
 
