@@ -11,9 +11,9 @@ has m matches. A pair is a candidate if it shares the smaller m of the two.
 Equal sets are one class from the start. Classes that have prefix n-grams in
 common would give all pairs of a large group; instead they meet in a frame:
 
-* each class votes for the prefix n-gram that most classes share, each n-gram
-  leads to the frame that most of its classes vote for, and a class joins the
-  frame that a good part of its prefix leads to (otherwise it stands alone);
+* each n-gram leads to the first class that holds it in its prefix, and a class
+  joins the frame of the class that half of its own prefix leads to, if there is
+  one (otherwise it stands alone);
 * a frame has a centre, the n-grams that more than half of its classes hold
   (found from some of them; any centre gives right results). Classes are sent to
   it once and keep only what they and the centre do not share. The distance of
@@ -51,7 +51,6 @@ LONGEST = 8             # most matches asked for
 VERIFY = 20             # cost of a comparison, in n-grams looked through
 CENTRE_SAMPLE = 64      # classes that a centre is found from
 ROWS_PER_COPY = 2_000   # classes of a frame that one copy of its centre serves
-SUPPORT = 2             # a class joins a frame that half of its prefix leads to
 BITS = 1 << 22          # bits of the filter of rows whose sets are wanted
 
 
@@ -178,22 +177,17 @@ def prefixes(docs: DataFrame, like: Similarity, excess: np.ndarray) -> DataFrame
 
 
 def frames_of(shared: DataFrame) -> DataFrame:
-    """cls, frame of the classes that stand in a group (frame: the n-gram the group goes by).
+    """cls, frame of the classes that stand in a group.
 
-    Each n-gram leads to the frame that most of its classes would choose. A class joins the
-    frame that most of its prefix leads to, if that is a good part of the prefix.
+    Each n-gram leads to the first class that holds it. A class joins the one that most of
+    its prefix leads to, if that is half of the prefix at least.
     """
-    best = shared.groupBy("cls").agg(F.max(F.struct("classes", "token")).alias("best")).select(
-        "cls", F.col("best.token").alias("best"))
-    votes = shared.select("cls", "token").join(best, "cls").groupBy("token", "best").count()
-    leader = votes.groupBy("token").agg(F.max(F.struct("count", "best")).alias("top")).select(
-        "token", F.col("top.best").alias("frame"))
-    support = (shared.select("cls", "token", "length").join(leader, "token")
-               .groupBy("cls", "frame").agg(F.count("*").alias("led"),
-                                            F.first("length").alias("length")))
-    enough = F.least("length", F.greatest(F.lit(2), F.ceil(F.col("length") / SUPPORT)))
+    support = shared.groupBy("cls", "lead").agg(F.count("*").alias("led"),
+                                                F.first("length").alias("length"))
+    enough = F.least("length", F.greatest(F.lit(2), F.ceil(F.col("length") / 2)))
     return (support.where(F.col("led") >= enough).groupBy("cls")
-            .agg(F.max(F.struct("led", "frame")).alias("top")).select("cls", "top.frame"))
+            .agg(F.max(F.struct("led", "lead")).alias("top"))
+            .select("cls", F.col("top.lead").alias("frame")))
 
 
 def cross_pairs(shared: DataFrame, framed: DataFrame, like: Similarity) -> DataFrame:
@@ -202,7 +196,7 @@ def cross_pairs(shared: DataFrame, framed: DataFrame, like: Similarity) -> DataF
     A token that classes of one frame only hold is left out before any join. Of the others,
     the frame that holds most of a token's classes is not joined with itself.
     """
-    rows = shared.join(framed, "cls")
+    rows = shared.drop("lead", "length").join(framed, "cls")
     mixed = rows.groupBy("token").agg(F.min("frame").alias("low"), F.max("frame").alias("high")) \
         .where("low <> high").select("token")
     rows = stored(rows.join(mixed, "token"), "mixed")
@@ -276,7 +270,7 @@ def remainders(sets: DataFrame) -> DataFrame:
     """
     drawn = sets.where(F.pmod(F.xxhash64("cls"), F.col("size")) < CENTRE_SAMPLE)
     centres = drawn.select("frame", "grams").groupBy("frame").applyInPandas(
-        _centre, "frame bigint, centre array<bigint>")
+        _centre, "frame binary, centre array<bigint>")
     copies = F.ceil(F.col("size") / ROWS_PER_COPY).cast("int")
     sizes = sets.groupBy("frame").agg(F.first("size").alias("size"))
     dealt = sizes.join(centres, "frame", "left").select(
@@ -349,14 +343,13 @@ def link_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
         F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"))
 
     tokens = stored(prefixes(docs, like, frequency_cells(surveyed)), "prefixes")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
-    shared = stored(tokens.join(counts, "token"), "shared")
-    framed = stored(frames_of(shared), "frames")
-    sizes = framed.groupBy("frame").agg(F.count("*").alias("size"))
-    framed = framed.join(sizes, "frame").where("size > 1")
-    framed = stored(shared.select("cls").distinct().join(framed, "cls", "left").select(
-        "cls", F.coalesce("frame", F.xxhash64("cls")).alias("frame"),
-        F.coalesce("size", F.lit(1)).alias("size")), "framed")
+    leads = (tokens.groupBy("token").agg(F.count("*").alias("classes"), F.min("cls").alias("lead"))
+             .where("classes > 1").drop("classes"))
+    shared = stored(tokens.join(leads, "token"), "shared")
+    framed = shared.select("cls").distinct().join(frames_of(shared), "cls", "left").select(
+        "cls", F.coalesce("frame", "cls").alias("frame"))
+    framed = stored(framed, "frames")
+    framed = framed.join(framed.groupBy("frame").agg(F.count("*").alias("size")), "frame")
 
     pairs = stored(cross_pairs(shared, framed.select("cls", "frame"), like), "pairs")
     paired = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().withColumn(

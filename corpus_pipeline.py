@@ -5,7 +5,7 @@ every result to the shared folder as Parquet and hands the reread table on.
 
 1. language_id: documents without a letter, or unlike every learned language,
    go; `lang` becomes the predicted language.
-2. line_dedup: lines that three documents or more share stay in one of them.
+2. line_dedup: lines that three documents or more share stay in one of them; `n_chars` follows.
 3. near_duplicates: of documents linked by five-word n-grams (similarity 0.8 or
    more) the one with the smallest doc_id stays.
 4. decontaminate: documents that hold a benchmark item go.
@@ -30,7 +30,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.select(*[F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c)
+                         if c == "n_chars" else c for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
