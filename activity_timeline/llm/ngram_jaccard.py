@@ -12,8 +12,8 @@ Equal sets are one class from the start. Classes that have prefix n-grams in
 common would give all pairs of a large group; instead they meet in a frame:
 
 * each n-gram leads to the first class that holds it in its prefix, and a class
-  joins the frame of the class that half of its own prefix leads to, if there is
-  one (otherwise it stands alone);
+  joins the frame of the class that a good part of its own prefix leads to, if
+  there is one (otherwise it stands alone);
 * a frame has a centre, the n-grams that more than half of its classes hold
   (found from some of them; any centre gives right results). Classes are sent to
   it once and keep only what they and the centre do not share. The distance of
@@ -51,6 +51,7 @@ LONGEST = 8             # most matches asked for
 VERIFY = 20             # cost of a comparison, in n-grams looked through
 CENTRE_SAMPLE = 64      # classes that a centre is found from
 ROWS_PER_COPY = 2_000   # classes of a frame that one copy of its centre serves
+SUPPORT = 4             # a class joins a frame that a fourth of its prefix leads to
 BITS = 1 << 22          # bits of the filter of rows whose sets are wanted
 
 
@@ -180,11 +181,11 @@ def frames_of(shared: DataFrame) -> DataFrame:
     """cls, frame of the classes that stand in a group.
 
     Each n-gram leads to the first class that holds it. A class joins the one that most of
-    its prefix leads to, if that is half of the prefix at least.
+    its prefix leads to, if that is a good part of it.
     """
     support = shared.groupBy("cls", "lead").agg(F.count("*").alias("led"),
                                                 F.first("length").alias("length"))
-    enough = F.least("length", F.greatest(F.lit(2), F.ceil(F.col("length") / 2)))
+    enough = F.least("length", F.greatest(F.lit(2), F.ceil(F.col("length") / SUPPORT)))
     return (support.where(F.col("led") >= enough).groupBy("cls")
             .agg(F.max(F.struct("led", "lead")).alias("top"))
             .select("cls", F.col("top.lead").alias("frame")))
