@@ -8,8 +8,8 @@ placeholders are compared: the same value of the item must always stand for the
 same value of the document. Equal values make a verbatim copy, a consistent
 change a re-parameterised question; an inconsistent one is no match.
 
-A capitalised word is a name unless it begins a text or follows the end of a
-sentence. Windows with fewer than four plain words say too little and are not
+A capitalised word (not one in capitals) is a name unless it begins a text or
+follows the end of a sentence. Windows with fewer than four plain words say too little and are not
 used. Items of fewer tokens than a window are compared as a whole.
 
 Only document windows whose hash is in a bitmap of the benchmark's hashes (of
@@ -69,7 +69,7 @@ class Words:
             self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
         self.hash[at] = token_hash(low)
         self.flags[at] = ((1 if NUMBER.fullmatch(core) else 0) | (2 if low in UNITS else 0)
-                          | (4 if core[:1].isupper() else 0)
+                          | (4 if core[:1].isupper() and not core.isupper() else 0)
                           | (8 if word.rstrip("\"')]»”’")[-1:] in ENDS else 0)
                           | (16 if not core else 0))
         return at

@@ -250,7 +250,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         if len(self.known) > REMEMBER:
             self._forget()
-        cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
+        cut = [CHUNK.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         new = sorted({c for chunks in cut for c in chunks} - self.known.keys())
         if new:
             ids, begins = encode_chunks([c.replace(" ", SPACE) for c in new], self.words)
