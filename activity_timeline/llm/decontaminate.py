@@ -36,7 +36,7 @@ WINDOW = 8
 PLAIN = 4            # plain words that a window needs
 RUN = 6              # windows in a row (13 tokens) that are enough in a long item
 BITS = 1 << 23       # size of the bitmap of benchmark hashes
-KNOWN_WORDS = 400_000  # words whose canonical form a worker remembers
+KNOWN_WORDS = 120_000  # words whose canonical form a worker remembers
 
 # fixed values: units of measure that follow a number
 UNITS = frozenset("mm cm m km in ft yd mi g kg mg lb oz t ml l s ms min h d % ° °c °f hz khz mhz "

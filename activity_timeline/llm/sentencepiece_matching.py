@@ -38,7 +38,8 @@ from activity_timeline.llm.words import slices
 SPACE = "▁"
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
 WIDE = 32            # longest chunk that is relaxed together with others
-REMEMBER = 300_000   # chunks whose ids a worker remembers
+REMEMBER = 120_000   # chunks whose ids a worker remembers
+INDEXED_BYTES = 1 << 20  # text that is indexed at once
 NONE = np.iinfo(np.int32).max
 
 
@@ -46,6 +47,8 @@ NONE = np.iinfo(np.int32).max
 class Vocabulary:
     """Pieces of a BPE model: text, id and rank (0 is the best score); ids of the 256 bytes."""
     pieces: np.ndarray
+    after: np.ndarray      # the first text beyond all that begin with the piece
+    lengths: np.ndarray
     ids: np.ndarray
     ranks: np.ndarray
     bytes_at: np.ndarray
@@ -75,8 +78,10 @@ def read_vocabulary(model_file: str) -> Vocabulary:
             table[i] = names[i].replace(SPACE, " ").encode()
     if any("\n" in names[i] or SPACE in names[i].lstrip(SPACE) for i in plain):
         raise ValueError("pieces of this model cross spaces or lines")
-    return Vocabulary(np.array([names[i] for i in plain]), np.array(plain, np.int32), ranks,
-                      bytes_at, table, max(len(names[i]) for i in plain))
+    spelled = [names[i] for i in plain]
+    return Vocabulary(np.array(spelled), np.array([p[:-1] + chr(ord(p[-1]) + 1) for p in spelled]),
+                      np.array([len(p) for p in spelled]), np.array(plain, np.int32), ranks,
+                      bytes_at, table, max(len(p) for p in spelled))
 
 
 def suffix_array(points: np.ndarray, chunk: np.ndarray, depth: int) -> np.ndarray:
@@ -109,13 +114,12 @@ def edges(points: np.ndarray, chunk: np.ndarray, words: Vocabulary):
         head[:n - i, i][same] = points[i:][same]
     sorted_heads = np.ascontiguousarray(head[order]).view(f"U{deep}").ravel()
     low = np.searchsorted(sorted_heads, words.pieces, "left")
-    above = np.array([p[:-1] + chr(ord(p[-1]) + 1) for p in words.pieces.tolist()])
-    high = np.searchsorted(sorted_heads, above, "left")
+    high = np.searchsorted(sorted_heads, words.after, "left")
+    del sorted_heads, head
     counts = high - low
     piece = np.repeat(np.arange(len(low)), counts)
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    lengths = np.array([len(p) for p in words.pieces.tolist()])
-    key = order[np.repeat(low, counts) + place] * 64 + lengths[piece]
+    key = order[np.repeat(low, counts) + place] * 64 + words.lengths[piece]
     by_key = np.argsort(key, kind="stable")
     return key[by_key], words.ranks[piece][by_key], piece[by_key]
 
@@ -301,7 +305,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batches):
         encoder = _encoder(name)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", INDEXED_BYTES):
                 texts = batch.column("text").to_pylist()
                 found = encoder.encode(texts)
                 yield pa.record_batch(
@@ -339,7 +343,7 @@ def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batches):
         encoder = _encoder(name)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", INDEXED_BYTES):
                 rows = []
                 texts = batch.column("text").to_pylist()
                 for text, ids in zip(texts, encoder.encode(texts)):

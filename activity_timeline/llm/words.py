@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 
 MIX = 0x9E3779B97F4A7C15
 BASE = 0xD1342543DE82EF95      # odd
-BLOCK = 1 << 20                # bytes of text hashed at once
-SLICE_BYTES = 4 << 20          # text of a sub-batch
+BLOCK = 1 << 19                # bytes of text hashed at once
+SLICE_BYTES = 2 << 20          # text of a sub-batch
 
 
 def mix(x: np.ndarray) -> np.ndarray:
