@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from activity_timeline.operators.slices import scratch_path
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -31,8 +33,14 @@ def _archive() -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's code to the executors, as spark-submit --py-files would."""
+    """Send the package's code to the executors, as spark-submit --py-files would.
+
+    Rows hold whole texts, so the session's Arrow batches are made smaller if they are larger
+    than BATCH_ROWS.
+    """
     spark.sparkContext.addPyFile(_archive())
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
 def in_tasks(df: DataFrame, work, schema: str) -> DataFrame:
