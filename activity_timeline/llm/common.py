@@ -43,6 +43,17 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(name, make):
+    """What a worker process keeps between tasks; only the latest operator's things are kept."""
+    if name not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[name] = make()
+    return _RESIDENT[name]
+
+
 def in_tasks(df: DataFrame, work, schema: str) -> DataFrame:
     """mapInArrow with a function of this package."""
     ship(df.sparkSession)

@@ -22,14 +22,13 @@ alone.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from activity_timeline.llm.common import in_tasks, row_key, stored
+from activity_timeline.llm.common import in_tasks, resident, row_key, stored
 from activity_timeline.llm.words import MIX, slices, token_hash, window_hashes
 
 WINDOW = 8
@@ -80,9 +79,8 @@ class Words:
                            np.int64)
 
 
-@lru_cache(1)
 def _shared_words() -> list[Words]:
-    return [Words()]
+    return resident("words", lambda: [Words()])
 
 
 def canonical(words: Words, text: str):

@@ -6,8 +6,8 @@ trigrams' vectors (bundling); a language is the sum over its texts. A text gets
 the language whose prototype, less what all prototypes have in common, has the
 largest cosine with it.
 
-Letters are lower-cased and mapped to 48 symbols (a to z by themselves, others
-by code point); whatever is no letter is one separator. So there are 48^3
+Letters are lower-cased and mapped to 40 symbols (a to z by themselves, others
+by code point); whatever is no letter is one separator. So there are 40^3
 trigrams, bundling is a product of trigram counts and a fixed matrix, and
 learning needs nothing but trigram counts per language, added up by Spark over
 all texts that may be learned from.
@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from activity_timeline.llm.common import in_tasks, ship
+from activity_timeline.llm.common import in_tasks, resident, ship
 
-SYMBOLS = 48
+SYMBOLS = 40
 TRIGRAMS = SYMBOLS ** 3
 DIMENSIONS = 512
 SEED = 7
@@ -40,8 +40,11 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
 
 
-@lru_cache(1)
 def trigram_vectors() -> np.ndarray:
+    return resident("trigram vectors", _make_vectors)
+
+
+def _make_vectors() -> np.ndarray:
     """Bound vectors of all trigrams, int8."""
     letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
     second, third = np.roll(letters, 1, axis=1), np.roll(letters, 2, axis=1)
@@ -149,7 +152,7 @@ def predictor(langs: list[str], prototypes: np.ndarray):
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([of(t) for t in texts], columns=["lang_pred", "score"])
 
-    return predicted
+    return predicted.asNondeterministic()  # so that Spark calls it once for each row
 
 
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:

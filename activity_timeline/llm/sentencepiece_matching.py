@@ -25,14 +25,13 @@ import hashlib
 import heapq
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from activity_timeline.llm.common import in_tasks
+from activity_timeline.llm.common import in_tasks, resident
 from activity_timeline.llm.words import slices
 
 SPACE = "▁"
@@ -287,10 +286,10 @@ def restores(text: str | None, ids: np.ndarray | None, words: Vocabulary) -> boo
     return None if text is None else decode(ids, words) == text.replace(SPACE, " ")
 
 
-@lru_cache(2)
 def _encoder(model_name: str) -> Encoder:
     """One encoder for each worker process and model."""
-    return Encoder(read_vocabulary(SparkFiles.get(model_name)))
+    return resident(("pieces", model_name),
+                    lambda: Encoder(read_vocabulary(SparkFiles.get(model_name))))
 
 
 def _ship(docs: DataFrame, model_file: str) -> str:

@@ -15,14 +15,12 @@ repeated rows count like any rows. An empty batch is a commit of no rows.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from activity_timeline.llm.common import in_tasks
+from activity_timeline.llm.common import in_tasks, resident
 from activity_timeline.llm.words import slices
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -33,8 +31,11 @@ COMMIT = "source string, lang string, tokenizer string, n_docs bigint, n_tokens
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-@lru_cache(2)
 def _tokenizer(name: str):
+    return resident(("ranks", name), lambda: _read_ranks(name))
+
+
+def _read_ranks(name: str):
     import base64
 
     import tiktoken
