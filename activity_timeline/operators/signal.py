@@ -94,7 +94,7 @@ def resample(samples: DataFrame, from_rate: int, to_rate: int,
 
     low = first_output(idx)
     high = F.least(first_output(idx + 1), F.col("n_out")) - 1
-    at = F.col("j") * n / F.col("n_out") - idx
+    at = (F.col("j").cast(wide) * n.cast(wide)).cast("double") / F.col("n_out") - idx
     next_x = F.coalesce("next_x", "x")
     return (made.withColumn("_low", low).withColumn("_high", high)
             .where(F.col("_low") <= F.col("_high"))

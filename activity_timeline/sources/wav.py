@@ -104,7 +104,7 @@ def _reader(piece_bytes: int):
 
 def read_wav(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """path, sample_rate, channels, first, values: pieces of mono samples from sample `first`."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.wav")
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]")
              .option("recursiveFileLookup", "true").load(path).select("path", "length"))
     # a piece holds whole frames, so it may be a little shorter than piece_bytes
     last = whole(F.col("length"), max(piece_bytes // 2, 1))
