@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def tidy_path(path: Column) -> Column:
-    """One slash between parts, no '.' parts, no slash at the end."""
-    joined = F.regexp_replace(path, "/+", "/")
+    """One slash between parts, no '.' parts, no slash at the end; exactly two in front stay."""
+    joined = F.concat(F.when(path.rlike("^//(?!/)"), "/").otherwise(""),
+                      F.regexp_replace(path, "/+", "/"))
     joined = F.regexp_replace(joined, r"(/\.)+(?=/|$)", "")
     return F.regexp_replace(joined, "(?<=.)/$", "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import whole
-from activity_timeline.operators.frames import own_frames
+from activity_timeline.operators.frames import known_track, own_frames
 from activity_timeline.params import Params
 from activity_timeline.schemas import BOTH, SESSION, SILENCE, SPEAKER_A, SPEAKER_B
 
@@ -81,8 +81,10 @@ def joint_state(a: Column, b: Column) -> Column:
 
 def combine_tracks(frames: DataFrame) -> DataFrame:
     """State per frame from one row per track; stops where the shorter track stops."""
+    lane = known_track()
+
     def of(track: int) -> Column:
-        return F.max(F.when(F.col("track") == track, F.col("is_active")))
+        return F.max(F.when(lane == track, F.col("is_active")))
 
     pairs = frames.groupBy(SESSION, "frame").agg(of(0).alias("a"), of(1).alias("b"))
     return (pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull())

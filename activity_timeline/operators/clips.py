@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from activity_timeline.functions.numbers import linear_gain, seconds_to_frames
 from activity_timeline.functions.paths import file_stem
 from activity_timeline.operators.slices import GROUP_ROWS, attach
-from activity_timeline.operators.timelines import timeline_events, timeline_segments
+from activity_timeline.operators.timelines import Timelines, timeline_events, timeline_segments
 from activity_timeline.schemas import SESSION
 
 
-def video_clips(timelines: DataFrame, cameras: DataFrame) -> DataFrame:
+def video_clips(timelines: Timelines, cameras: DataFrame) -> DataFrame:
     """One clip per segment. A camera that the session does not have becomes camera 0.
 
     `cameras`: session_id, camera_index (dense from 0), path.
@@ -28,7 +28,7 @@ def video_clips(timelines: DataFrame, cameras: DataFrame) -> DataFrame:
                    .cast("int")).otherwise(F.coalesce(index, F.lit(0)))
     start, end = (seconds_to_frames(F.col(c), fps) for c in ("start_s", "end_s"))
     return (named.withColumn("_index", index)
-            .select(SESSION, "seg_idx", "part", "n_parts", "fps",
+            .select(SESSION, "seg_idx", "fps",
                     F.format_string("clipitem-v%d", "seg_idx").alias("clip_id"),
                     F.format_string("Cam%d - %s", "_index", "speaker_state").alias("name"),
                     F.col("_index").alias("camera_index"),
@@ -48,16 +48,20 @@ def mark_first_use(clips: DataFrame) -> DataFrame:
             .withColumn("is_definition", F.coalesce("_first", F.lit(False))).drop("_first"))
 
 
-def audio_clips(timelines: DataFrame, tracks: DataFrame) -> DataFrame:
-    """One clip of full length per audio track, for sessions whose tracks all have a path."""
-    paths = (tracks.groupBy(SESSION)
-             .agg(F.count("*").alias("_n"), F.count("path").alias("_with_path"))
-             .where(F.col("_n") == F.col("_with_path")).select(SESSION))
-    usable = tracks.join(paths, SESSION, "left_semi")
-    heads = timelines.where(F.col("part") == 0).select(SESSION, "n_parts", "fps",
-                                                       "total_duration_s")
-    return (heads.join(usable, SESSION)
-            .select(SESSION, "track", "n_parts", "fps",
+def microphones(tracks: DataFrame) -> DataFrame:
+    """session_id, _mic_0, _mic_1 of the sessions where both tracks have a path."""
+    paths = tracks.groupBy(SESSION).agg(*[
+        F.max(F.when(F.col("track") == t, F.col("path"))).alias(f"_mic_{t}") for t in (0, 1)])
+    return paths.where(F.col("_mic_0").isNotNull() & F.col("_mic_1").isNotNull())
+
+
+def audio_clips(timelines: Timelines, tracks: DataFrame) -> DataFrame:
+    """One clip of full length for either track, for sessions where both have a path."""
+    both = F.array(*[F.struct(F.lit(t).alias("track"), F.col(f"_mic_{t}").alias("path"))
+                     for t in (0, 1)])
+    usable = microphones(tracks).select(SESSION, F.inline(both))
+    return (timelines.heads.join(usable, SESSION)
+            .select(SESSION, "track", "fps",
                     F.format_string("clipitem-a%d", "track").alias("clip_id"),
                     file_stem(F.col("path")).alias("name"),
                     F.lit(0).cast("bigint").alias("start_frame"),
@@ -65,9 +69,9 @@ def audio_clips(timelines: DataFrame, tracks: DataFrame) -> DataFrame:
                     F.format_string("file-audio%d", "track").alias("file_id"), "path"))
 
 
-def keyframes(timelines: DataFrame) -> DataFrame:
+def keyframes(timelines: Timelines) -> DataFrame:
     """Volume keyframes per track: frame number and linear gain as text."""
     return timeline_events(timelines).select(
-        SESSION, "part", "n_parts", "place", F.col("track_index").alias("track"),
+        SESSION, "place", F.col("track_index").alias("track"),
         seconds_to_frames(F.col("time_s"), F.col("fps")).alias("frame"),
         F.format_string("%.4f", linear_gain(F.col("target_db"))).alias("gain"))

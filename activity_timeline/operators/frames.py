@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from math import ceil, gcd, log10
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import level_db, whole
@@ -31,6 +31,12 @@ def pane_energy(samples: DataFrame, params: Params) -> DataFrame:
         F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("energy"))
 
 
+def known_track() -> Column:
+    """The track of a row; any but 0 and 1 is an error."""
+    return F.when(F.col("track").isin(0, 1), F.col("track")).otherwise(
+        F.raise_error(F.lit("tracks other than 0 and 1 cannot be paired")).cast("int"))
+
+
 def paired_energy(samples: DataFrame, params: Params, block: int | None = None) -> DataFrame:
     """Energy of both tracks per pane: session_id, [slice], pane, n, energy_0, energy_1.
 
@@ -48,8 +54,10 @@ def paired_energy(samples: DataFrame, params: Params, block: int | None = None)
             keys = [SESSION, "slice", "pane"]
     square = F.col("x") * F.col("x")
 
+    lane = known_track()
+
     def of(track: int, value):
-        return F.when(F.col("track") == track, value)
+        return F.when(lane == track, value)
 
     return samples.groupBy(*keys).agg(
         F.greatest(F.count(of(0, 1)), F.count(of(1, 1))).alias("n"),

@@ -1,8 +1,8 @@
 """Editing-interchange XML from clip lists.
 
-Clips are turned into text one by one. The text of a session is put together
-from pieces, at most one timeline part at a time: sessions with one part give
-one row, longer ones several rows whose texts follow one another.
+Clips are turned into text one by one. A document is the pieces of its session
+in the order of (section, place), joined by line breaks; it is never held as a
+whole, so sessions may be of any length.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from activity_timeline.functions.numbers import (
     START_TIMECODE, TIMECODE_FORMAT, ntsc, seconds_to_frames, start_frame, timebase)
 from activity_timeline.functions.paths import file_name, file_uri, xml_text
 from activity_timeline.operators.clips import (
-    audio_clips, keyframes, mark_first_use, video_clips)
+    audio_clips, keyframes, mark_first_use, microphones, video_clips)
+from activity_timeline.operators.timelines import Timelines
 from activity_timeline.schemas import SESSION
 
-# Order of the pieces in a document; a track adds TRACK_SECTIONS to its sections.
+# Order of the sections in a document; track 1 adds TRACK_SECTIONS to those of a track.
 HEAD, VIDEO, VIDEO_END, AUDIO_HEAD, CLIP, KEYS_HEAD, KEYS, KEYS_END, CLIP_END = range(9)
 TRACK_SECTIONS = 5
-TAIL = 1_000_000
-PART_STRIDE = 1 << 40
+AUDIO_END, TAIL = 14, 15
+
+# The names and texts of elements below are fixed values of the format.
 
 
 def _leaf(depth: int, name: str, value) -> list:
@@ -108,21 +110,21 @@ def _audio_head() -> str:
     return "".join(pieces)
 
 
-def document_pieces(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame | None,
-                    name: str, width: int = 1920, height: int = 1080) -> DataFrame:
-    """The text of all documents as pieces: session_id, n_parts, section, chunk, place, text."""
-    def pieces(df: DataFrame, *texts: tuple, chunk: str | None = None,
-               place: str | None = None) -> DataFrame:
-        """Rows of (section, text) pairs; chunk and place count only in lists of clips or keys."""
-        chunk, place = (F.col(c) if c else F.lit(0) for c in (chunk, place))
-        return df.select(
-            SESSION, "n_parts", chunk.cast("bigint").alias("chunk"),
-            place.cast("bigint").alias("place"), F.inline(F.array(*[
-                F.struct((F.lit(s) if isinstance(s, int) else s).cast("bigint").alias("section"),
+def sequence_documents(timelines: Timelines, cameras: DataFrame, tracks: DataFrame | None,
+                       name: str, width: int = 1920, height: int = 1080) -> DataFrame:
+    """The text of all documents as pieces: session_id, section, place, text."""
+    def pieces(df: DataFrame, *texts: tuple, place: str | None = None) -> DataFrame:
+        """Rows of (section, text) pairs; place counts only in lists of clips or keys."""
+        found = df.select(
+            SESSION, (F.col(place) if place else F.lit(0)).cast("bigint").alias("place"),
+            F.inline(F.array(*[
+                F.struct((F.lit(s) if isinstance(s, int) else s).cast("int").alias("section"),
                          (F.lit(t) if isinstance(t, str) else t).alias("text"))
                 for s, t in texts])))
+        return found.select(SESSION, "section", "place",
+                            F.rtrim("text", F.lit("\n")).alias("text"))
 
-    heads = timelines.where(F.col("part") == 0)
+    heads = timelines.heads
     clips = mark_first_use(video_clips(timelines, cameras))
     fps = F.col("fps")
     reference = ['            <file id="', F.col("file_id"), '" />\n']
@@ -136,15 +138,15 @@ def document_pieces(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame
         pieces(heads, (HEAD, _head(name, width, height)),
                (VIDEO_END, _closing(4, "track", "video")),
                (TAIL, _closing(2, "media") + "  </sequence>\n</xmeml>")),
-        pieces(clips, (VIDEO, clip_text), chunk="part", place="seg_idx"),
+        pieces(clips, (VIDEO, clip_text), place="seg_idx"),
     ]
     if tracks is not None:
         audio = audio_clips(timelines, tracks)
-        # tracks named by any gain event; repeats go inside the row, before the shuffle
-        keyed = timelines.select(SESSION, F.explode(F.array_distinct(F.transform(
-            "ducking_events", lambda e: e["track_index"]))).alias("track")).distinct()
-        keys = keyframes(timelines).join(audio.select(SESSION, "track"), [SESSION, "track"],
-                                         "left_semi")
+        mics = microphones(tracks).select(SESSION)
+        # tracks named by any gain event
+        keyed = timelines.events.select(SESSION, F.col("track_index").alias("track")).distinct()
+        keys = (keyframes(timelines).where(F.col("track").isin(0, 1))
+                .join(mics, SESSION, "left_semi"))
 
         def section(base: int) -> Column:
             return F.col("track") * TRACK_SECTIONS + base
@@ -166,22 +168,11 @@ def document_pieces(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame
         found += [
             pieces(audio, (section(CLIP), opening),
                    (section(CLIP_END), _closing(5, "clipitem", "track"))),
-            pieces(audio.where(F.col("track") == 0), (AUDIO_HEAD, _audio_head()),
-                   (TAIL - 1, _closing(3, "audio"))),
+            pieces(heads.join(mics, SESSION, "left_semi"), (AUDIO_HEAD, _audio_head()),
+                   (AUDIO_END, _closing(3, "audio"))),
             pieces(audio.join(keyed, [SESSION, "track"], "left_semi"),
                    (section(KEYS_HEAD), filter_head),
                    (section(KEYS_END), _closing(8, "parameter", "effect", "filter"))),
-            pieces(keys, (section(KEYS), key_text), chunk="part", place="place"),
+            pieces(keys, (section(KEYS), key_text), place="place"),
         ]
     return reduce(DataFrame.unionByName, found)
-
-
-def sequence_documents(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame | None,
-                       name: str, width: int = 1920, height: int = 1080) -> DataFrame:
-    """session_id, part, xml; the texts of a session's parts in order are its document."""
-    pieces = document_pieces(timelines, cameras, tracks, name, width, height)
-    part = F.when(F.col("n_parts") == 1, F.lit(0).cast("bigint")).otherwise(
-        F.col("section") * F.lit(PART_STRIDE) + F.col("chunk"))
-    ordered = F.sort_array(F.collect_list(F.struct("section", "chunk", "place", "text")))
-    return (pieces.groupBy(SESSION, part.alias("part"))
-            .agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("xml")))

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from activity_timeline.operators.timelines import timeline_segments
+from activity_timeline.operators.timelines import Timelines, timeline_segments
 from activity_timeline.schemas import SESSION
 
 BAR_WIDTH = 50  # fixed value: characters for the whole session
 
 
-def timeline_summary(timelines: DataFrame) -> DataFrame:
+def timeline_summary(timelines: Timelines) -> DataFrame:
     """Duration, rate, number of segments and of gain events per session, and as text."""
-    counts = timelines.groupBy(SESSION).agg(
-        F.max("total_duration_s").alias("total_duration_s"), F.max("fps").alias("fps"),
-        F.sum(F.size("segments")).alias("n_segments"),
-        F.sum(F.size("ducking_events")).alias("n_ducking_events"))
+    counts = timelines.heads
+    for items, name in ((timelines.segments, "n_segments"),
+                        (timelines.events, "n_ducking_events")):
+        found = items.groupBy(SESSION).agg(F.count("*").alias(name))
+        counts = counts.join(found, SESSION, "left").fillna(0, [name])
+    # the lines that are printed: fixed values
     return counts.select(
         "*",
         F.format_string("Duration: %.1fs | FPS: %s | Segments: %d", "total_duration_s",
@@ -25,7 +27,7 @@ def timeline_summary(timelines: DataFrame) -> DataFrame:
                F.format_string("Ducking events: %d", "n_ducking_events")).alias("footer"))
 
 
-def segment_report(timelines: DataFrame) -> DataFrame:
+def segment_report(timelines: Timelines) -> DataFrame:
     """One row per segment: number, label (or state if it has none), bar, printed line."""
     share = (F.col("end_s") - F.col("start_s")) / F.nullif(F.col("total_duration_s"), F.lit(0.0))
     width = F.greatest(F.lit(1), F.coalesce((share * BAR_WIDTH).cast("int"), F.lit(1)))

@@ -57,19 +57,25 @@ def align_pad(samples: DataFrame, tracks: DataFrame | None = None,
     return samples.select(*TRACK_KEYS, "idx", "x").unionByName(zeros)
 
 
-def resample(samples: DataFrame, from_rate: int, to_rate: int,
+def resample(samples: DataFrame, from_rate: int | Column, to_rate: int,
              block: int | None = None) -> DataFrame:
     """Linear interpolation to another rate; the last value is held at the end.
 
+    `from_rate` may be a column with one value per track; tracks that have the
+    rate already stay as they are.
+
     Each source sample writes the output samples that fall between it and the
     next one, so nothing is joined but the length of the track.
     """
-    if from_rate == to_rate:
-        return samples
+    if not isinstance(from_rate, Column):
+        if from_rate == to_rate:
+            return samples
+        from_rate = F.lit(from_rate)
+    samples = samples.select(*TRACK_KEYS, "idx", "x", from_rate.cast("double").alias("_rate"))
     if block is None:
         line = Window.partitionBy(*TRACK_KEYS).orderBy("idx")
         track = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ready = samples.select(*TRACK_KEYS, "idx", "x", F.count("*").over(track).alias("n"),
+        ready = samples.select(*TRACK_KEYS, "idx", "x", "_rate", F.count("*").over(track).alias("n"),
                                F.lead("x").over(line).alias("next_x"))
     else:
         slice_keys = [*TRACK_KEYS, "_slice"]
@@ -86,7 +92,8 @@ def resample(samples: DataFrame, from_rate: int, to_rate: int,
     # a decimal product cannot overflow on tracks that need slices
     wide = "bigint" if block is None else "decimal(19,0)"
     n, idx = F.col("n"), F.col("idx")
-    made = ready.withColumn("n_out", (n / F.lit(from_rate) * F.lit(to_rate)).cast("bigint"))
+    made = ready.withColumn("n_out", F.when(F.col("_rate") == to_rate, n).otherwise(
+        (n / F.col("_rate") * F.lit(to_rate)).cast("bigint")))
 
     def first_output(i: Column) -> Column:
         product = i.cast(wide) * F.col("n_out").cast(wide)

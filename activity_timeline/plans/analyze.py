@@ -12,7 +12,7 @@ from activity_timeline.operators.rules import assign_cameras
 from activity_timeline.operators.segments import segment_states
 from activity_timeline.operators.signal import session_duration
 from activity_timeline.operators.slices import GROUP_ROWS, choose_block
-from activity_timeline.operators.timelines import PART_SEGMENTS, assemble
+from activity_timeline.operators.timelines import Timelines, assemble
 from activity_timeline.params import Params
 from activity_timeline.schemas import DEFAULT_FPS, SESSION
 
@@ -21,6 +21,8 @@ CHOOSE = "choose"
 
 
 def _chosen(samples: DataFrame, params: Params, block: int | None | str) -> int | None:
+    if "sample_rate" in samples.columns:
+        raise ValueError("samples still have the rates of their files; ingest() brings them to one")
     if block == CHOOSE:
         block = choose_block(samples, [SESSION], per=params.hop_samples)
     return frame_block(params, block)
@@ -54,10 +56,8 @@ def segments(samples: DataFrame, params: Params, block: int | None | str = CHOOS
 
 
 def analyze(samples: DataFrame, tracks: DataFrame | None, params: Params,
-            fps: float | Column = DEFAULT_FPS, block: int | None | str = CHOOSE,
-            part_segments: int = PART_SEGMENTS) -> DataFrame:
+            fps: float | Column = DEFAULT_FPS, block: int | None | str = CHOOSE) -> Timelines:
     """Timelines of all sessions. `samples`: session_id, track (0 or 1), idx, x."""
     block = _chosen(samples, params, block)
     placed = assign_cameras(segments(samples, params, block), tracks, params, block)
-    return assemble(placed, session_duration(samples, params.sample_rate), params, fps,
-                    part_segments, block)
+    return assemble(placed, session_duration(samples, params.sample_rate), params, fps)

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from activity_timeline.operators.interchange import sequence_documents
-from activity_timeline.operators.slices import settle
-from activity_timeline.sources.documents import write_relation
+from activity_timeline.operators.timelines import Timelines
+from activity_timeline.sources.documents import write_documents
 
 SEQUENCE_NAME = "Rough Cut"
 
 
-def export(timelines: DataFrame, cameras: DataFrame, tracks: DataFrame | None = None,
+def export(timelines: Timelines, cameras: DataFrame, tracks: DataFrame | None = None,
            name: str = SEQUENCE_NAME, width: int = 1920, height: int = 1080) -> DataFrame:
-    """session_id, part, xml. Without `tracks` (or without their paths) there is no audio.
+    """session_id, section, place, text: the texts of a session in order, joined by line breaks.
 
-    A document is put together from several views of its timeline, so the
-    timelines are written once and not computed for each view.
+    There is no audio without `tracks`, nor for sessions where not both tracks
+    have a path. A document is made from several views of its timeline; where
+    timelines are costly to compute, write them first and export what is read back.
     """
-    return sequence_documents(settle(timelines), cameras, tracks, name, width, height)
+    return sequence_documents(timelines, cameras, tracks, name, width, height)
 
 
-def save(documents: DataFrame, path: str, buckets: int = 64) -> None:
-    write_relation(documents, path, buckets)
+def save(documents: DataFrame, path: str) -> None:
+    write_documents(documents, path)

@@ -6,36 +6,66 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from activity_timeline.operators.timelines import TIMELINE, check_documents
-from activity_timeline.schemas import DOCUMENT, SESSION
+from activity_timeline.operators.timelines import (
+    LINE_KEYS, Timelines, check_timelines, from_whole_documents)
+from activity_timeline.schemas import DOCUMENT, GAIN_EVENT, SEGMENT, SESSION
 
+_KEY = T.StructField(SESSION, T.LongType())
+LAYOUT = {
+    "heads": T.StructType([_KEY, DOCUMENT["total_duration_s"], DOCUMENT["fps"]]),
+    "segments": T.StructType([_KEY, T.StructField("seg_idx", T.LongType()), *SEGMENT.fields]),
+    "events": T.StructType([_KEY, T.StructField("place", T.LongType()), *GAIN_EVENT.fields]),
+}
 
-def read_timeline_files(spark: SparkSession, path: str, session: Column | None = None) -> DataFrame:
-    """Timelines from indented JSON files, one document per file.
 
-    The session is a number in the file name unless `session` says otherwise.
+def read_timeline_files(spark: SparkSession, path: str, session: Column | None = None) -> Timelines:
+    """Timelines from JSON files in any layout, one document per file and one file per session.
+
+    The session is a number in the file name unless `session` says otherwise. A
+    file is read as one text, so it must be shorter than 2 GB.
     """
     if session is None:
-        session = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("bigint")
-    read = (spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST")
-            .json(path))
-    flat = read.select(session.alias(SESSION), F.lit(0).cast("bigint").alias("part"),
-                       F.lit(1).cast("bigint").alias("n_parts"),
-                       F.lit(0).cast("bigint").alias("first_segment"), *DOCUMENT.fieldNames())
-    return check_documents(flat).select(*TIMELINE)
+        name = F.col("_metadata.file_name")
+        session = F.when(name.rlike(r"\d"), F.regexp_extract(name, r"(\d+)", 1)).otherwise(
+            F.raise_error(F.concat(F.lit("no session number in the file name "), name)))
+    read = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return from_whole_documents(read.select(session.cast("bigint").alias(SESSION),
+                                            F.col("value").alias("json")))
+
 
+def write_timelines(timelines: Timelines, path: str) -> None:
+    """The three relations as JSON lines in folders below `path`; nulls are written, too.
 
-def write_timelines(timelines: DataFrame, path: str, buckets: int = 64) -> None:
-    """JSON documents, one line each, in bucket folders; nulls are written, too."""
-    write_relation(timelines, path, buckets, "json", ignoreNullFields="false")
+    Rows are dealt by ranges of their keys, so a long session takes several files.
+    """
+    for name, schema in LAYOUT.items():
+        df = getattr(timelines, name).select(*schema.fieldNames())
+        keys = [c for c in (SESSION, "seg_idx", "place") if c in df.columns]
+        (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+         .write.option("ignoreNullFields", "false").json(f"{path}/{name}"))
 
 
-def read_timelines(spark: SparkSession, path: str) -> DataFrame:
+def read_timelines(spark: SparkSession, path: str) -> Timelines:
     """Timelines written by write_timelines."""
-    keys = [T.StructField(n, T.LongType()) for n in TIMELINE if n not in DOCUMENT.fieldNames()]
-    read = (spark.read.schema(T.StructType([*keys, *DOCUMENT.fields]))
-            .option("mode", "FAILFAST").json(path))
-    return check_documents(read).select(*TIMELINE)
+    return check_timelines(Timelines(**{
+        name: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{name}")
+        for name, schema in LAYOUT.items()}))
+
+
+def write_documents(lines: DataFrame, path: str) -> None:
+    """Documents piece by piece, in order across the files of the dataset."""
+    (lines.repartitionByRange(*LINE_KEYS).sortWithinPartitions(*LINE_KEYS)
+     .write.parquet(path))
+
+
+def write_document_files(lines: DataFrame, path: str) -> None:
+    """One text file per session, in a folder session_id=... of its own.
+
+    A file is written from its start to its end, so the pieces of a session
+    stream through one task; sorting them may spill. No task holds a document.
+    """
+    (lines.repartition(SESSION).sortWithinPartitions(*LINE_KEYS).select("text", SESSION)
+     .write.partitionBy(SESSION).text(path))
 
 
 def write_relation(df: DataFrame, path: str, buckets: int = 64, format: str = "parquet",

@@ -85,9 +85,10 @@ def _reader(piece_bytes: int):
                 with system.open_input_file(name) as file:
                     code, channels, rate, bits, start, size = _layout(file)
                     width = channels * bits // 8
-                    frames = piece_bytes // width
-                    first = piece * frames
-                    count = min(frames, size // width - first)
+                    # a frame belongs to the piece that holds its first byte
+                    first = -(-piece * piece_bytes // width)
+                    last = min(-(-(piece + 1) * piece_bytes // width), size // width)
+                    count = last - first
                     if count <= 0:
                         continue
                     file.seek(start + first * width)
@@ -106,16 +107,19 @@ def read_wav(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) ->
     """path, sample_rate, channels, first, values: pieces of mono samples from sample `first`."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]")
              .option("recursiveFileLookup", "true").load(path).select("path", "length"))
-    # a piece holds whole frames, so it may be a little shorter than piece_bytes
-    last = whole(F.col("length"), max(piece_bytes // 2, 1))
+    last = whole(F.greatest(F.col("length") - 1, F.lit(0)), piece_bytes)
     pieces = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
                           .alias("piece")).repartition("path", "piece")
     return pieces.mapInArrow(_reader(piece_bytes), PIECES)
 
 
 def wav_samples(pieces: DataFrame, session: Column, track: Column) -> DataFrame:
-    """Samples of WAV pieces; `session` and `track` are made from the path."""
+    """Samples of WAV pieces at the rates of their files: session_id, track, idx, x, sample_rate.
+
+    `session` and `track` are made from the path. `ingest` brings them to one rate.
+    """
     return (pieces.select(session.cast("bigint").alias("session_id"),
-                          track.cast("int").alias("track"), "first",
+                          track.cast("int").alias("track"), "first", "sample_rate",
                           F.posexplode("values").alias("place", "x"))
-            .select(*TRACK_KEYS, (F.col("first") + F.col("place")).alias("idx"), "x"))
+            .select(*TRACK_KEYS, (F.col("first") + F.col("place")).alias("idx"), "x",
+                    "sample_rate"))

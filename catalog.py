@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from activity_timeline import Params, analyze, export, preview
+from activity_timeline import Params, analyze, export, ingest, preview
 from activity_timeline.functions.numbers import (
     START_TIMECODE, TIMECODE_FORMAT, ntsc, seconds_to_frames, start_frame, timebase)
 from activity_timeline.functions.paths import file_name, file_stem, file_uri
@@ -35,6 +35,7 @@ PANE_PARAMS = Params(sample_rate=1000, hop_ms=20.0)
 TURN_PARAMS = Params(sample_rate=15, hop_ms=100.0, window_ms=100.0, debounce_ms=10_000.0,
                      min_segment_ms=20_000.0, ducking_enabled=True)
 HOT_SLICE = 852
+TURN_STRIDE = 1 << 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,10 +167,10 @@ def merged(spark, sf_dir):
 
 
 def merge_runs(spark, sf_dir):
-    """Merging alone, on runs without their silences."""
+    """Merging alone, on all runs after debouncing, which leaves equal neighbours."""
     found, block = _event_runs(spark, sf_dir)
-    loud = found.where(F.col("speaker_state") != "silence")
-    return _seconds(segments.merge_adjacent(loud, block))
+    short = segments.absorb_short(found, EVENT_PARAMS.debounce_s, block)
+    return _seconds(segments.merge_adjacent(short, block))
 
 
 def event_segments(spark, sf_dir):
@@ -220,8 +221,11 @@ def resample_up(spark, sf_dir):
     return _resampled(spark, sf_dir, 16_000, 44_100)
 
 
-def wav_samples(spark, sf_dir):
-    """Stereo 16-bit files made from groups of eight vectors, read back and mixed."""
+RATES = (8_000, 16_000, 44_100)
+
+
+def _wav_pieces(spark: SparkSession, sf_dir: str, rate, suffix) -> DataFrame:
+    """Stereo 16-bit files made from groups of eight vectors, read back in pieces."""
     # the package for the Python workers, as any job would submit it
     spark.sparkContext.addPyFile(_package_archive())
     folder = scratch_path(spark, "wav")
@@ -230,11 +234,28 @@ def wav_samples(spark, sf_dir):
              .agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
              .select("session_id", F.transform(
                  F.flatten(F.transform("v", lambda s: s["embedding"])),
-                 lambda x: F.floor(x.cast("double") * 32768.0).cast("int")).alias("values")))
+                 lambda x: F.floor(x.cast("double") * 32768.0).cast("int")).alias("values"),
+                 rate(F.col("session_id")).alias("rate"),
+                 F.concat(F.col("session_id"), suffix(F.col("session_id"))).alias("name")))
     parts.mapInPandas(_wav_writer(folder), "path string").count()
+    return wav.read_wav(spark, folder, piece_bytes=510)
+
+
+def wav_samples(spark, sf_dir):
+    pieces = _wav_pieces(spark, sf_dir, lambda n: F.lit(16_000), lambda n: F.lit(".wav"))
     number = F.regexp_extract("path", r"(\d+)\.wav$", 1)
-    pieces = wav.read_wav(spark, folder, piece_bytes=512)
-    return _six(wav.wav_samples(pieces, number, F.lit(0)), "x")
+    return _six(wav.wav_samples(pieces, number, F.lit(0)).drop("sample_rate"), "x")
+
+
+def wav_ingest(spark, sf_dir):
+    """Files of three rates, two to a session and half of them .WAV, brought to 16 kHz."""
+    pieces = _wav_pieces(
+        spark, sf_dir,
+        lambda n: F.element_at(F.array(*[F.lit(r) for r in RATES]), (n % 3 + 1).cast("int")),
+        lambda n: F.when(n % 2 == 0, ".wav").otherwise(".WAV"))
+    number = F.regexp_extract("path", r"(\d+)\.(?i:wav)$", 1).cast("bigint")
+    samples = wav.wav_samples(pieces, F.call_function("div", number, F.lit(2)), number % 2)
+    return _six(ingest(samples, Params()), "x")
 
 
 def _wav_writer(folder: str):
@@ -246,15 +267,15 @@ def _wav_writer(folder: str):
         system, root = locate(folder)
         system.create_dir(root, recursive=True)
         for batch in batches:
-            for number, values in zip(batch["session_id"], batch["values"]):
-                with system.open_output_stream(f"{root}/{number}.wav") as file, \
+            for name, rate, values in zip(batch["name"], batch["rate"], batch["values"]):
+                with system.open_output_stream(f"{root}/{name}") as file, \
                         wave.open(file, "wb") as out:
                     out.setnchannels(2)
                     out.setsampwidth(2)
-                    out.setframerate(16_000)
+                    out.setframerate(rate)
                     out.setnframes(len(values) // 2)
                     out.writeframesraw(np.asarray(values, "<i2").tobytes())
-            yield batch[["session_id"]].astype(str).rename(columns={"session_id": "path"})
+            yield batch[["name"]].rename(columns={"name": "path"})
     return write
 
 
@@ -327,8 +348,8 @@ def timelines_lineitem(spark, sf_dir):
 
 # ---- conversations: turns are segments, 15 characters take a second ----
 
-def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
-    read = _table(spark, sf_dir, "conversations")
+def _turns(spark: SparkSession, sf_dir: str, table=_table) -> tuple[DataFrame, int | None]:
+    read = table(spark, sf_dir, "conversations")
     block = choose_block(read, ["conv_id"])
     spoken = read.select(
         F.col("conv_id").alias(SESSION), F.col("turn").alias("pos"),
@@ -343,14 +364,15 @@ def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
         ((F.col("before") + F.col("chars")) / rate).alias("end_s"), "speaker_state")), block
 
 
-def _turn_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
-    raw, block = _turns(spark, sf_dir)
+def _turn_segments(spark: SparkSession, sf_dir: str,
+                   table=_table) -> tuple[DataFrame, int | None]:
+    raw, block = _turns(spark, sf_dir, table)
     return segments.clean_segments(raw, TURN_PARAMS, block), block
 
 
-def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tracks(spark: SparkSession, sf_dir: str, table=_table) -> DataFrame:
     """Two tracks per conversation; every fifth has none, every seventh an empty label."""
-    ids = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias(SESSION)).distinct()
+    ids = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias(SESSION)).distinct()
     number = F.col(SESSION)
     rows = F.array(
         F.struct(F.lit(0).alias("track"),
@@ -363,9 +385,9 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.where(number % 5 != 0).select(SESSION, F.inline(rows))
 
 
-def _cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cameras(spark: SparkSession, sf_dir: str, table=_table) -> DataFrame:
     """Three cameras per conversation; every fourth has only two."""
-    ids = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias(SESSION)).distinct()
+    ids = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias(SESSION)).distinct()
     number = F.col(SESSION)
     rows = F.array(*[F.struct(F.lit(i).alias("camera_index"), F.concat(
         F.lit("/cam/"), number, F.lit(f"/{name}.mp4")).alias("path"))
@@ -381,16 +403,23 @@ def _fps(number):
     return F.element_at(F.array(*[F.lit(f) for f in FPS]), (number % len(FPS) + 1).cast("int"))
 
 
-def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (_table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias(SESSION))
+def _durations(spark: SparkSession, sf_dir: str, table=_table) -> DataFrame:
+    return (table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias(SESSION))
             .agg((F.sum(F.length("text")) / F.lit(15.0)).alias("total_duration_s")))
 
 
-def _timelines(spark: SparkSession, sf_dir: str, part_segments: int = timelines.PART_SEGMENTS):
-    found, block = _turn_segments(spark, sf_dir)
-    placed = rules.assign_cameras(found, _tracks(spark, sf_dir), TURN_PARAMS, block)
-    return timelines.assemble(placed, _durations(spark, sf_dir), TURN_PARAMS,
-                              _fps(F.col(SESSION)), part_segments, block)
+def _timelines(spark: SparkSession, sf_dir: str, table=_table) -> timelines.Timelines:
+    found, block = _turn_segments(spark, sf_dir, table)
+    placed = rules.assign_cameras(found, _tracks(spark, sf_dir, table), TURN_PARAMS, block)
+    return timelines.assemble(placed, _durations(spark, sf_dir, table), TURN_PARAMS,
+                              _fps(F.col(SESSION)))
+
+
+def _one_conversation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """All turns of all conversations, one after the other, as a single conversation."""
+    return _table(spark, sf_dir, name).select(
+        F.lit(1).cast("bigint").alias("conv_id"),
+        (F.col("conv_id") * TURN_STRIDE + F.col("turn")).alias("turn"), "role", "text")
 
 
 def turn_segments(spark, sf_dir):
@@ -414,10 +443,13 @@ def gain_events(spark, sf_dir):
 
 
 def timeline_counts(spark, sf_dir):
-    return _six(_timelines(spark, sf_dir).select(
-        SESSION, "total_duration_s", "fps", F.size("segments").alias("n_segments"),
-        F.size("ducking_events").alias("n_events"),
-        F.get("segments", F.lit(0))["speaker_state"].alias("first_state")), "total_duration_s")
+    made = _timelines(spark, sf_dir)
+    spoken = made.segments.groupBy(SESSION).agg(
+        F.count("*").cast("int").alias("n_segments"),
+        F.min_by("speaker_state", "seg_idx").alias("first_state"))
+    changes = made.events.groupBy(SESSION).agg(F.count("*").cast("int").alias("n_events"))
+    return _six(made.heads.join(spoken, SESSION, "left").join(changes, SESSION, "left")
+                .fillna(0, ["n_segments", "n_events"]), "total_duration_s")
 
 
 def frame_numbers(spark, sf_dir):
@@ -449,8 +481,7 @@ def file_uris(spark, sf_dir):
 
 
 def video_clips(spark, sf_dir):
-    return clips.video_clips(_timelines(spark, sf_dir), _cameras(spark, sf_dir)).drop(
-        "part", "n_parts")
+    return clips.video_clips(_timelines(spark, sf_dir), _cameras(spark, sf_dir))
 
 
 def file_first_use(spark, sf_dir):
@@ -459,14 +490,14 @@ def file_first_use(spark, sf_dir):
 
 
 def audio_clips(spark, sf_dir):
-    return clips.audio_clips(_timelines(spark, sf_dir), _tracks(spark, sf_dir)).drop("n_parts")
+    return clips.audio_clips(_timelines(spark, sf_dir), _tracks(spark, sf_dir))
 
 
 def keyframes(spark, sf_dir):
     return clips.keyframes(_timelines(spark, sf_dir)).select(SESSION, "track", "frame", "gain")
 
 
-def _flat(made: DataFrame) -> DataFrame:
+def _flat(made: timelines.Timelines) -> DataFrame:
     return _six(timelines.timeline_segments(made).select(
         SESSION, "seg_idx", "total_duration_s", "fps", "start_s", "end_s", "camera_index",
         "speaker_state", "speaker_label"), "total_duration_s", "start_s", "end_s")
@@ -477,19 +508,27 @@ def timeline_json_roundtrip(spark, sf_dir):
 
 
 def timeline_parts(spark, sf_dir):
-    """Timelines cut into parts of two segments, written as JSON and read back."""
+    """Timelines as a dataset in three parts, written as JSON lines and read back."""
     path = scratch_path(spark, "timelines")
-    documents.write_timelines(_timelines(spark, sf_dir, 2), path, 4)
+    documents.write_timelines(_timelines(spark, sf_dir), path)
     return _flat(documents.read_timelines(spark, path))
 
 
-def timeline_files(spark, sf_dir):
-    """One JSON document per session in a folder of its own, read back as whole files."""
+def _through_files(spark: SparkSession, made: timelines.Timelines) -> DataFrame:
     path = scratch_path(spark, "documents")
-    (timelines.to_document(_timelines(spark, sf_dir)).select("json", SESSION)
-     .write.partitionBy(SESSION).text(path))
+    documents.write_document_files(timelines.to_document(made), path)
     number = F.regexp_extract(F.col("_metadata.file_path"), r"session_id=(\d+)", 1)
-    return _flat(documents.read_timeline_files(spark, path, number.cast("bigint")))
+    return _flat(documents.read_timeline_files(spark, path, number))
+
+
+def timeline_files(spark, sf_dir):
+    """One JSON document per session in a folder of its own, read back as whole files."""
+    return _through_files(spark, _timelines(spark, sf_dir))
+
+
+def long_session_json(spark, sf_dir):
+    """All turns as one session, through its one document."""
+    return _through_files(spark, _timelines(spark, sf_dir, _one_conversation))
 
 
 def timeline_event_rows(spark, sf_dir):
@@ -510,17 +549,24 @@ def sequence_xml(spark, sf_dir):
     return export(_timelines(spark, sf_dir), _cameras(spark, sf_dir), _tracks(spark, sf_dir))
 
 
+def long_session_xml(spark, sf_dir):
+    """The document of all turns as one session."""
+    return export(_timelines(spark, sf_dir, _one_conversation),
+                  _cameras(spark, sf_dir, _one_conversation),
+                  _tracks(spark, sf_dir, _one_conversation))
+
+
 def sequence_xml_video(spark, sf_dir):
     """Documents without audio, written as a dataset and read back."""
     path = scratch_path(spark, "xml")
     made = export(_timelines(spark, sf_dir), _cameras(spark, sf_dir), name="A <b> & c")
-    documents.write_relation(made, path, 4)
-    return spark.read.parquet(path).select(SESSION, "part", "xml")
+    documents.write_documents(made, path)
+    return spark.read.parquet(path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
-        track_index, array_samples, chunked_samples, wav_samples, mono_mixdown,
+        track_index, array_samples, chunked_samples, wav_samples, wav_ingest, mono_mixdown,
         mono_mixdown_rows, resample_linear, resample_up, align_pad, session_duration,
         frame_rms, frame_rms_panes, ema_envelope, frame_table, frame_dataset, activity_flag,
         speaker_states, joint_states, runs, debounced, min_length, merged, merge_runs,
@@ -528,5 +574,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         timeline_counts, frame_numbers, rate_class, start_timecode, file_uris, video_clips,
         file_first_use, audio_clips, keyframes, timeline_json_roundtrip, timeline_files,
         timeline_parts, timeline_event_rows, timeline_summary, segment_report, sequence_xml,
-        sequence_xml_video, segments_lineitem, segments_hot_session, segments_hot_slices,
+        sequence_xml_video, long_session_json, long_session_xml, segments_lineitem, segments_hot_session, segments_hot_slices,
         timelines_lineitem)}

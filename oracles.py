@@ -6,7 +6,8 @@ recursive smoothing and state machines, islands by running counts.
 
 from __future__ import annotations
 
-from catalog import (EVENT_PARAMS, FPS, LINE_ORDER, LINE_PARAMS, PANE_PARAMS, TURN_PARAMS)
+from catalog import (EVENT_PARAMS, FPS, LINE_ORDER, LINE_PARAMS, PANE_PARAMS, RATES, TURN_PARAMS,
+                     TURN_STRIDE)
 
 
 def _d(value: float) -> str:
@@ -192,14 +193,25 @@ def _line_segments(session: str) -> list[str]:
             *_clean("runs", LINE_PARAMS), _NUMBERED]
 
 
-def _resampled(from_rate: int, to_rate: int) -> str:
-    return _with([_VECTORS], f"""SELECT o.session_id, o.track, o.j AS idx,
+_WAV = """samples AS MATERIALIZED (
+  SELECT g // 2 AS session_id, CAST(g % 2 AS INTEGER) AS track, idx,
+         avg(floor(v * 32768) / CAST(32768 AS DOUBLE)) AS x
+  FROM (SELECT g, (vec_id % 8 - opens) * 32 + p // 2 AS idx, CAST(embedding[p + 1] AS DOUBLE) AS v
+        FROM (SELECT *, unnest(range(0, len(embedding))) AS p
+              FROM (SELECT *, vec_id // 8 AS g,
+                           min(vec_id % 8) OVER (PARTITION BY vec_id // 8) AS opens FROM embeddings)))
+  GROUP BY ALL)"""
+
+
+def _resampled(from_rate: int | str, to_rate: int, samples: str = _VECTORS) -> str:
+    return _with([samples], f"""SELECT o.session_id, o.track, o.j AS idx,
        round(a.x + (o.at - o.i) * (coalesce(b.x, a.x) - a.x), 6) AS x
 FROM (SELECT *, CAST(j AS DOUBLE) * n / n_out AS at, j * n // n_out AS i
       FROM (SELECT *, unnest(range(0, n_out)) AS j
-            FROM (SELECT session_id, track, count(*) AS n, CAST(floor(
-                    CAST(count(*) AS DOUBLE) / {from_rate} * {to_rate}) AS BIGINT) AS n_out
-                  FROM samples GROUP BY ALL))) o
+            FROM (SELECT session_id, track, count(*) AS n,
+                         CASE WHEN {from_rate} = {to_rate} THEN count(*) ELSE CAST(floor(
+                    CAST(count(*) AS DOUBLE) / {from_rate} * {to_rate}) AS BIGINT) END AS n_out
+                  FROM samples GROUP BY session_id, track))) o
 JOIN samples a ON a.session_id = o.session_id AND a.track = o.track AND a.idx = o.i
 LEFT JOIN samples b ON b.session_id = o.session_id AND b.track = o.track AND b.idx = o.i + 1""")
 
@@ -208,20 +220,26 @@ LEFT JOIN samples b ON b.session_id = o.session_id AND b.track = o.track AND b.i
 
 _FPS = "[" + ", ".join(_d(f) for f in FPS) + f"][session_id % {len(FPS)} + 1]"
 
-_TURNS = f"""turns AS (
+def _turns(session: str = "conv_id", pos: str = "turn") -> str:
+    return f"""turns AS (
   SELECT session_id, pos, speaker_state, (till - chars) / {_d(15.0)} AS start_s,
          till / {_d(15.0)} AS end_s
-  FROM (SELECT conv_id AS session_id, turn AS pos, length(text) AS chars,
+  FROM (SELECT {session} AS session_id, {pos} AS pos, length(text) AS chars,
                CASE role WHEN 'user' THEN 'speaker_a' WHEN 'assistant' THEN 'speaker_b'
                          ELSE 'silence' END AS speaker_state,
-               sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS till
+               sum(length(text)) OVER (PARTITION BY {session} ORDER BY {pos}) AS till
         FROM conversations))"""
 
-_DURATIONS = f"""durations AS (
+
+def _durations(session: str = "conv_id") -> str:
+    return f"""durations AS (
   SELECT session_id, total_duration_s, {_FPS} AS fps
-  FROM (SELECT conv_id AS session_id, sum(length(text)) / {_d(15.0)} AS total_duration_s
-        FROM conversations GROUP BY conv_id))"""
+  FROM (SELECT {session} AS session_id, sum(length(text)) / {_d(15.0)} AS total_duration_s
+        FROM conversations GROUP BY {session}))"""
+
 
+_TURNS, _DURATIONS = _turns(), _durations()
+_ONE, _ONE_POS = "CAST(1 AS BIGINT)", f"conv_id * {TURN_STRIDE} + turn"
 _TURN_SEGMENTS = [_TURNS, *_clean("turns", TURN_PARAMS), _NUMBERED]
 
 _PLAN = f"""plan AS (
@@ -241,6 +259,8 @@ _EVENTS_OF = f"""gains AS (
   FROM numbered, (VALUES (0, 'speaker_b'), (1, 'speaker_a')) AS t(track_index, other))"""
 
 _TIMELINE = [*_TURN_SEGMENTS, _PLAN, _DURATIONS, _EVENTS_OF]
+_LONG = [_turns(_ONE, _ONE_POS), *_clean("turns", TURN_PARAMS), _NUMBERED, _PLAN,
+         _durations(_ONE), _EVENTS_OF]
 
 
 def _frame(seconds: str) -> str:
@@ -314,7 +334,7 @@ def _clip(frames: str, start: str, end: str, name: str) -> str:
             f" || {_leaf(6, 'end', end)} || {_leaf(6, 'in', start)} || {_leaf(6, 'out', end)}")
 
 
-def _xml_sql(title: str, with_audio: bool) -> str:
+def _xml_sql(title: str, with_audio: bool, timeline: list[str] = _TIMELINE) -> str:
     head = " || ".join([
         _lines_of("<?xml version='1.0' encoding='utf-8'?>", '<xmeml version="5">', "  <sequence>"),
         _leaf(2, "name", f"'{title}'"), _leaf(2, "duration", _frame("total_duration_s")), _rate(2),
@@ -356,26 +376,32 @@ def _xml_sql(title: str, with_audio: bool) -> str:
         "            <channel>", "              <index>1</index>", "            </channel>",
         "          </group>", "        </outputs>")
     ctes = [
-        *_TIMELINE, _CLIPS, _AUDIO, _KEYS,
+        *timeline, _CLIPS, _AUDIO, _KEYS,
         "camera_uris AS (SELECT *, 'file://' || replace(url_encode(path), '%2F', '/') AS uri"
         " FROM used)",
         "mic_uris AS (SELECT *, 'file://' || replace(url_encode("
-        "replace(replace(path, '//', '/'), '/./', '/')), '%2F', '/') AS uri FROM audio)",
-        f"video_text AS (SELECT session_id, string_agg({video}, '' ORDER BY seg_idx) AS video"
-        " FROM camera_uris GROUP BY session_id)",
-        f"key_text AS (SELECT session_id, track, string_agg({key}, '' ORDER BY seg_idx) AS body"
-        " FROM keys GROUP BY session_id, track)",
-        f"audio_text AS (SELECT session_id, string_agg({audio} || coalesce({filter_head} || body"
-        f" || {filter_end}, '') || {_lines_of('          </clipitem>', '        </track>')}, ''"
-        " ORDER BY track) AS audio"
-        " FROM mic_uris LEFT JOIN key_text USING (session_id, track) GROUP BY session_id)"]
-    sound = f"coalesce({audio_head} || audio || {_lines_of('      </audio>')}, '')"
-    if not with_audio:
-        sound = "''"
-    return _with(ctes, f"""SELECT session_id, CAST(0 AS BIGINT) AS part,
-  {head} || coalesce(video, '') || {_lines_of('        </track>', '      </video>')} || {sound}
-  || {_lines_of('    </media>', '  </sequence>')} || '</xmeml>' AS xml
-FROM durations LEFT JOIN video_text USING (session_id) LEFT JOIN audio_text USING (session_id)""")
+        "replace(replace(path, '//', '/'), '/./', '/')), '%2F', '/') AS uri FROM audio)",]
+    def rows(section: str, place: str, text: str, source: str) -> str:
+        return (f"SELECT session_id, CAST({section} AS INTEGER) AS section,"
+                f" CAST({place} AS BIGINT) AS place, rtrim({text}, chr(10)) AS text FROM {source}")
+
+    found = [rows("0", "0", head, "durations"), rows("1", "seg_idx", video, "camera_uris"),
+             rows("2", "0", _lines_of("        </track>", "      </video>"), "durations"),
+             rows("15", "0", _lines_of("    </media>", "  </sequence>") + " || '</xmeml>'",
+                  "durations")]
+    if with_audio:
+        # every session of these queries has gain events, unless it has no segment
+        filtered = "mic_uris SEMI JOIN keys USING (session_id, track)"
+        found += [rows("3", "0", audio_head, "mic_uris WHERE track = 0"),
+                  rows("4 + 5 * track", "0", audio, "mic_uris"),
+                  rows("5 + 5 * track", "0", filter_head, filtered),
+                  rows("6 + 5 * track", "2 * seg_idx + track", key,
+                       "keys SEMI JOIN mic_uris USING (session_id, track)"),
+                  rows("7 + 5 * track", "0", filter_end, filtered),
+                  rows("8 + 5 * track", "0",
+                       _lines_of("          </clipitem>", "        </track>"), "mic_uris"),
+                  rows("14", "0", _lines_of("      </audio>"), "mic_uris WHERE track = 0")]
+    return _with(ctes, " UNION ALL ".join(found))
 
 
 def oracle_sql() -> dict[str, str]:
@@ -400,6 +426,7 @@ FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id""",
                                    " round(avg(x), 6) AS x FROM samples GROUP BY session_id, idx"),
         "resample_linear": _resampled(44_100, 16_000),
         "resample_up": _resampled(16_000, 44_100),
+        "wav_ingest": _resampled(f"{list(RATES)}[(session_id * 2 + track) % 3 + 1]", 16_000, _WAV),
         "align_pad": _with([_EVENTS, _PADDED, _PAD_PRESENT], "SELECT session_id, track, idx,"
                            " round(x, 6) AS x FROM padded SEMI JOIN present"
                            " USING (session_id, track)"),
@@ -427,9 +454,8 @@ FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id""",
         "debounced": _with([*_EVENT_RUNS, *_clean("runs", EVENT_PARAMS)], _seconds("debounced")),
         "min_length": _with([*_EVENT_RUNS, *_clean("runs", EVENT_PARAMS)], _seconds("lengthened")),
         "merged": _with([*_EVENT_RUNS, *_clean("runs", EVENT_PARAMS)], _seconds("merged")),
-        "merge_runs": _with([*_EVENT_RUNS, "loud AS (SELECT * FROM runs"
-                             " WHERE speaker_state <> 'silence')", _merge("joined", "loud")],
-                            _seconds("joined")),
+        "merge_runs": _with([*_EVENT_RUNS, *_clean("runs", EVENT_PARAMS),
+                             _merge("joined", "debounced")], _seconds("joined")),
         "event_segments": _with([*_PAD_FLAGS, _STATES, _runs(EVENT_PARAMS.hop_s),
                                  *_clean("runs", EVENT_PARAMS), _NUMBERED], _SEG),
         "segments_lineitem": _with(_line_segments("l_suppkey"), _SEG),
@@ -477,6 +503,7 @@ FROM (SELECT page_id, rtrim(replace('/media/ü *~/' || url, '//', '/'), '/') AS
         "keyframes": _with([*_TIMELINE, _KEYS], "SELECT session_id, track, frame, gain FROM keys"),
         "timeline_json_roundtrip": _with(_TIMELINE, _FLAT),
         "timeline_files": _with(_TIMELINE, _FLAT),
+        "long_session_json": _with(_LONG, _FLAT),
         "timeline_parts": _with(_TIMELINE, _FLAT),
         "timeline_event_rows": _with(_TIMELINE, "SELECT session_id, round(time_s, 6) AS time_s,"
                                      " target_db, track_index FROM gains"),
@@ -498,5 +525,6 @@ FROM (SELECT session_id, seg_idx + 1 AS number, start_s, end_s, camera_index,
                                           AS INTEGER))) AS bar
       FROM plan JOIN durations USING (session_id))"""),
         "sequence_xml": _xml_sql("Rough Cut", True),
+        "long_session_xml": _xml_sql("Rough Cut", True, _LONG),
         "sequence_xml_video": _xml_sql("A &lt;b&gt; &amp; c", False),
     }

@@ -58,18 +58,29 @@ def test_no_gain_events_when_ducking_is_off(spark):
     assert rules.gain_events(numbered(spark, {1: [A]}), Params()).count() == 0
 
 
-@pytest.mark.parametrize("block", [None, 2])
-def test_parts_hold_every_segment_once(spark, block):
+def listed(relation):
+    return sorted(tuple(r) for r in relation.select(sorted(relation.columns)).collect())
+
+
+def same(a, b):
+    return all(listed(x) == listed(y) for x, y in zip(a, b))
+
+
+def document_texts(lines):
+    out = {}
+    for r in sorted(lines.collect(), key=lambda r: (r.session_id, r.section, r.place)):
+        out.setdefault(r.session_id, []).append(r.text)
+    return {s: "\n".join(texts) for s, texts in out.items()}
+
+
+def test_timelines_hold_every_segment_once(spark):
     states = {1: [random.Random(2).choice([A, B, S]) for _ in range(11)], 2: [A], 3: [A] * 4}
     made = timelines.assemble(numbered(spark, states), durations(spark, {1: 11.5, 2: 1.0, 3: 4.0,
-                                                                         9: 0.5}),
-                              DUCK, 25.0, part_segments=4, block=block)
-    rows = sorted(made.collect(), key=lambda r: (r.session_id, r.part))
-    assert [(r.session_id, r.part, r.n_parts, r.first_segment, len(r.segments),
-             len(r.ducking_events), r.total_duration_s, r.fps) for r in rows] == [
-        (1, 0, 3, 0, 4, 8, 11.5, 25.0), (1, 1, 3, 4, 4, 8, 11.5, 25.0),
-        (1, 2, 3, 8, 3, 6, 11.5, 25.0), (2, 0, 1, 0, 1, 2, 1.0, 25.0),
-        (3, 0, 1, 0, 4, 8, 4.0, 25.0), (9, 0, 1, 0, 0, 0, 0.5, 25.0)]
+                                                                         9: 0.5}), DUCK, 25.0)
+    assert {tuple(r) for r in made.heads.collect()} == {
+        (1, 11.5, 25.0), (2, 1.0, 25.0), (3, 4.0, 25.0), (9, 0.5, 25.0)}
+    places = sorted((r.session_id, r.place) for r in made.events.collect())
+    assert places == sorted((s, i) for s, line in states.items() for i in range(2 * len(line)))
     flat = timelines.timeline_segments(made).collect()
     assert {(r.session_id, r.seg_idx, r.speaker_state) for r in flat} == {
         (s, i, v) for s, line in states.items() for i, v in enumerate(line)}
@@ -79,7 +90,7 @@ def test_document_text_and_back(spark, tracks):
     placed = rules.assign_cameras(numbered(spark, {1: [A, S]}), tracks, DUCK)
     made = timelines.assemble(placed, durations(spark, {1: 2.5}), DUCK)
     text = timelines.to_document(made)
-    document = json.loads(text.first().json)
+    document = json.loads(document_texts(text)[1])
     assert list(document) == ["total_duration_s", "fps", "segments", "ducking_events"]
     assert document["fps"] == 29.97
     assert document["segments"] == [
@@ -88,22 +99,41 @@ def test_document_text_and_back(spark, tracks):
         {"start_s": 1.0, "end_s": 2.0, "camera_index": 0, "speaker_state": S,
          "speaker_label": None}]
     assert document["ducking_events"][1] == {"time_s": 0.0, "target_db": -12.0, "track_index": 1}
-    back = timelines.from_document(text)
-    assert back.columns == made.columns and back.collect() == made.collect()
+    assert same(timelines.from_document(text), made)
+
+
+def test_a_session_of_any_length_is_one_document(spark, tmp_path):
+    rows = spark.range(25_000).select(
+        (F.col("id") % 5 > 0).cast("bigint").alias("session_id"), "id")
+    segs = rows.select(
+        "session_id", F.col("id").alias("pos"), F.col("id").cast("double").alias("start_s"),
+        (F.col("id") + 1.0).alias("end_s"), F.lit(0).alias("camera_index"),
+        F.when(F.col("id") % 2 == 0, A).otherwise(S).alias("speaker_state"),
+        F.lit(None).cast("string").alias("speaker_label"))
+    made = timelines.assemble(number_segments(segs), durations(spark, {0: 1.0, 1: 2.0, 2: 0.0}), DUCK)
+    path = str(tmp_path / "out")
+    documents.write_document_files(timelines.to_document(made), path)
+    found = {p.parent.name: json.loads(p.read_text()) for p in (tmp_path / "out").rglob("*.txt")}
+    assert {s: (len(d["segments"]), len(d["ducking_events"])) for s, d in found.items()} == {
+        "session_id=0": (5_000, 10_000), "session_id=1": (20_000, 40_000), "session_id=2": (0, 0)}
+    starts = [s["start_s"] for s in found["session_id=1"]["segments"]]
+    assert starts == sorted(starts)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"session_id=(\d+)", 1)
+    assert same(documents.read_timeline_files(spark, path, number), made)
 
 
 def read(spark, document):
     text = spark.createDataFrame([(5, json.dumps(document))], "session_id long, json string")
-    return timelines.from_document(text).collect()[0]
+    return [relation.collect() for relation in timelines.from_whole_documents(text)]
 
 
 SEGMENT = {"start_s": 0, "end_s": 2.5, "camera_index": 1, "speaker_state": A}
 
 
 def test_missing_values_get_their_defaults(spark):
-    row = read(spark, {"total_duration_s": 3.0, "segments": [SEGMENT]})
-    assert (row.fps, row.ducking_events, row.part, row.n_parts) == (29.97, [], 0, 1)
-    assert tuple(row.segments[0]) == (0.0, 2.5, 1, A, None)
+    heads, segments, events = read(spark, {"total_duration_s": 3.0, "segments": [SEGMENT]})
+    assert [tuple(r) for r in heads] == [(5, 3.0, 29.97)] and events == []
+    assert [tuple(r) for r in segments] == [(5, 0, 0.0, 2.5, 1, A, None)]
 
 
 @pytest.mark.parametrize("document", [
@@ -124,21 +154,30 @@ def test_indented_files_are_read(spark, tmp_path):
         (tmp_path / f"session-{number}.json").write_text(json.dumps(
             {"total_duration_s": 2.5, "segments": [{**SEGMENT, "speaker_label": label}]},
             indent=2, ensure_ascii=False))
-    got = documents.read_timeline_files(spark, str(tmp_path)).collect()
-    assert {(r.session_id, r.segments[0].speaker_label, r.fps) for r in got} == {
+    got = timelines.timeline_segments(documents.read_timeline_files(spark, str(tmp_path))).collect()
+    assert {(r.session_id, r.speaker_label, r.fps) for r in got} == {
         (12, "Zoë", 29.97), (13, None, 29.97)}
 
 
+@pytest.mark.parametrize("files, message", [
+    ({"1.json": 2}, ""), ({"a1.json": 1, "b1.json": 1}, "two documents of one session"),
+    ({"take.json": 1}, "no session number")])
+def test_files_that_are_not_one_document_of_one_session_fail(spark, tmp_path, files, message):
+    for name, roots in files.items():
+        (tmp_path / name).write_text(
+            json.dumps({"total_duration_s": 2.5, "segments": [SEGMENT]}, indent=2) * roots)
+    with pytest.raises(Exception, match=message):
+        documents.read_timeline_files(spark, str(tmp_path)).heads.collect()
+
+
 def test_written_timelines_are_read_back(spark, tmp_path):
     made = timelines.assemble(numbered(spark, {1: [A, B] * 5, 2: [S]}),
-                              durations(spark, {1: 10.0, 2: 1.0}), DUCK, part_segments=3)
+                              durations(spark, {1: 10.0, 2: 1.0}), DUCK)
     path = str(tmp_path / "out")
-    documents.write_timelines(made, path, 3)
-    back = documents.read_timelines(spark, path)
-    line = json.loads(next((tmp_path / "out").rglob("*.json")).read_text().splitlines()[0])
-    assert line["segments"][0]["speaker_label"] is None and "fps" in line
-    order = ["session_id", "part"]
-    assert back.orderBy(order).collect() == made.orderBy(order).collect()
+    documents.write_timelines(made, path)
+    line = json.loads(next((tmp_path / "out" / "segments").rglob("*.json")).read_text().splitlines()[0])
+    assert line["speaker_label"] is None and line["seg_idx"] == 0
+    assert same(documents.read_timelines(spark, path), made)
 
 
 def test_preview_lines(spark):
@@ -164,9 +203,21 @@ def test_a_report_without_duration_has_bars_of_one(spark):
 def test_analyze_from_samples_to_timelines(spark, tracks, block):
     samples = as_samples(spark, {(1, 0): bursts([(1, 4, -10)], 10),
                                  (1, 1): bursts([(5, 9, -10)], 9.5), (2, 0): [0.1] * 10})
-    made = {r.session_id: r for r in analyze(samples, tracks, DUCK, 25.0, block).collect()}
-    assert made[1].total_duration_s == 10.0 and made[1].fps == 25.0
-    assert [(s.speaker_state, s.camera_index, s.speaker_label) for s in made[1].segments] == [
-        (S, 0, None), (A, 1, "host"), (B, 2, "guest")]
-    assert len(made[1].ducking_events) == 6
-    assert made[2].segments == [] and made[2].total_duration_s == 10 / 16000
+    made = analyze(samples, tracks, DUCK, 25.0, block)
+    assert {tuple(r) for r in made.heads.collect()} == {(1, 10.0, 25.0), (2, 10 / 16000, 25.0)}
+    assert [(s.session_id, s.speaker_state, s.camera_index, s.speaker_label)
+            for s in made.segments.orderBy("session_id", "seg_idx").collect()] == [
+        (1, S, 0, None), (1, A, 1, "host"), (1, B, 2, "guest")]
+    assert made.events.count() == 6
+
+
+def test_tracks_other_than_two_are_refused(spark):
+    samples = as_samples(spark, {(1, 0): [0.1] * 800, (1, 2): [0.1] * 800})
+    with pytest.raises(Exception, match="other than 0 and 1"):
+        analyze(samples, None, DUCK, block=None).segments.collect()
+
+
+def test_samples_at_their_own_rates_are_refused(spark):
+    samples = as_samples(spark, {(1, 0): [0.1] * 800}).withColumn("sample_rate", F.lit(8000))
+    with pytest.raises(ValueError, match="ingest"):
+        analyze(samples, None, DUCK)
