@@ -27,6 +27,7 @@ def video_clips(timelines: Timelines, cameras: DataFrame) -> DataFrame:
     index = F.when(F.col("camera_index") < 0, F.raise_error(F.lit("negative camera index"))
                    .cast("int")).otherwise(F.coalesce(index, F.lit(0)))
     start, end = (seconds_to_frames(F.col(c), fps) for c in ("start_s", "end_s"))
+    # formats of names and ids, here and for audio: fixed values
     return (named.withColumn("_index", index)
             .select(SESSION, "seg_idx", "fps",
                     F.format_string("clipitem-v%d", "seg_idx").alias("clip_id"),

@@ -35,6 +35,7 @@ CAMERAS = T.StructType([
     T.StructField("path", T.StringType()),
 ])
 
+# The field names of segments and gain events, which stored documents use.
 SEGMENT = T.StructType([
     T.StructField("start_s", T.DoubleType()),
     T.StructField("end_s", T.DoubleType()),
