@@ -112,10 +112,12 @@ def check_timelines(timelines: Timelines) -> Timelines:
 def from_document(lines: DataFrame) -> Timelines:
     """Timelines from the pieces that to_document makes."""
     def read(section: int, place: str, text: Column, schema: T.StructType) -> DataFrame:
-        # null for other sections; a filter on the section may run after the parsing
+        # null for other sections; a filter on the section may run after the parsing, and one
+        # by equality would also remove this condition
         mine = F.when(F.col("section") == section, text)
-        return (lines.select(SESSION, "section", F.col("place").alias(place),
-                             F.from_json(mine, schema, _STRICT).alias("_d"))
+        return (lines.where(F.col("section").between(section, section))
+                .select(SESSION, "section", F.col("place").alias(place),
+                        F.from_json(mine, schema, _STRICT).alias("_d"))
                 .where(F.col("_d").isNotNull())
                 .select(SESSION, "section", place, "_d.*"))
 
