@@ -291,6 +291,8 @@ def in_frames(rests: DataFrame, like: Similarity) -> DataFrame:
     largest slack every class is linked whose slack is not below the negative of it; no pair
     of these needs to be looked at. For the others, the shared part of the rests must be at
     least -(slack_a + slack_b) / (2 * far), which bounds the prefix of rests to be searched.
+    At the first n-gram that two prefixes have in common, what is behind it in the shorter
+    rest bounds what they can share; rows of a pair that cannot reach its bound are not made.
     """
     rests = stored(rests.withColumn("slack", F.col("n") * like.near - F.size("rest") * like.far),
                    "rests")
@@ -305,16 +307,21 @@ def in_frames(rests: DataFrame, like: Similarity) -> DataFrame:
     partner = F.when(F.col("out"), F.greatest("top", "beyond")).otherwise(F.col("beyond"))
     shared = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + partner) / (2 * like.far)))
     tokens = rows.withColumn("keep", F.size("rest") - shared + 1).where("keep > 0").select(
-        "frame", "cls", "out", "keep", F.explode("rest").alias("token"))
+        "frame", "cls", "out", "slack", "keep", F.size("rest").alias("size"),
+        F.explode("rest").alias("token"))
     counts = tokens.groupBy("frame", "token").agg(F.count("*").alias("hits"))
     order = Window.partitionBy("cls").orderBy("hits", "token")
     ranked = (tokens.join(counts, ["frame", "token"])
               .withColumn("place", F.row_number().over(order))
-              .where("place <= keep AND hits > 1").select("frame", "token", "cls", "out"))
+              .where("place <= keep AND hits > 1")
+              .select("frame", "token", "cls", "out", "slack",
+                      (F.col("size") - F.col("place") + 1).alias("left")))
     ranked = stored(ranked, "rest-tokens")
     l, r = ranked.where("out").alias("l"), ranked.alias("r")
+    reach = (F.col("l.slack") + F.col("r.slack")
+             + F.least("l.left", "r.left") * 2 * like.far >= 0)
     pairs = l.join(r, (F.col("l.frame") == F.col("r.frame")) & (F.col("l.token") == F.col("r.token"))
-                   ).where((F.col("l.cls") != F.col("r.cls"))
+                   ).where((F.col("l.cls") != F.col("r.cls")) & reach
                            & (~F.col("r.out") | (F.col("l.cls") < F.col("r.cls"))))
     pairs = pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
     left = rests.select(F.col("cls").alias("a"), F.col("rest").alias("ra"),
