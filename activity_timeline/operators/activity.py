@@ -19,7 +19,7 @@ def activity_flags(frames: DataFrame, keys: list[str], suffixes: list[str], para
     and no frame after that one was below the release threshold early enough
     for the hangover to be over. Both facts are running maxima of frame numbers.
     """
-    late = params.hangover_frames + 1
+    late = params.grid.hangover + 1
     marks = frames.select(
         "*",
         *[F.when(F.col(f"envelope_db{s}") > params.speech_threshold_db, F.col("frame"))

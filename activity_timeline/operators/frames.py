@@ -8,13 +8,13 @@ panes. In the paired layout the two tracks of a session are columns of one row
 
 from __future__ import annotations
 
-from math import ceil, gcd, log10
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import level_db, whole
-from activity_timeline.params import Params
+from activity_timeline.params import Params, smoothing_span
 from activity_timeline.schemas import SESSION, TRACK_KEYS
 
 # From this size on a pane is worth adding up before the shuffle.
@@ -23,7 +23,7 @@ PREAGGREGATE_PANE = 4
 
 def pane_energy(samples: DataFrame, params: Params) -> DataFrame:
     """Energy per track and pane: session_id, track, pane, n, energy."""
-    g = gcd(params.window_samples, params.hop_samples)
+    g = params.grid.pane
     if g == 1:
         return samples.select(*TRACK_KEYS, F.col("idx").alias("pane"), F.lit(1).alias("n"),
                               (F.col("x") * F.col("x")).alias("energy"))
@@ -43,7 +43,7 @@ def paired_energy(samples: DataFrame, params: Params, block: int | None = None)
     Small panes would not shrink the data much, so their samples go straight
     to the session or slice where the frames are made.
     """
-    g = gcd(params.window_samples, params.hop_samples)
+    g = params.grid.pane
     samples = samples.withColumn("pane", whole(F.col("idx"), g) if g > 1 else F.col("idx"))
     keys = [SESSION, "pane"]
     if g < PREAGGREGATE_PANE:
@@ -64,37 +64,25 @@ def paired_energy(samples: DataFrame, params: Params, block: int | None = None)
         *[F.coalesce(F.sum(of(t, square)), F.lit(0.0)).alias(f"energy_{t}") for t in (0, 1)])
 
 
-def _panes_per(params: Params) -> tuple[int, int]:
-    """Panes in a hop and in a window."""
-    g = gcd(params.window_samples, params.hop_samples)
-    return params.hop_samples // g, params.window_samples // g
-
-
-def smoothing_span(kernel: int) -> int:
-    """Frames after which an old level has lost all weight (below 1e-25)."""
-    q = 1.0 - 2.0 / (kernel + 1)
-    return 1 if q == 0.0 else ceil(25.0 / -log10(q))
-
-
-def run_in(params: Params) -> int:
-    """Frames a slice needs before its own first frame: smoothing, then hangover."""
-    span = smoothing_span(params.kernel)
-    return span * (1 + ceil((params.hangover_frames + 1) / span))
+def ordered_rows(params: Params) -> int:
+    """Samples for each row that the task of a session puts in order."""
+    pane = params.grid.pane
+    return pane if pane >= PREAGGREGATE_PANE else 1
 
 
 def frame_block(params: Params, block: int | None) -> int | None:
     """`block` rounded up so that a slice holds its run-in and whole spans."""
     if block is None:
         return None
-    h, m = _panes_per(params)
-    span = smoothing_span(params.kernel)
-    return span * ceil(max(block, run_in(params), ceil(m / h)) / span)
+    grid = params.grid
+    reach = ceil(grid.panes_per_window / grid.panes_per_hop)
+    return grid.span * ceil(max(block, grid.run_in, reach) / grid.span)
 
 
 def _in_slices(panes: DataFrame, params: Params, block: int) -> DataFrame:
     """Panes with a slice number; panes near an edge go to the neighbour as well."""
-    h, m = _panes_per(params)
-    size, lead = block * h, run_in(params)
+    h, m = params.grid.panes_per_hop, params.grid.panes_per_window
+    size, lead = block * h, params.grid.run_in
     pane = F.col("pane")
     own = whole(pane, size)
     place = pane % size
@@ -113,8 +101,8 @@ def frame_levels(panes: DataFrame, keys: list[str], energies: dict[str, str], pa
     `energies` maps an energy column to the level column made from it. `span`
     puts frames into runs of that many, so that later steps find them sorted.
     """
-    window = params.window_samples
-    h, m = _panes_per(params)
+    window = params.grid.window
+    h, m = params.grid.panes_per_hop, params.grid.panes_per_window
     if block is not None:
         if "slice" not in panes.columns:
             panes = _in_slices(panes, params, block)
@@ -187,9 +175,9 @@ def frame_table(panes: DataFrame, keys: list[str], tracks: dict[str, str], param
     """
     levels = {e: f"rms_db{s}" for e, s in tracks.items()}
     smoothed = {f"rms_db{s}": f"envelope_db{s}" for s in tracks.values()}
-    frames = frame_levels(panes, keys, levels, params, block, smoothing_span(params.kernel))
-    return (smooth(frames, keys, smoothed, params.kernel)
-            .withColumn("time_s", F.col("frame") * F.lit(params.hop_s)))
+    frames = frame_levels(panes, keys, levels, params, block, params.grid.span)
+    return (smooth(frames, keys, smoothed, params.grid.kernel)
+            .withColumn("time_s", F.col("frame") * F.lit(params.grid.hop_s)))
 
 
 def own_frames(frames: DataFrame, block: int | None) -> DataFrame:

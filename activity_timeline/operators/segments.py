@@ -100,7 +100,7 @@ def merge_adjacent(segments: DataFrame, block: int | None = None) -> DataFrame:
 
 
 def _clean(cuts: DataFrame, params: Params, block: int | None) -> DataFrame:
-    for min_s in (params.debounce_s, params.min_segment_s):
+    for min_s in (params.grid.debounce_s, params.grid.min_segment_s):
         cuts = _drop_short(cuts, min_s, block)
     return _close(_drop_equal(cuts, block), block, numbered=True)
 
@@ -117,7 +117,7 @@ def segment_states(states: DataFrame, params: Params, block: int | None = None,
     A session with too many frames for one task mostly has far fewer runs: the
     later steps need slices only if some session has more than `limit` runs.
     """
-    cuts = _cuts_of_states(states, params.hop_s, block)
+    cuts = _cuts_of_states(states, params.grid.hop_s, block)
     if block is not None:
         block = choose_block(cuts, KEYS, limit=limit, block=block)
     return _clean(cuts, params, block)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from activity_timeline.operators.activity import activity_flags, joint_state
 from activity_timeline.operators.frames import (
-    frame_block, frame_table, own_frames, paired_energy)
+    frame_block, frame_table, ordered_rows, own_frames, paired_energy)
 from activity_timeline.operators.rules import assign_cameras
 from activity_timeline.operators.segments import segment_states
 from activity_timeline.operators.signal import session_duration
@@ -24,7 +24,7 @@ def _chosen(samples: DataFrame, params: Params, block: int | None | str) -> int
     if "sample_rate" in samples.columns:
         raise ValueError("samples still have the rates of their files; ingest() brings them to one")
     if block == CHOOSE:
-        block = choose_block(samples, [SESSION], per=params.hop_samples)
+        block = choose_block(samples, [SESSION], per=ordered_rows(params))
     return frame_block(params, block)
 
 

@@ -78,7 +78,7 @@ def _event_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | No
 
 def _event_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
     states, block = _event_states(spark, sf_dir)
-    return segments.run_lengths(states, EVENT_PARAMS.hop_s, block), block
+    return segments.run_lengths(states, EVENT_PARAMS.grid.hop_s, block), block
 
 
 def track_index(spark, sf_dir):
@@ -151,13 +151,13 @@ def runs(spark, sf_dir):
 
 def debounced(spark, sf_dir):
     found, block = _event_runs(spark, sf_dir)
-    return _seconds(segments.absorb_short(found, EVENT_PARAMS.debounce_s, block))
+    return _seconds(segments.absorb_short(found, EVENT_PARAMS.grid.debounce_s, block))
 
 
 def min_length(spark, sf_dir):
     found, block = _event_runs(spark, sf_dir)
-    short = segments.absorb_short(found, EVENT_PARAMS.debounce_s, block)
-    return _seconds(segments.absorb_short(short, EVENT_PARAMS.min_segment_s, block))
+    short = segments.absorb_short(found, EVENT_PARAMS.grid.debounce_s, block)
+    return _seconds(segments.absorb_short(short, EVENT_PARAMS.grid.min_segment_s, block))
 
 
 def merged(spark, sf_dir):
@@ -169,7 +169,7 @@ def merged(spark, sf_dir):
 def merge_runs(spark, sf_dir):
     """Merging alone, on all runs after debouncing, which leaves equal neighbours."""
     found, block = _event_runs(spark, sf_dir)
-    short = segments.absorb_short(found, EVENT_PARAMS.debounce_s, block)
+    short = segments.absorb_short(found, EVENT_PARAMS.grid.debounce_s, block)
     return _seconds(segments.merge_adjacent(short, block))
 
 

@@ -81,7 +81,7 @@ def _ema(kernel: int) -> str:
 def _flags(p) -> str:
     up = f"e.env > {_d(p.speech_threshold_db)}"
     down = f"e.env < {_d(p.release_threshold_db)}"
-    limit = p.hangover_frames
+    limit = p.grid.hangover
     return f"""flags AS (
   SELECT e.session_id, e.track, e.frame, CASE WHEN {up} THEN 1 ELSE 0 END AS st, 0 AS waited,
          {up} AS is_active FROM ema e WHERE e.frame = 0
@@ -117,7 +117,7 @@ def _counted_flags(p) -> str:
   SELECT *, max(CASE WHEN {up} THEN frame END) OVER (
     PARTITION BY session_id, track ORDER BY frame) AS loud FROM ema),
 flags AS MATERIALIZED (
-  SELECT *, loud IS NOT NULL AND (quiet IS NULL OR frame - quiet <= {p.hangover_frames}) AS is_active
+  SELECT *, loud IS NOT NULL AND (quiet IS NULL OR frame - quiet <= {p.grid.hangover}) AS is_active
   FROM (SELECT *, min(CASE WHEN {down} THEN frame END) OVER (
     PARTITION BY session_id, track, loud ORDER BY frame) AS quiet FROM heard))"""
 
@@ -164,8 +164,8 @@ def _merge(name: str, source: str) -> str:
 
 
 def _clean(source: str, p) -> list[str]:
-    return [_absorb("debounced", source, p.debounce_s),
-            _absorb("lengthened", "debounced", p.min_segment_s), _merge("merged", "lengthened")]
+    return [_absorb("debounced", source, p.grid.debounce_s),
+            _absorb("lengthened", "debounced", p.grid.min_segment_s), _merge("merged", "lengthened")]
 
 
 _NUMBERED = """numbered AS (
@@ -180,16 +180,16 @@ def _seconds(source: str) -> str:
 _SEG = """SELECT session_id, seg_idx, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s,
        speaker_state FROM numbered"""
 
-_FRAMES = [_EVENTS, _rms("samples", 3, 1), _ema(EVENT_PARAMS.kernel)]
+_FRAMES = [_EVENTS, _rms("samples", 3, 1), _ema(EVENT_PARAMS.grid.kernel)]
 _FLAGS = [*_FRAMES, _flags(EVENT_PARAMS)]
-_EVENT_RUNS = [*_FLAGS, _STATES, _runs(EVENT_PARAMS.hop_s)]
-_PAD_FLAGS = [_EVENTS, _PADDED, _rms("padded", 3, 1), _ema(EVENT_PARAMS.kernel),
+_EVENT_RUNS = [*_FLAGS, _STATES, _runs(EVENT_PARAMS.grid.hop_s)]
+_PAD_FLAGS = [_EVENTS, _PADDED, _rms("padded", 3, 1), _ema(EVENT_PARAMS.grid.kernel),
               _flags(EVENT_PARAMS)]
 
 
 def _line_segments(session: str) -> list[str]:
-    return [_lines(session), _PADDED, _rms("padded", 3, 1), _convolved(LINE_PARAMS.kernel),
-            _counted_flags(LINE_PARAMS), _STATES, _runs(LINE_PARAMS.hop_s),
+    return [_lines(session), _PADDED, _rms("padded", 3, 1), _convolved(LINE_PARAMS.grid.kernel),
+            _counted_flags(LINE_PARAMS), _STATES, _runs(LINE_PARAMS.grid.hop_s),
             *_clean("runs", LINE_PARAMS), _NUMBERED]
 
 
@@ -437,7 +437,7 @@ FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id""",
                            " round(rms_db, 6) AS rms_db FROM rms"),
         "frame_rms_panes": _with(
             [_lines("l_suppkey"),
-             _rms("samples", PANE_PARAMS.window_samples, PANE_PARAMS.hop_samples)],
+             _rms("samples", PANE_PARAMS.grid.window, PANE_PARAMS.grid.hop)],
             "SELECT session_id, track, frame, round(rms_db, 6) AS rms_db FROM rms"),
         "ema_envelope": _with(_FRAMES, "SELECT session_id, track, frame,"
                               " round(env, 6) AS envelope_db FROM ema"),
@@ -456,7 +456,7 @@ FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id""",
         "merged": _with([*_EVENT_RUNS, *_clean("runs", EVENT_PARAMS)], _seconds("merged")),
         "merge_runs": _with([*_EVENT_RUNS, *_clean("runs", EVENT_PARAMS),
                              _merge("joined", "debounced")], _seconds("joined")),
-        "event_segments": _with([*_PAD_FLAGS, _STATES, _runs(EVENT_PARAMS.hop_s),
+        "event_segments": _with([*_PAD_FLAGS, _STATES, _runs(EVENT_PARAMS.grid.hop_s),
                                  *_clean("runs", EVENT_PARAMS), _NUMBERED], _SEG),
         "segments_lineitem": _with(_line_segments("l_suppkey"), _SEG),
         "segments_hot_session": _with(_line_segments(

@@ -66,15 +66,15 @@ def merge(segments):
 
 
 def clean(segments, p):
-    return merge(absorb(absorb(segments, p.debounce_s), p.min_segment_s))
+    return merge(absorb(absorb(segments, p.grid.debounce_s), p.grid.min_segment_s))
 
 
 def track_flags(x, p):
-    levels = ema(rms_db(x, p.window_samples, p.hop_samples), p.kernel)
-    return flags(levels, p.speech_threshold_db, p.release_threshold_db, p.hangover_frames)
+    levels = ema(rms_db(x, p.grid.window, p.grid.hop), p.grid.kernel)
+    return flags(levels, p.speech_threshold_db, p.release_threshold_db, p.grid.hangover)
 
 
 def session_segments(a, b, p):
     size = max(len(a), len(b))
     a, b = (list(t) + [0.0] * (size - len(t)) for t in (a, b))
-    return clean(runs(joint(track_flags(a, p), track_flags(b, p)), p.hop_s), p)
+    return clean(runs(joint(track_flags(a, p), track_flags(b, p)), p.grid.hop_s), p)

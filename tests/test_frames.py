@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from activity_timeline import Params
 from activity_timeline.operators.activity import activity_flags, combine_tracks
 from activity_timeline.operators.frames import (
-    frame_block, frame_levels, frame_table, own_frames, pane_energy, run_in, smooth,
-    smoothing_span)
+    frame_block, frame_levels, frame_table, own_frames, pane_energy, smooth)
 from activity_timeline.schemas import TRACK_KEYS
 
 
@@ -101,12 +100,12 @@ def test_flags_equal_the_state_machine(spark, kernel_ms, hangover_ms, sliced):
     got = per_track(own_frames(activity_flags(frames, TRACK_KEYS, [""], p, block), block),
                     "is_active", "envelope_db", "time_s")
     for key, x in tracks.items():
-        envelope = ema(rms_db(x, p.window_samples, p.hop_samples), p.kernel)
-        want = flags(envelope, p.speech_threshold_db, p.release_threshold_db, p.hangover_frames)
+        envelope = ema(rms_db(x, p.grid.window, p.grid.hop), p.grid.kernel)
+        want = flags(envelope, p.speech_threshold_db, p.release_threshold_db, p.grid.hangover)
         line = got.get(key, [])
         assert [a for _, a, _, _ in line] == want
         assert np.allclose([e for _, _, e, _ in line], envelope, atol=1e-9)
-        assert [t for *_, t in line] == [i * p.hop_s for i in range(len(want))]
+        assert [t for *_, t in line] == [i * p.grid.hop_s for i in range(len(want))]
 
 
 @pytest.mark.parametrize("block", [None, 12])
@@ -121,13 +120,13 @@ def test_flags_of_many_random_envelopes(spark, block):
     df = spark.createDataFrame(rows, "session_id long, track int, frame long, envelope_db double")
     if block is not None:
         # copies of the frames that a slice needs before its own first one
-        lead = p.hangover_frames + 1
+        lead = p.grid.hangover + 1
         df = (df.withColumn("slice", F.expr(f"frame div {block}"))
               .unionByName(df.where(f"frame % {block} >= {block - lead}")
                            .withColumn("slice", F.expr(f"frame div {block} + 1"))))
     got = per_track(activity_flags(df, TRACK_KEYS, [""], p, block), "is_active")
     for i, line in lines.items():
-        assert [a for _, a in got[(i, 0)]] == flags(line, -28.0, -33.0, p.hangover_frames)
+        assert [a for _, a in got[(i, 0)]] == flags(line, -28.0, -33.0, p.grid.hangover)
 
 
 def test_equality_with_a_threshold_switches_nothing(spark):
@@ -141,7 +140,7 @@ def test_equality_with_a_threshold_switches_nothing(spark):
 
 def test_a_slice_holds_its_run_in():
     p = Params()
-    assert smoothing_span(p.kernel) == 432 and run_in(p) == 864
+    assert p.grid.span == 432 and p.grid.run_in == 864
     assert frame_block(p, 100) == 864 and frame_block(p, 900) == 1296
     assert frame_block(p, None) is None
 

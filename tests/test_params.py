@@ -1,17 +1,18 @@
 import pytest
 
 from activity_timeline import Params, build_params
+from activity_timeline.operators.frames import ordered_rows
 
 
 def test_defaults_and_derived_sizes():
     p = Params()
-    assert (p.window_samples, p.hop_samples, p.kernel, p.hangover_frames) == (480, 160, 15, 60)
-    assert (p.hop_s, p.debounce_s, p.min_segment_s) == (0.01, 0.3, 2.0)
+    assert (p.grid.window, p.grid.hop, p.grid.kernel, p.grid.hangover) == (480, 160, 15, 60)
+    assert (p.grid.hop_s, p.grid.debounce_s, p.grid.min_segment_s) == (0.01, 0.3, 2.0)
 
 
 def test_sizes_never_fall_below_one():
     p = Params(smoothing_ms=1.0, hangover_ms=1.0)
-    assert (p.kernel, p.hangover_frames) == (1, 1)
+    assert (p.grid.kernel, p.grid.hangover) == (1, 1)
 
 
 def test_build_ignores_none_and_unknown():
@@ -25,3 +26,8 @@ def test_build_ignores_none_and_unknown():
 def test_impossible_settings_are_refused(bad):
     with pytest.raises(ValueError):
         Params(**bad)
+
+
+def test_the_slicing_limit_is_in_rows_that_are_put_in_order():
+    assert ordered_rows(Params()) == 160          # panes of 160 samples
+    assert ordered_rows(Params(sample_rate=22050)) == 1   # 661 and 220: samples by themselves

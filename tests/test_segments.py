@@ -61,10 +61,10 @@ def test_durations_at_the_limit_are_judged_as_doubles(spark):
     lists = {s: [x for _ in range(40) for x in [rnd.choice([A, B, S, X])] * rnd.choice(
         [29, 30, 30, 30, 31, 200])] for s in range(30)}
     p = Params(debounce_ms=300, min_segment_ms=2000)
-    want = {s: clean(runs(v, p.hop_s), p) for s, v in lists.items()}
+    want = {s: clean(runs(v, p.grid.hop_s), p) for s, v in lists.items()}
     assert listed(segments.segment_states(states_of(spark, lists), p)) == want
-    debounced = segments.absorb_short(segments.run_lengths(states_of(spark, lists), p.hop_s), 0.3)
-    assert listed(debounced) == {s: absorb(runs(v, p.hop_s), 0.3) for s, v in lists.items()}
+    debounced = segments.absorb_short(segments.run_lengths(states_of(spark, lists), p.grid.hop_s), 0.3)
+    assert listed(debounced) == {s: absorb(runs(v, p.grid.hop_s), 0.3) for s, v in lists.items()}
 
 
 def test_runs_and_empty_input(spark):
@@ -85,14 +85,14 @@ def test_random_states_equal_the_folds(spark, block):
             line += [rnd.choice([A, B, S, X])] * rnd.choice([1, 1, 2, 3, 5, 30])
         lists[s] = line[:size]
     states = states_of(spark, lists)
-    found = segments.run_lengths(states, p.hop_s, block)
-    assert listed(found) == {s: runs(v, p.hop_s) for s, v in lists.items()}
+    found = segments.run_lengths(states, p.grid.hop_s, block)
+    assert listed(found) == {s: runs(v, p.grid.hop_s) for s, v in lists.items()}
     assert listed(segments.segment_states(states, p, block, limit=0)) == {
-        s: clean(runs(v, p.hop_s), p) for s, v in lists.items()}
-    once = segments.absorb_short(found, p.debounce_s, block)
-    assert listed(once) == {s: absorb(runs(v, p.hop_s), p.debounce_s) for s, v in lists.items()}
+        s: clean(runs(v, p.grid.hop_s), p) for s, v in lists.items()}
+    once = segments.absorb_short(found, p.grid.debounce_s, block)
+    assert listed(once) == {s: absorb(runs(v, p.grid.hop_s), p.grid.debounce_s) for s, v in lists.items()}
     assert listed(segments.merge_adjacent(once, block)) == {
-        s: merge(absorb(runs(v, p.hop_s), p.debounce_s)) for s, v in lists.items()}
+        s: merge(absorb(runs(v, p.grid.hop_s), p.grid.debounce_s)) for s, v in lists.items()}
 
 
 @pytest.mark.parametrize("block", [None, 2])
@@ -126,7 +126,7 @@ def test_the_chain_equals_the_definitions_with_a_hot_session(spark, rate, window
                                                              limit):
     p = Params(sample_rate=rate, window_ms=window, hop_ms=hop, smoothing_ms=2 * hop,
                hangover_ms=3 * hop, debounce_ms=2 * hop, min_segment_ms=4 * hop)
-    step = p.hop_samples
+    step = p.grid.hop
     tracks = noisy_sessions(rate + hop, {
         (0, 0): 900 * step, (0, 1): 850 * step + 1, (1, 0): 120 * step, (2, 1): 90 * step,
         (3, 0): 2, (4, 0): 200 * step, (4, 1): 3 * step, (5, 0): 130 * step, (5, 1): 230 * step})
