@@ -129,14 +129,17 @@ def _block(data: np.ndarray, edges: np.ndarray, lower: bool) -> tuple[np.ndarray
                + (stops - starts).astype(np.uint64)), starts
 
 
-def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of `size` hashes, in order."""
+def window_hashes(hashes: np.ndarray, size: int, at: np.ndarray | None = None,
+                  first: np.ndarray | None = None) -> np.ndarray:
+    """Hash of every run of `size` hashes, in order; or of those `at`, begun with `first`."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     up, down = powers(len(hashes) + 1)
     total = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[:len(hashes)], out=total[1:])
+    if at is not None:
+        return mix((total[at + size] - total[at]) * down[at] - hashes[at] + first)
     return mix((total[size:] - total[:n]) * down[:n])
 
 
