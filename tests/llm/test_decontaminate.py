@@ -27,3 +27,24 @@ def test_items_of_few_plain_words(spark):
              f"{prose(rng, 9)} {long.replace('14 15/7', '14 16/7')}"[:90]]
     assert found(spark, docs, bench) == {(0, 0, "verbatim"), (1, 1, "verbatim"),
                                          (2, 2, "verbatim")}
+
+
+def test_changes_of_length(spark):
+    rng = np.random.default_rng(12)
+    a, b = prose(rng, 9), prose(rng, 10)
+    item = f"{a} Mary {b}"
+    words = prose(rng, 60).split()
+    often = list(words)
+    for at in range(50, 0, -10):
+        often.insert(at, "inserted")
+    values = f"{prose(rng, 7)} 1000 {prose(rng, 7)} 5 kg {prose(rng, 6)}"
+    docs = [f"{prose(rng, 20)} {item.replace('Mary', 'Mary Ann')} {prose(rng, 20)}",
+            f"{prose(rng, 20)} {' '.join(often)} {prose(rng, 20)}",
+            values.replace("5 kg", "5kg"), values.replace("1000", "1 000")]
+    assert found(spark, docs, [item, " ".join(words), values]) == {
+        (0, 0, "reparameterised"), (1, 1, "verbatim"), (2, 2, "verbatim"),
+        (3, 2, "reparameterised")}
+    # values that contradict each other on near diagonals are no match
+    twice = f"{prose(rng, 3)} 12 {prose(rng, 3)} 12 {prose(rng, 3)} 12 {prose(rng, 3)}"
+    first, second, third, last = twice.split(" 12 ")
+    assert found(spark, [f"{first} 40 {second} put 41 {third} 42 {last}"], [twice]) == set()
