@@ -48,3 +48,17 @@ def test_changes_of_length(spark):
     twice = f"{prose(rng, 3)} 12 {prose(rng, 3)} 12 {prose(rng, 3)} 12 {prose(rng, 3)}"
     first, second, third, last = twice.split(" 12 ")
     assert found(spark, [f"{first} 40 {second} put 41 {third} 42 {last}"], [twice]) == set()
+
+
+def test_names_by_place_and_case(spark):
+    rng = np.random.default_rng(13)
+    short = "Bcdef ag bed cab face dab"
+    names = " ".join(f"{prose(rng, 1)} Anna {prose(rng, 1)} Robert" for _ in range(8))
+    other = names.replace("Anna", "Berta").replace("Robert", "Carl")
+    wrapped = f"{prose(rng, 4)} Mary has 12 {prose(rng, 5)}"
+    docs = [f"a heading without a stop\n{short}\n{prose(rng, 20)}", f"{prose(rng, 20)} {short}",
+            names.lower(), names.upper(), f"{prose(rng, 20)} {other}",
+            wrapped.replace("Mary has 12", "\nJoan has 40")]
+    assert found(spark, docs, [short, names, wrapped]) == {
+        (0, 0, "verbatim"), (1, 0, "verbatim"), (2, 1, "verbatim"), (3, 1, "verbatim"),
+        (4, 1, "reparameterised"), (5, 2, "reparameterised")}
