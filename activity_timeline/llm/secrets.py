@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and strings that surrounding code does not explain.
 
 Base spans follow three patterns (see KINDS). On top of them, a candidate is a
-long string of key characters, not a plain word, that stands shortly after a
-sensitive word on the same line. It is compressed by zstandard twice: the bytes
+long string of key characters that begins shortly after a sensitive word on the
+same line; it runs to its own end. It is compressed by zstandard twice: the bytes
 around it alone, and the bytes around it with the candidate at their end, both
-primed with a dictionary of identifiers and with the text around. The
-difference, over the length of the candidate, is its novelty; strings that stay
-incompressible are reported as kind `novel`.
+primed with a dictionary of identifiers and with the text around, in which other
+copies of the candidate do not count. The difference, over the length of the
+candidate, is its novelty; strings that stay incompressible are reported as kind
+`novel`. Only novelty decides, so a long word that neither the dictionary nor the
+text around explains is reported, too.
 
 The identifier dictionary is made of the names that stand before `:`, `=` or `(`
 in all documents, most frequent last (zstandard reaches the end of a dictionary
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -40,7 +43,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")     # the same runs as [0-9a-f]+ of 32 charac
 KINDS = ("assign", "access", "hex")
 SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api_?key|credential|private|auth|bearer",
                        re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16         # characters of a candidate
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,39}(?=\x20?[:=(])")
 
 REACH = 64            # characters between a sensitive word and a candidate
@@ -77,16 +82,27 @@ def identifier_dictionary(docs: DataFrame) -> bytes:
     return " = ".join(r["name"] for r in reversed(top.collect())).encode()[-DICTIONARY_BYTES:]
 
 
+def _bits(value: str) -> float:
+    """Bits that a character of the value's alphabet can hold."""
+    return log2(10) if value.isdigit() else 4 if HEXADECIMAL.fullmatch(value) else 6
+
+
 def novelty(text: str, start: int, end: int, names: bytes) -> float:
-    """Marginal compressed bytes of text[start:end], for each of its bytes."""
-    before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
+    """Marginal compressed bytes of text[start:end], for each of its bytes.
+
+    A random digit takes log2(10) bits and not the log2(64) of a key character, so the bytes
+    of digits and of hexadecimal digits count by what their alphabet can hold.
+    """
+    value, wide = text[start:end], AROUND + end - start
+    before = text[max(0, start - wide):start].replace(value, "\n")[-AROUND:]
+    after = text[end:end + wide].replace(value, "\n")[:AROUND]
     around = (before + after).encode(errors="replace")
     primed = zstandard.ZstdCompressionDict(names + b"\n" + around,
                                            dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False)
-    candidate = text[start:end].encode()
+    candidate = value.encode()
     return (len(packer.compress(around[-64:] + candidate))
-            - len(packer.compress(around[-64:]))) / len(candidate)
+            - len(packer.compress(around[-64:]))) / (len(candidate) * _bits(value) / 6)
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], names: bytes):
@@ -96,16 +112,13 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], names: bytes):
         line_end = text.find("\n", word.end())
         line_end = len(text) if line_end < 0 else line_end
         at = max(word.end(), done)
-        for m in CANDIDATE.finditer(text, at, min(line_end, word.end() + REACH + AROUND)):
-            start, end = m.span()
-            if start > word.end() + REACH:
-                break
-            value = m[0]
-            mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+        reach = min(line_end, word.end() + REACH + SHORTEST)  # the start is bounded, not the end
+        while m := CANDIDATE.search(text, at, reach):
+            start, end = CANDIDATE.match(text, m.start()).span()
             known = any(b <= start and end <= e for b, _, e in base)
-            if mixed and not known and novelty(text, start, end, names) >= NOVELTY:
+            if not known and novelty(text, start, end, names) >= NOVELTY:
                 found.append((start, 3, end))
-            done = end
+            at = done = end
     return found
 
 

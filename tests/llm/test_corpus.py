@@ -291,3 +291,25 @@ def test_word_hashes():
         for h, w in zip(own.tolist(), words):
             assert names.setdefault(w, h) == h
     assert len(set(names.values())) == len(names)
+
+
+def test_secrets_whole_spans():
+    rng = np.random.default_rng(21)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+    digits = np.array(list("0123456789"))
+    long = "".join(rng.choice(np.concatenate([letters, digits]), 1800))
+    key, word, number = long[:40], "".join(rng.choice(letters, 32)), "".join(rng.choice(digits, 24))
+
+    def spans(text):
+        return secrets.novel_spans(text, secrets.base_spans(text), b"")
+
+    assert spans("private_key: " + long) == [(13, 3, 1813)]
+    twice = f"Authorization: Bearer {key}\nagain\nAuthorization: Bearer {key}\n"
+    assert [text for a, _, b in spans(twice) if (text := twice[a:b])] == [key, key]
+    assert spans(f"credential {word}") == [(11, 3, 43)]
+    assert spans(f"credential {number}") == [(11, 3, 35)]
+    upper = "".join(rng.choice(list("0123456789ABCDEF"), 3000))
+    assert spans(f"credential {upper}") == [(11, 3, 3011)]
+    assert spans("credential " + "1" * 24) == []
+    # a candidate that begins too far from the sensitive word
+    assert spans("credential " + "x " * 40 + key) == []
