@@ -34,6 +34,7 @@ SYMBOLS = 40
 TRIGRAMS = SYMBOLS ** 3
 DIMENSIONS = 512
 SEED = 7
+LEAST_TAUGHT = 30    # texts of a language and size from which a floor is learned
 
 
 def held_out() -> Column:
@@ -128,17 +129,18 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def predictor(langs: list[str], prototypes: np.ndarray):
-    """Column function of the text: struct of lang_pred and score (cosine with its prototype)."""
+    """Column function of the text: struct of lang_pred, score (cosine with its prototype) and
+    n_trigrams (different ones)."""
     shared = prototypes.mean(axis=0) if len(langs) > 1 else np.zeros(DIMENSIONS)
     own = prototypes - shared
     norms = np.linalg.norm(own, axis=1)
     own = (own / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
     centre = shared.astype(np.float32)
 
-    def of(text: str | None) -> tuple[str, float]:
+    def of(text: str | None) -> tuple[str, float, int]:
         codes = trigrams(text)
         if not len(codes) or not len(langs):
-            return "und", 0.0
+            return "und", 0.0, 0
         used, n = np.unique(codes, return_counts=True)
         vectors, weights = trigram_vectors(), n.astype(np.float32) / np.float32(len(codes))
         bundle = -centre
@@ -146,11 +148,11 @@ def predictor(langs: list[str], prototypes: np.ndarray):
             bundle = bundle + weights[a:a + 4096] @ vectors[used[a:a + 4096]].astype(np.float32)
         cosines = own @ bundle / max(float(np.linalg.norm(bundle)), 1e-30)
         best = int(np.argmax(cosines))
-        return langs[best], min(1.0, max(0.0, float(cosines[best])))
+        return langs[best], min(1.0, max(0.0, float(cosines[best]))), len(used)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, n_trigrams int")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([of(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([of(t) for t in texts], columns=["lang_pred", "score", "n_trigrams"])
 
     return predicted.asNondeterministic()  # so that Spark calls it once for each row
 
@@ -168,14 +170,50 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, *learn(docs))
 
 
+def size_bin() -> Column:
+    """Texts of up to twice as many different trigrams share a bin."""
+    return F.floor(F.log2(F.greatest("found.n_trigrams", F.lit(1)))).cast("int")
+
+
+def floors(docs: DataFrame, predicted) -> list[tuple[str, int, float]]:
+    """Language, bin of sizes and the least cosine there of a text that is like the language.
+
+    Learned from the taught texts that are predicted as what they are. Between their median
+    and lower quartile lie 0.67 standard deviations; the floor is four of them below the
+    median, and a third of the median at most. Equal cosines (copies) count once. A bin with
+    fewer than LEAST_TAUGHT texts has the floor of the next smaller one, or none. The size of
+    a text is the number of its different trigrams, since repetition says nothing new.
+    """
+    ship(docs.sparkSession)
+    taught = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    scores = (taught.select("lang", predicted(F.col("text")).alias("found"))
+              .where("found.lang_pred = lang")
+              .select("lang", size_bin().alias("bin"), F.round("found.score", 6).alias("score")).distinct())
+    quarters = (scores.groupBy("lang", "bin")
+                .agg(F.count("*").alias("n"),
+                     F.percentile_approx("score", [0.25, 0.5]).alias("q"))
+                .where(F.col("n") >= LEAST_TAUGHT).collect())
+    return [(r["lang"], r["bin"], min(r["q"][1] - 4 / 0.6745 * (r["q"][1] - r["q"][0]),
+                                      r["q"][1] / 3)) for r in quarters]
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
-    """Documents with a letter that are like some learned language at all (a cosine above 0).
+    """Documents with a letter that are as like their predicted language as its own texts are.
 
-    Their `lang` is the predicted one, all other columns as they were.
+    Rejected are texts whose cosine is below the floor of the language for texts of their
+    size (see `floors`): most text of languages that were not learned, encoded blobs, markup.
+    Short and repetitive texts have low floors and mostly stay, and so does text of a language too close
+    to a learned one; where too few texts were taught, only a cosine of 0 is rejected.
+    `lang` becomes the predicted one, all other columns are as they were.
     """
     predicted = predictor(*learn(docs))
-    ship(docs.sparkSession)
+    low = floors(docs, predicted)
     found = docs.select(F.struct("*").alias("row"), predicted(F.col("text")).alias("found"))
-    kept = found.where("found.lang_pred <> 'und' AND found.score > 0")
+    floor = F.lit(0.0)
+    for lang, bin, least in sorted(low):   # larger bins come later and are asked first
+        floor = F.when((F.col("found.lang_pred") == lang) & (size_bin() >= bin),
+                       least).otherwise(floor)
+    kept = found.where((F.col("found.lang_pred") != "und") & (F.col("found.score") > 0)
+                       & (F.col("found.score") >= floor))
     return kept.select(*[(F.col("found.lang_pred") if c == "lang" else F.col("row")[c]).alias(c)
                          for c in docs.columns])

@@ -313,3 +313,23 @@ def test_secrets_whole_spans():
     assert spans("credential " + "1" * 24) == []
     # a candidate that begins too far from the sensitive word
     assert spans("credential " + "x " * 40 + key) == []
+
+
+def test_keep_known_rejects(spark):
+    """Text of a language that was not learned, and blobs, go; text like the learned ones stays."""
+    rng = np.random.default_rng(31)
+
+    def made(parts, n):
+        return " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(n))
+
+    learned = {"aa": ["the", "ing", "and", "er", "on", "wh"], "bb": ["que", "ción", "ar", "os", "la"],
+               "cc": ["sch", "ein", "keit", "zu", "pf"]}
+    data = [(i, made(learned[lang], 150), lang) for i in range(600)
+            for lang in [["aa", "bb", "cc"][i % 3]]]
+    other = [made(["kkyy", "jäv", "uuli", "hnn", "vöt"], 150),
+             made(["мир", "дом", "ост", "ва", "ени", "пр", "ко", "ще", "лю", "ть"], 150),
+             "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), 900))]
+    data += [(1000 + i, t, None) for i, t in enumerate(other)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["lang"] for r in language_id.keep_known(df).collect()}
+    assert kept == {i: lang for i, _, lang in data if i < 1000}
