@@ -344,6 +344,11 @@ def across_frames(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFr
 
 def link_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     """row_key, doc_id, n_shingles, component_id of every document."""
+    return _linked(docs, like).drop("root")
+
+
+def _linked(docs: DataFrame, like: Similarity) -> DataFrame:
+    """The same with `root`, which rows of one component share; null for rows without words."""
     keyed = docs.select(row_key().alias("row_key"), "doc_id", "text")
     surveyed = stored(in_tasks(keyed, _survey(like.words), SURVEYED), "surveyed")
     rows = surveyed.where("cell IS NULL")
@@ -374,17 +379,35 @@ def link_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     roots = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "doc_id", F.coalesce("root", "cls").alias("root"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = roots.join(least, "root").select("cls", "component_id")
+    named = roots.join(least, "root").select("cls", "root", "component_id")
     return rows.join(named, "cls", "left").select(
         "row_key", "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        .alias("component_id"))
+        .alias("component_id"), "root")
 
 
 def one_of_each(docs: DataFrame, like: Similarity) -> DataFrame:
-    """The documents with the smallest doc_id of their component, all columns as they were."""
-    found = link_components(docs, like)
-    gone = found.where("doc_id <> component_id").select("row_key").distinct()
+    """One row of each component, all columns as they were.
+
+    It is the one with the smallest doc_id (rows without one come last), then with the
+    smallest row_key; of repeated rows, the first by their JSON. Rows without words are
+    linked to nothing but their own repetitions.
+    """
+    # text without words: a component for each row_key
+    own = F.coalesce(F.col("root"), F.expr("cast(cast(row_key AS string) AS binary)"))
+    found = (_linked(docs, like).select("row_key", "doc_id", own.alias("root"),
+                                        F.col("root").isNull().alias("bare"))
+             .groupBy("root", "bare", "row_key")
+             .agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    found = stored(found, "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    stays = found.groupBy("root", "bare").agg(F.min(order)["row_key"].alias("row_key"))
+    gone = found.join(stays, "row_key", "left_anti").select("row_key")
     kept = docs.select(row_key().alias("row_key"), F.struct("*").alias("row")).join(
         gone, "row_key", "left_anti")
+    twice = found.join(stays, "row_key", "left_semi").where("copies > 1").select("row_key")
+    if not twice.isEmpty():
+        one = (kept.join(twice, "row_key", "left_semi").groupBy("row_key")
+               .agg(F.min_by("row", F.to_json("row")).alias("row")))
+        kept = kept.join(twice, "row_key", "left_anti").unionByName(one)
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -333,3 +333,17 @@ def test_keep_known_rejects(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     kept = {r["doc_id"]: r["lang"] for r in language_id.keep_known(df).collect()}
     assert kept == {i: lang for i, _, lang in data if i < 1000}
+
+
+def test_one_of_each_without_ids(spark):
+    """Rows without doc_id and repeated ones are members of their group like others."""
+    rng = np.random.default_rng(41)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    data = [(5, a), (None, a), (None, a + " new"), (None, b), (None, b), (None, b + " new"),
+            (7, c), (7, c), (7, c + " new"), (8, d), (9, ""), (9, ""), (10, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, s string")
+    kept = ngram_jaccard.one_of_each(df, ngram_jaccard.Similarity(words=5, percent=80))
+    assert kept.columns == df.columns
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert Counter(i for i, _ in found) == Counter([5, None, 7, 8, 9, 10])
+    assert (5, a) in found and {t for i, t in found if i is None} <= {b, b + " new"}
