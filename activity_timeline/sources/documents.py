@@ -22,7 +22,9 @@ def read_timeline_files(spark: SparkSession, path: str, session: Column | None =
     """Timelines from JSON files in any layout, one document per file and one file per session.
 
     The session is a number in the file name unless `session` says otherwise. A
-    file is read as one text, so it must be shorter than 2 GB.
+    file is read as one text by one task, so it must be shorter than 2 GB and fit an
+    executor: this is for ordinary sessions. Documents of any length are written by
+    write_documents, and from_document takes the pieces that are read back.
     """
     if session is None:
         name = F.col("_metadata.file_name")

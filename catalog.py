@@ -527,8 +527,11 @@ def timeline_files(spark, sf_dir):
 
 
 def long_session_json(spark, sf_dir):
-    """All turns as one session, through its one document."""
-    return _through_files(spark, _timelines(spark, sf_dir, _one_conversation))
+    """All turns as one session, through the pieces of its one document."""
+    path = scratch_path(spark, "pieces")
+    made = _timelines(spark, sf_dir, _one_conversation)
+    documents.write_documents(timelines.to_document(made), path)
+    return _flat(timelines.from_document(spark.read.parquet(path)))
 
 
 def timeline_event_rows(spark, sf_dir):

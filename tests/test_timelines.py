@@ -221,3 +221,16 @@ def test_samples_at_their_own_rates_are_refused(spark):
     samples = as_samples(spark, {(1, 0): [0.1] * 800}).withColumn("sample_rate", F.lit(8000))
     with pytest.raises(ValueError, match="ingest"):
         analyze(samples, None, DUCK)
+
+
+def test_long_session_goes_by_pieces(spark, sf_dir, monkeypatch):
+    """No task writes or reads the whole document of the long session."""
+    import catalog
+    from activity_timeline.sources import documents
+
+    def refuse(*_):
+        raise AssertionError("one file for the whole session")
+
+    monkeypatch.setattr(documents, "write_document_files", refuse)
+    monkeypatch.setattr(documents, "read_timeline_files", refuse)
+    assert catalog.long_session_json(spark, sf_dir).count() > 0
