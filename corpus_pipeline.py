@@ -3,11 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; `run` writes
 every result to the shared folder as Parquet and hands the reread table on.
 
-1. language_id: documents without a letter, or unlike every learned language,
-   go; `lang` becomes the predicted language.
+1. language_id: documents without a letter, or less like their language than
+   its own texts are (see keep_known), go; `lang` becomes the predicted language.
 2. line_dedup: lines that three documents or more share stay in one of them; `n_chars` follows.
 3. near_duplicates: of documents linked by five-word n-grams (similarity 0.8 or
-   more) the one with the smallest doc_id stays.
+   more) the one with the smallest doc_id stays, or one of those without.
 4. decontaminate: documents that hold a benchmark item go.
 5. sentencepiece: token ids, and whether decoding gives the text back.
 """
