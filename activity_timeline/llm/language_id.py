@@ -180,7 +180,7 @@ def floors(docs: DataFrame, predicted) -> list[tuple[str, int, float]]:
 
     Learned from the taught texts that are predicted as what they are. Between their median
     and lower quartile lie 0.67 standard deviations; the floor is four of them below the
-    median, and a third of the median at most. Equal cosines (copies) count once. A bin with
+    median, and a third of the median and the least of them at most, so that none of them goes. Equal cosines (copies) count once. A bin with
     fewer than LEAST_TAUGHT texts has the floor of the next smaller one, or none. The size of
     a text is the number of its different trigrams, since repetition says nothing new.
     """
@@ -191,10 +191,11 @@ def floors(docs: DataFrame, predicted) -> list[tuple[str, int, float]]:
               .select("lang", size_bin().alias("bin"), F.round("found.score", 6).alias("score")).distinct())
     quarters = (scores.groupBy("lang", "bin")
                 .agg(F.count("*").alias("n"),
+                     F.min("score").alias("least"),
                      F.percentile_approx("score", [0.25, 0.5]).alias("q"))
                 .where(F.col("n") >= LEAST_TAUGHT).collect())
     return [(r["lang"], r["bin"], min(r["q"][1] - 4 / 0.6745 * (r["q"][1] - r["q"][0]),
-                                      r["q"][1] / 3)) for r in quarters]
+                                      r["q"][1] / 3, r["least"])) for r in quarters]
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
