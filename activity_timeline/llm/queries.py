@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from activity_timeline.llm import (
-    decontaminate, exact_dedup, language_id, line_dedup, ngram_jaccard, secrets, sentencepiece_matching, sharding,
-    substring_dedup, token_counts)
+    decontaminate, exact_dedup, filter_audit, language_id, line_dedup, ngram_jaccard, secrets,
+    sentencepiece_matching, sharding, substring_dedup, tensored_minhash, token_counts, whitening)
 from activity_timeline.llm.common import table
 from activity_timeline.operators.slices import scratch_path
 
@@ -80,8 +80,21 @@ def op10_token_counts(spark, sf_dir):
     return rollup.totals()
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_minhash_dedup(spark, sf_dir):
+    return tensored_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[..., DataFrame]]:
     return {q.__name__: q for q in (
         op1_decontaminate, op2_line_dedup, op3_exact_dedup, op4_sharding, op5_secrets,
         op6_language_id, op7_sentencepiece, op8_substring_dedup,
-        op9_ngram_jaccard, op10_token_counts)}
+        op9_ngram_jaccard, op10_token_counts, op11_filter_audit, op12_minhash_dedup,
+        op13_whitening)}
