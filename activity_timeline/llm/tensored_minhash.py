@@ -16,8 +16,9 @@ Equal sets are one class from the start. Classes with the same key are candidate
   out whose link does not matter;
 * between frames, a key with few classes outside its largest frame gives pairs,
   of which those in MATCHES tables or more are verified on the full sets. A key
-  with more of them (many texts that share a passage, say) becomes a frame of its
-  own, in which only classes of different first frames are compared.
+  with more of them (many texts that share a passage, say) puts its classes into
+  one wide frame, together with those that other such keys join to them. In a wide
+  frame only classes of different first frames are compared, by rare n-grams.
 
 Verification is exact: every link found is one, and no candidate is dropped by a
 cap or a sample. Null and empty texts, and texts without words, have empty sets
@@ -139,21 +140,26 @@ def between_frames(rows: DataFrame, like: Similarity) -> tuple[DataFrame, DataFr
     return pairs, mixed.where(F.col("others") > FEW).select("cls", "n", "key", "frame")
 
 
-def key_frames(many: DataFrame, like: Similarity) -> DataFrame:
-    """cls, frame, home, size: frames of the keys with many classes.
+def wide_frames(many: DataFrame, like: Similarity) -> DataFrame:
+    """cls, frame, home, size: frames of the keys with many classes, joined where they overlap.
 
     Linked sets differ in size by a factor of 100 / percent at most. A class goes to the
     frames of its own range of sizes and of the next one, so a link is inside one of them.
     """
+    leads = many.groupBy("key").agg(F.min("cls").alias("lead"))
+    joined = components(many.join(leads, "key").select(F.col("cls").alias("a"),
+                                                       F.col("lead").alias("b")), "wide")
     step = float(np.log(100 / like.percent)) or 1.0
     range_ = F.floor(F.log("n") / step).cast("int")
-    dealt = many.select("cls", F.col("frame").alias("home"), "key",
-                        F.explode(F.array(range_, range_ + 1)).alias("range"))
-    frame = F.unhex(F.md5(F.concat_ws(":", "key", "range")))
-    rows = stored(dealt.select("cls", "home", frame.alias("frame")), "key-frames")
-    sizes = rows.groupBy("frame").agg(F.count("*").alias("size"),
-                                      F.countDistinct("home").alias("homes")).where("homes > 1")
-    return rows.join(sizes.drop("homes"), "frame")
+    dealt = (many.select("cls", "n", F.col("frame").alias("home")).distinct()
+             .join(joined.withColumnRenamed("node", "cls"), "cls")
+             .select("cls", "home", "root", F.explode(F.array(range_, range_ + 1)).alias("range")))
+    frame = F.unhex(F.md5(F.concat_ws(":", F.hex("root"), "range")))
+    rows = stored(dealt.select("cls", "home", frame.alias("frame")), "wide-frames")
+    sizes = (rows.groupBy("frame").agg(F.count("*").alias("size"), F.min("home").alias("low"),
+                                       F.max("home").alias("high"))
+             .where("low <> high").select("frame", "size"))
+    return rows.join(sizes, "frame")
 
 
 def _copies(size: Column) -> Column:
@@ -251,7 +257,7 @@ def linked(docs: DataFrame, like: Similarity) -> DataFrame:
     first = framed.join(framed.groupBy("frame").agg(F.count("*").alias("size"))
                         .where("size > 1"), "frame").select(
         "cls", "frame", F.col("cls").alias("home"), "size")
-    frames = stored(first.unionByName(key_frames(many, like)
+    frames = stored(first.unionByName(wide_frames(many, like)
                                       .select("cls", "frame", "home", "size")), "all-frames")
 
     wanted = (pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
