@@ -31,17 +31,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from activity_timeline.llm.common import in_tasks, resident, row_key, stored
-from activity_timeline.llm.words import MIX, slices, token_hash, window_hashes
+from activity_timeline.llm.words import MIX, slices, token_hash, window_hashes, word_hashes
 
 WINDOW = 8
 PLAIN = 4            # plain words that a window needs
 RUN = 6              # windows in a row (13 tokens) that are enough in a long item
 BITS = 1 << 23       # size of the bitmap of benchmark hashes
-KNOWN_WORDS = 120_000  # words whose canonical form a worker remembers
+KNOWN_WORDS = 250_000  # words whose canonical form a worker remembers
 
 # fixed values: units of measure that follow a number
 UNITS = frozenset("mm cm m km in ft yd mi g kg mg lb oz t ml l s ms min h d % ° °c °f hz khz mhz "
@@ -51,6 +52,8 @@ UNITS = frozenset("mm cm m km in ft yd mi g kg mg lb oz t ml l s ms min h d % °
 NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?")
 EDGES = "\"'`.,;:!?()[]{}<>|*_~“”‘’«»…—–-"
 ENDS = tuple(".!?:")
+QUOTES = "\"')]»”’"
+SIGNS = tuple("+-$€£")
 GLUED = re.compile(rf"({NUMBER.pattern})(\D+)")
 PLAIN_WORD, NAME, NUMBERS, UNIT = range(4)
 KIND_HASHES = np.array([0, *map(token_hash, ("\x00name", "\x00number", "\x00unit"))], np.uint64)
@@ -67,38 +70,60 @@ class Words:
         self.flags = np.zeros(1024, np.uint8)  # 1 number, 2 unit, 4 capital, 8 ends a sentence,
         #                                        16 no token, 32 number and unit in one
         self.parts: dict[int, tuple[int, int]] = {}  # codes of the number and of the unit
-        self.text_end, self.line_end = self.code(TEXT_END), self.code(LINE_END)
+        self._add([TEXT_END, LINE_END])
+        self.text_end, self.line_end = 0, 1
         self.flags[[self.text_end, self.line_end]] = 16
 
-    def code(self, word: str) -> int:
-        core = word.strip(EDGES)
-        low = core.lower()
-        self.codes[word] = at = len(self.raw)
-        self.raw.append(low)
-        if at == len(self.hash):
+    def _add(self, words: list[str]) -> None:
+        """Codes for words that have none yet; their hashes are worked out together."""
+        first = len(self.raw)
+        cores = [w.strip(EDGES) for w in words]
+        lows = [c.lower() for c in cores]
+        self.codes.update(zip(words, range(first, first + len(words))))
+        self.raw += lows
+        while len(self.raw) > len(self.hash):
             self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
             self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
-        self.hash[at] = token_hash(low)
-        self.flags[at] = ((1 if NUMBER.fullmatch(core) else 0) | (2 if low in UNITS else 0)
-                          | (4 if core[:1].isupper() and not core.isupper() else 0)
-                          | (8 if word.rstrip("\"')]»”’")[-1:] in ENDS else 0)
-                          | (16 if not core else 0))
-        glued = GLUED.fullmatch(core)
-        if glued and glued[2].lower() in UNITS and not self.flags[at] & 1:
-            self.flags[at] |= 32
-            unit = word[word.index(core) + glued.start(2):]  # with what ends a sentence
-            self.parts[at] = tuple(self.codes[w] if w in self.codes else self.code(w)
-                                   for w in (glued[1], unit))
-        return at
+        full = np.array([c != "" for c in lows], bool)
+        own = np.zeros(len(words), np.uint64)
+        own[full] = word_hashes(pa.array([c for c in lows if c], pa.string()))[0]
+        self.hash[first:first + len(words)] = own
+        self.flags[first:first + len(words)] = [self._flags(*x) for x in zip(words, cores, lows)]
+        for at in (first + np.flatnonzero(self.flags[first:first + len(words)] & 32)).tolist():
+            word, core = words[at - first], cores[at - first]
+            number = GLUED.fullmatch(core)
+            unit = word[word.index(core) + number.start(2):]  # with what ends a sentence
+            missing = [w for w in dict.fromkeys((number[1], unit)) if w not in self.codes]
+            if missing:
+                self._add(missing)
+            self.parts[at] = (self.codes[number[1]], self.codes[unit])
+
+    @staticmethod
+    def _flags(word: str, core: str, low: str) -> int:
+        flags = 2 if low in UNITS else 0 if core else 16
+        first = core[:1]
+        if first.isupper():
+            flags |= 0 if core.isupper() else 4
+        elif first.isdecimal() or first in SIGNS:   # otherwise neither pattern can match
+            if NUMBER.fullmatch(core):
+                flags |= 1
+            elif (glued := GLUED.fullmatch(core)) and glued[2].lower() in UNITS:
+                flags |= 32
+        return flags | (8 if word.rstrip(QUOTES)[-1:] in ENDS else 0)
 
     def encode(self, texts: list[str]) -> np.ndarray:
         """Codes of the words of all texts, of the ends of lines and of texts."""
-        get, code = self.codes.get, self.code
         whole = f" {TEXT_END} ".join(t.replace(TEXT_END, " ") for t in texts)
         for end in LINE_ENDS:
             whole = whole.replace(end, f" {LINE_END} ")
-        found = np.fromiter((c if (c := get(w)) is not None else code(w) for w in whole.split()),
-                            np.int64)
+        split = pc.utf8_split_whitespace(pa.array([whole], pa.large_string())).flatten()
+        split = split.dictionary_encode()
+        words = split.dictionary.to_pylist()
+        new = [w for w in words if w not in self.codes]
+        if new:
+            self._add(new)
+        own = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        found = own[split.indices.to_numpy()]
         glued = np.flatnonzero(self.flags[found] & 32)
         if len(glued):
             pairs = np.array([self.parts[c] for c in found[glued].tolist()], np.int64)
