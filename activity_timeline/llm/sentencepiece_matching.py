@@ -40,6 +40,8 @@ WIDE = 32            # longest chunk that is relaxed together with others
 REMEMBER = 120_000   # chunks whose ids a worker remembers
 INDEXED_BYTES = 1 << 20  # text that is indexed at once
 NONE = np.iinfo(np.int32).max
+BYTE_LETTERS = 254   # characters of a text that still fit bytes
+PIECE_BITS = 20      # a piece's number in a sorted edge
 
 
 @dataclass
@@ -53,6 +55,7 @@ class Vocabulary:
     bytes_at: np.ndarray
     table: list[bytes]     # what each id stands for
     longest: int
+    points: np.ndarray     # code points of the pieces, 0 behind their ends
 
 
 def read_vocabulary(model_file: str) -> Vocabulary:
@@ -78,9 +81,11 @@ def read_vocabulary(model_file: str) -> Vocabulary:
     if any("\n" in names[i] or SPACE in names[i].lstrip(SPACE) for i in plain):
         raise ValueError("pieces of this model cross spaces or lines")
     spelled = [names[i] for i in plain]
-    return Vocabulary(np.array(spelled), np.array([p[:-1] + chr(ord(p[-1]) + 1) for p in spelled]),
+    whole = np.array(spelled)
+    longest = max(len(p) for p in spelled)
+    return Vocabulary(whole, np.array([p[:-1] + chr(ord(p[-1]) + 1) for p in spelled]),
                       np.array([len(p) for p in spelled]), np.array(plain, np.int32), ranks,
-                      bytes_at, table, max(len(p) for p in spelled))
+                      bytes_at, table, longest, whole.view(np.uint32).reshape(-1, longest))
 
 
 def suffix_array(points: np.ndarray, chunk: np.ndarray, depth: int) -> np.ndarray:
@@ -100,46 +105,80 @@ def suffix_array(points: np.ndarray, chunk: np.ndarray, depth: int) -> np.ndarra
     return np.argsort(rank, kind="stable")
 
 
+def _spelled(points: np.ndarray, words: Vocabulary):
+    """The text in an alphabet of its own, of bytes if it has few enough characters; and the
+    pieces, and the first texts beyond those that begin with them, in the same one.
+
+    Also which pieces these are: those with other characters cannot occur.
+    """
+    alphabet = np.unique(points)
+    if len(alphabet) > BYTE_LETTERS:
+        return points, np.uint32, words.pieces, words.after, np.arange(len(words.pieces))
+    at = np.minimum(np.searchsorted(alphabet, words.points), len(alphabet) - 1)
+    inside = (alphabet[at] == words.points) | (words.points == 0)
+    possible = np.flatnonzero(inside.all(axis=1))
+    low = np.where(words.points[possible] > 0, at[possible] + 1, 0).astype(np.uint8)
+    high = low.copy()
+    high[np.arange(len(high)), words.lengths[possible] - 1] += 1
+    kind = f"S{words.longest}"
+    return ((np.searchsorted(alphabet, points) + 1).astype(np.uint8), np.uint8,
+            low.view(kind).ravel(), high.view(kind).ravel(), possible)
+
+
 def edges(points: np.ndarray, chunk: np.ndarray, words: Vocabulary):
-    """All occurrences of pieces, sorted by position and length: key, rank, number of the piece.
+    """All occurrences of pieces, sorted by position and length: key, number of the piece.
 
     key is position * 64 + length.
     """
     order = suffix_array(points, chunk, words.longest)
     n, deep = len(points), words.longest
-    head = np.zeros((n, deep), np.uint32)
+    text, unit, pieces, after, possible = _spelled(points, words)
+    head = np.zeros((n, deep), unit)
     for i in range(min(deep, n)):
         same = chunk[:n - i] == chunk[i:]
-        head[:n - i, i][same] = points[i:][same]
-    sorted_heads = np.ascontiguousarray(head[order]).view(f"U{deep}").ravel()
-    low = np.searchsorted(sorted_heads, words.pieces, "left")
-    high = np.searchsorted(sorted_heads, words.after, "left")
-    del sorted_heads, head
+        head[:n - i, i][same] = text[i:][same]
+    heads = head.view(f"{'S' if unit is np.uint8 else 'U'}{deep}").ravel()[order]
+    low = np.searchsorted(heads, pieces, "left")
+    high = np.searchsorted(heads, after, "left")
+    del heads, head
     counts = high - low
-    piece = np.repeat(np.arange(len(low)), counts)
+    piece = np.repeat(possible, counts)
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     key = order[np.repeat(low, counts) + place] * 64 + words.lengths[piece]
-    by_key = np.argsort(key, kind="stable")
-    return key[by_key], words.ranks[piece][by_key], piece[by_key]
+    both = np.sort(key << PIECE_BITS | piece)
+    return both >> PIECE_BITS, both & ((1 << PIECE_BITS) - 1)
 
 
 class Edges:
-    def __init__(self, keys, ranks, pieces):
-        self.keys, self.ranks, self.pieces = keys, ranks, pieces
+    """Edges sorted by position and length, found by counting those before on their position."""
+
+    def __init__(self, keys: np.ndarray, pieces: np.ndarray, ranks: np.ndarray, n: int):
+        at, self.pieces, self.ranks = keys >> 6, pieces, ranks[pieces]
+        self.first = np.searchsorted(at, np.arange(n + 1))
+        self.lengths = np.zeros(n + 1, np.uint64)   # bit i: there is an edge of length i
+        runs = self.first[:n][np.diff(self.first) > 0]
+        if len(runs):
+            bits = np.uint64(1) << (keys & 63).astype(np.uint64)
+            self.lengths[at[runs]] = np.bitwise_or.reduceat(bits, runs)
 
     def _find(self, at: np.ndarray, length: np.ndarray):
-        key = at * 64 + np.minimum(length, 63)
-        i = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        return i, (self.keys[i] == key) if len(self.keys) else np.zeros(len(key), bool)
+        bit = np.uint64(1) << np.minimum(length, 63).astype(np.uint64)
+        own = self.lengths[at]
+        hit = (own & bit) > 0
+        return self.first[at] + np.bitwise_count(own & (bit - np.uint64(1))), hit
 
-    def rank(self, at, length):
+    def _of(self, values: np.ndarray, at, length, none: int) -> np.ndarray:
         i, hit = self._find(at, length)
-        return np.where(hit, self.ranks[i], NONE) if len(self.keys) else np.full(len(at), NONE)
+        out = np.full(len(at), none, np.int64)
+        out[hit] = values[i[hit]]
+        return out
+
+    def rank(self, at, length):
+        return self._of(self.ranks, at, length, NONE)
 
     def piece(self, at, length):
         """Number of the piece, -1 if there is none."""
-        i, hit = self._find(at, length)
-        return np.where(hit, self.pieces[i], -1) if len(self.keys) else np.full(len(at), -1)
+        return self._of(self.pieces, at, length, -1)
 
 
 def relax(starts: np.ndarray, sizes: np.ndarray, found: Edges) -> np.ndarray:
@@ -212,7 +251,7 @@ def encode_chunks(chunks: list[str], words: Vocabulary) -> tuple[np.ndarray, np.
     points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum(sizes) - sizes
     chunk = np.repeat(np.arange(len(chunks)), sizes)
-    found = Edges(*edges(points, chunk, words))
+    found = Edges(*edges(points, chunk, words), words.ranks, len(points))
     length = np.zeros(len(points), np.int64)
     short = np.flatnonzero(sizes <= WIDE)
     for group in np.array_split(short[np.argsort(sizes[short], kind="stable")],
@@ -244,25 +283,51 @@ class Encoder:
 
     def __init__(self, words: Vocabulary):
         self.words = words
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Forget all chunks but those that were met again, or all if these are too many."""
+        often = self.met > 1
+        kept = [(c, i) for c, i in self.known.items() if often[i]]
+        if len(kept) > REMEMBER // 2:
+            kept = []
+        codes = np.array([i for _, i in kept], np.int64)
+        ids = self._gather(codes)
+        counts = self.begins[codes + 1] - self.begins[codes]
+        self.known = {c: i for i, (c, _) in enumerate(kept)}
+        self.ids, self.begins = ids, np.concatenate([[0], np.cumsum(counts)])
+        self.met = np.zeros(len(kept), np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of chunks that are not known; about INDEXED_BYTES of text are indexed at once."""
+        ends = np.cumsum([len(c) for c in new])
+        at = 0
+        while at < len(new):
+            base = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + INDEXED_BYTES, "right")))
+            block = new[at:stop]
+            ids, begins = encode_chunks([c.replace(" ", SPACE) for c in block], self.words)
+            first = len(self.begins) - 1
+            self.known.update(zip(block, range(first, first + len(block))))
+            self.begins = np.concatenate([self.begins, begins[1:] + self.begins[-1]])
+            self.ids = np.concatenate([self.ids, ids])
+            at = stop
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         if len(self.known) > REMEMBER:
             self._forget()
         cut = [CHUNK.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        new = sorted({c for chunks in cut for c in chunks} - self.known.keys())
+        new = set().union(*cut) - self.known.keys()
         if new:
-            ids, begins = encode_chunks([c.replace(" ", SPACE) for c in new], self.words)
-            self.known.update(zip(new, range(len(self.begins) - 1, len(self.begins) - 1 + len(new))))
-            self.begins = np.concatenate([self.begins, begins[1:] + self.begins[-1]])
-            self.ids = np.concatenate([self.ids, ids])
+            self._learn(sorted(new))
         get = self.known.__getitem__
-        return [None if t is None else self._gather(np.fromiter(map(get, c), np.int64, len(c)))
-                for t, c in zip(texts, cut)]
+        codes = [np.fromiter(map(get, c), np.int64, len(c)) for c in cut]
+        for c in codes:
+            self.met[np.unique(c)] += 1   # in how many texts
+        return [None if t is None else self._gather(c) for t, c in zip(texts, codes)]
 
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         first = self.begins[codes]
