@@ -1,8 +1,7 @@
 """Links between documents whose sets of word n-grams have a high Jaccard similarity.
 
 Adaptive multi-match prefixes. The n-grams of all sets are put into one order,
-rare ones first (by a count over all documents in a fixed number of cells, then
-by hash). Two sets of the wanted similarity share at least one n-gram of their
+rare ones first (by a count over all documents in cells, then by hash). Two sets of the wanted similarity share at least one n-gram of their
 prefixes, and at least m of them if both prefixes are m - 1 n-grams longer. Each
 set chooses its m by estimated cost: what its prefix must look through, plus the
 candidates that are left, of which (by Markov's bound) at most a share of 1/m
@@ -19,12 +18,15 @@ common would give all pairs of a large group; instead they meet in a frame:
   it once and keep only what they and the centre do not share. The distance of
   two sets is the distance of these remainders;
 * so sizes alone link most of a group: every class within reach of the one that
-  lies closest (`slack`, see `_in_frames`) is linked with it. Only classes out of
+  lies closest (`slack`, see frames.py) is linked with it. Only classes out of
   its reach are compared by prefixes of remainders, rarest first.
 
 Pairs from different frames that pass the multi-match test are compared as a
-whole. No link between different sets is lost, and no pair within reach of a
-common neighbour is written out.
+whole. N-grams that would make too many such pairs (many classes outside their
+largest frame) put their classes into wide frames instead, where only classes of
+different first frames are compared. No link between different sets is lost, and
+no pair within reach of a common neighbour is written out. Sets are told apart by
+hashes of 64 bits per n-gram and are not read again as words.
 
 Null and empty texts, and texts without words, have empty sets and are linked
 with nothing. Fewer words than n make one n-gram. Rows without doc_id take part;
@@ -34,23 +36,27 @@ sets. Empty tables give no rows. Further columns are left alone.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from activity_timeline.llm.common import in_tasks, row_key, stored
 from activity_timeline.llm.components import components
+from activity_timeline.llm.frames import in_frames, similar_sizes, wide_frames
 from activity_timeline.llm.words import mix, slices, window_hashes, word_hashes
 
-CELLS = 1 << 18         # cells of the count of n-grams
+LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 25   # cells of the count of n-grams (64 MB at most)
+CELLS_PER_ROW = 32
+BLOCK = 1 << 16         # cells that are added up together
+BINS = 256              # groups of tasks whose counts are added up first
 LONGEST = 8             # most matches asked for
 VERIFY = 20             # cost of a comparison, in n-grams looked through
-CENTRE_SAMPLE = 64      # classes that a centre is found from
-ROWS_PER_COPY = 2_000   # classes of a frame that one copy of its centre serves
+FEW = 128               # classes outside a token's largest frame that may meet as pairs
 SUPPORT = 4             # a class joins a frame that a fourth of its prefix leads to
 BITS = 1 << 22          # bits of the filter of rows whose sets are wanted
 
@@ -61,14 +67,6 @@ class Similarity:
     words: int = 3
     percent: int = 90
 
-    @property
-    def near(self) -> int:
-        return 100 - self.percent
-
-    @property
-    def far(self) -> int:
-        return 100 + self.percent
-
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of every text."""
@@ -92,42 +90,74 @@ def class_key(x: np.ndarray) -> bytes:
                     np.uint64).tobytes()
 
 
-SURVEYED = "row_key bigint, doc_id bigint, n int, cls binary, cell int, hits bigint"
+SURVEYED = ("row_key bigint, doc_id bigint, n int, cls binary, block int, bin int,"
+            " counts binary")
+
+
+def cells_for(rows: int) -> int:
+    """Cells of the count of n-grams: a power of two that grows with the rows."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, rows * CELLS_PER_ROW - 1).bit_length()))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
 
 
-def _survey(words: int):
+def _survey(words: int, n_cells: int):
     def run(batches):
-        """A row for each document; then the counts of all n-grams of the task, by cell."""
-        cells = np.zeros(CELLS, np.int64)
+        """A row for each document; then the counts of all n-grams of the task, by blocks of cells."""
+        cells = np.zeros(n_cells, np.uint32)
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingle_sets(batch.column("text"), words)
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                cells += np.bincount((every % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                at, hits = np.unique((every & np.uint64(n_cells - 1)).astype(np.uint32),
+                                     return_counts=True)
+                cells[at] += hits.astype(np.uint32)
                 rows = len(sets)
                 yield pa.record_batch(
                     [batch.column("row_key"), batch.column("doc_id"),
                      pa.array([len(x) for x in sets], pa.int32()),
                      pa.array([class_key(x) if len(x) else None for x in sets], pa.binary()),
-                     pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())],
-                    names=["row_key", "doc_id", "n", "cls", "cell", "hits"])
-        used = np.flatnonzero(cells)
-        rows = len(used)
-        yield pa.record_batch(
-            [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()),
-             pa.nulls(rows, pa.binary()), pa.array(used.astype(np.int32)), pa.array(cells[used])],
-            names=["row_key", "doc_id", "n", "cls", "cell", "hits"])
+                     pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()),
+                     pa.nulls(rows, pa.binary())], names=names)
+        task = TaskContext.get().partitionId() % BINS
+        for block in range(n_cells // BLOCK):
+            own = cells[block * BLOCK:(block + 1) * BLOCK]
+            if own.any():
+                yield pa.record_batch(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
+                     pa.nulls(1, pa.binary()), pa.array([block], pa.int32()),
+                     pa.array([task], pa.int32()), pa.array([_packed(own)], pa.binary())],
+                    names=names)
+
+    names = [x.split()[0] for x in SURVEYED.split(", ")]
     return run
 
 
-def frequency_cells(surveyed: DataFrame) -> np.ndarray:
-    """Excess of each cell's count over what chance puts there, 1 at least; CELLS numbers."""
-    cells = np.zeros(CELLS, np.int64)
-    for cell, hits in (surveyed.where("cell IS NOT NULL").groupBy("cell")
-                       .agg(F.sum("hits")).collect()):
-        cells[cell] = hits
-    mean = cells.sum() / CELLS
-    return np.maximum(1, cells - np.int64(mean + 4 * np.sqrt(mean)))
+def _added(table: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.uint64)
+    for counts in table.column("counts").to_pylist():
+        total += np.frombuffer(zlib.decompress(counts), np.uint32)
+    total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+    return pa.table({"block": table.column("block")[:1],
+                     "counts": pa.array([_packed(total)], pa.binary())})
+
+
+def frequency_cells(surveyed: DataFrame, n_cells: int) -> np.ndarray:
+    """Excess of each cell's count over what chance puts there, between 1 and 65,535.
+
+    Blocks of cells are added up in two steps, the first for some of the tasks each.
+    """
+    blocks = surveyed.where("block IS NOT NULL").select("block", "bin", "counts")
+    for keys in (["block", "bin"], ["block"]):
+        blocks = blocks.groupBy(*keys).applyInArrow(_added, "block int, counts binary")
+    cells = np.zeros(n_cells, np.int64)
+    for block, counts in blocks.toLocalIterator():
+        cells[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(zlib.decompress(counts), np.uint32)
+    mean = cells.sum() / n_cells
+    cells -= np.int64(mean + 4 * np.sqrt(mean))
+    return np.clip(cells, 1, np.iinfo(np.uint16).max).astype(np.uint16)
 
 
 def choose_matches(costs: np.ndarray, base: int) -> int:
@@ -146,7 +176,7 @@ def _prefixes(words: int, percent: int, excess: np.ndarray):
                 for x in shingle_sets(batch.column("text"), words):
                     if not len(x):
                         continue
-                    cost = excess[(x % np.uint64(CELLS)).astype(np.int64)]
+                    cost = excess[(x & np.uint64(len(excess) - 1)).astype(np.int64)]
                     order = np.argsort(cost, kind="stable")
                     base = len(x) - -(-percent * len(x) // 100) + 1
                     m = choose_matches(cost[order], base)
@@ -191,30 +221,34 @@ def frames_of(shared: DataFrame) -> DataFrame:
             .select("cls", F.col("top.lead").alias("frame")))
 
 
-def cross_pairs(shared: DataFrame, framed: DataFrame, like: Similarity) -> DataFrame:
-    """a, b: pairs of classes from different frames that share as many n-grams as asked.
+def cross_pairs(shared: DataFrame, framed: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b of classes from different frames that share as many n-grams as asked; and
+    cls, n, key, frame of the n-grams that would make too many of them.
 
-    A token that classes of one frame only hold is left out before any join. Of the others,
-    the frame that holds most of a token's classes is not joined with itself.
+    The frame that holds most of a token's classes is not joined with itself. Tokens that one
+    frame only holds are left out. Those with more than FEW classes outside their largest
+    frame make no pairs: their classes meet in a wide frame.
     """
     rows = shared.drop("lead", "length").join(framed, "cls")
-    mixed = rows.groupBy("token").agg(F.min("frame").alias("low"), F.max("frame").alias("high")) \
-        .where("low <> high").select("token")
-    rows = stored(rows.join(mixed, "token"), "mixed")
-    large = (rows.groupBy("token", "frame").count()
-             .groupBy("token").agg(F.max(F.struct("count", "frame")).alias("top"))
-             .select("token", F.col("top.frame").alias("large")))
-    rows = rows.join(large, "token")
-    left, right = rows.where("frame <> large").alias("l"), rows.alias("r")
+    tokens = (rows.groupBy("token", "frame").count().groupBy("token")
+              .agg(F.sum("count").alias("classes"), F.max(F.struct("count", "frame")).alias("top"))
+              .select("token", F.col("top.frame").alias("large"),
+                      (F.col("classes") - F.col("top.count")).alias("others"))
+              .where("others > 0"))
+    mixed = stored(rows.join(tokens, "token"), "mixed")
+    few = mixed.where(F.col("others") <= FEW)
+    left, right = few.where("frame <> large").alias("l"), few.alias("r")
     asked = F.least("l.asked", "r.asked")
     found = left.join(right, F.col("l.token") == F.col("r.token")).where(
         (F.col("l.frame") != F.col("r.frame"))
         & ((F.col("r.frame") == F.col("r.large")) | (F.col("l.cls") < F.col("r.cls")))
-        & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * like.percent)
+        & similar_sizes(F.col("l.n"), F.col("r.n"), like.percent)
         & (F.greatest("l.level", "r.level") <= asked))
-    return (found.groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-            .agg(F.count("*").alias("matches"), F.first(asked).alias("asked"))
-            .where("matches >= asked").select("a", "b"))
+    pairs = (found.groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
+             .agg(F.count("*").alias("matches"), F.first(asked).alias("asked"))
+             .where("matches >= asked").select("a", "b"))
+    many = mixed.where(F.col("others") > FEW).select("cls", "n", F.col("token").alias("key"), "frame")
+    return pairs, many
 
 
 def _wanted_sets(words: int, bits: np.ndarray):
@@ -256,83 +290,6 @@ def sets_of(docs: DataFrame, like: Similarity, wanted: DataFrame) -> DataFrame:
     return sets.join(wanted, "row_key").dropDuplicates(["row_key"])
 
 
-def _centre(pdf):
-    grams, counts = np.unique(np.concatenate([np.asarray(x) for x in pdf["grams"]]),
-                              return_counts=True)
-    return pd.DataFrame({"frame": [pdf["frame"].iloc[0]],
-                         "centre": [grams[counts * 2 > len(pdf)]]})
-
-
-def remainders(sets: DataFrame) -> DataFrame:
-    """cls, frame, n, rest: what each class and the centre of its frame do not share.
-
-    sets: cls, frame, size (classes of the frame), n, grams. Centres are copied for frames of
-    many classes, so that no task gets them all.
-    """
-    drawn = sets.where(F.pmod(F.xxhash64("cls"), F.col("size")) < CENTRE_SAMPLE)
-    centres = drawn.select("frame", "grams").groupBy("frame").applyInPandas(
-        _centre, "frame binary, centre array<bigint>")
-    copies = F.ceil(F.col("size") / ROWS_PER_COPY).cast("int")
-    sizes = sets.groupBy("frame").agg(F.first("size").alias("size"))
-    dealt = sizes.join(centres, "frame", "left").select(
-        "frame", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"),
-        F.coalesce("centre", F.array().cast("array<bigint>")).alias("centre"))
-    salted = sets.withColumn("copy", F.pmod(F.xxhash64("cls", F.lit(1)), copies).cast("int"))
-    joined = salted.join(dealt, ["frame", "copy"])
-    return joined.select("cls", "frame", "n", F.concat(
-        F.array_except("grams", "centre"), F.array_except("centre", "grams")).alias("rest"))
-
-
-def in_frames(rests: DataFrame, like: Similarity) -> DataFrame:
-    """a, b: links that connect all classes of a frame that are connected by links inside it.
-
-    Let slack = near * n - far * |rest|. Two classes are linked if and only if
-    slack_a + slack_b + 2 * far * (n-grams their rests share) >= 0. So with the class of
-    largest slack every class is linked whose slack is not below the negative of it; no pair
-    of these needs to be looked at. For the others, the shared part of the rests must be at
-    least -(slack_a + slack_b) / (2 * far), which bounds the prefix of rests to be searched.
-    At the first n-gram that two prefixes have in common, what is behind it in the shorter
-    rest bounds what they can share; rows of a pair that cannot reach its bound are not made.
-    """
-    rests = stored(rests.withColumn("slack", F.col("n") * like.near - F.size("rest") * like.far),
-                   "rests")
-    tops = rests.groupBy("frame").agg(F.max(F.struct("slack", "cls")).alias("top"))
-    with_top = rests.join(tops, "frame")
-    near = F.col("slack") + F.col("top.slack") >= 0
-    links = with_top.where(near).select(F.col("cls").alias("a"), F.col("top.cls").alias("b"))
-
-    beyond = (with_top.where(~near).groupBy("frame")
-              .agg(F.max("slack").alias("beyond"), F.first("top.slack").alias("top")))
-    rows = rests.join(beyond, "frame").withColumn("out", F.col("slack") + F.col("top") < 0)
-    partner = F.when(F.col("out"), F.greatest("top", "beyond")).otherwise(F.col("beyond"))
-    shared = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + partner) / (2 * like.far)))
-    tokens = rows.withColumn("keep", F.size("rest") - shared + 1).where("keep > 0").select(
-        "frame", "cls", "out", "slack", "keep", F.size("rest").alias("size"),
-        F.explode("rest").alias("token"))
-    counts = tokens.groupBy("frame", "token").agg(F.count("*").alias("hits"))
-    order = Window.partitionBy("cls").orderBy("hits", "token")
-    ranked = (tokens.join(counts, ["frame", "token"])
-              .withColumn("place", F.row_number().over(order))
-              .where("place <= keep AND hits > 1")
-              .select("frame", "token", "cls", "out", "slack",
-                      (F.col("size") - F.col("place") + 1).alias("left")))
-    ranked = stored(ranked, "rest-tokens")
-    l, r = ranked.where("out").alias("l"), ranked.alias("r")
-    reach = (F.col("l.slack") + F.col("r.slack")
-             + F.least("l.left", "r.left") * 2 * like.far >= 0)
-    pairs = l.join(r, (F.col("l.frame") == F.col("r.frame")) & (F.col("l.token") == F.col("r.token"))
-                   ).where((F.col("l.cls") != F.col("r.cls")) & reach
-                           & (~F.col("r.out") | (F.col("l.cls") < F.col("r.cls"))))
-    pairs = pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
-    left = rests.select(F.col("cls").alias("a"), F.col("rest").alias("ra"),
-                        F.col("slack").alias("sa"))
-    right = rests.select(F.col("cls").alias("b"), F.col("rest").alias("rb"),
-                         F.col("slack").alias("sb"))
-    checked = pairs.join(left, "a").join(right, "b").where(
-        F.col("sa") + F.col("sb") + F.size(F.array_intersect("ra", "rb")) * 2 * like.far >= 0)
-    return links.unionByName(checked.select("a", "b"))
-
-
 def across_frames(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
     """a, b: those of the pairs that are links."""
     left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"), F.col("n").alias("na"))
@@ -350,30 +307,32 @@ def link_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
 def _linked(docs: DataFrame, like: Similarity) -> DataFrame:
     """The same with `root`, which rows of one component share; null for rows without words."""
     keyed = docs.select(row_key().alias("row_key"), "doc_id", "text")
-    surveyed = stored(in_tasks(keyed, _survey(like.words), SURVEYED), "surveyed")
-    rows = surveyed.where("cell IS NULL")
+    n_cells = cells_for(docs.count())
+    surveyed = stored(in_tasks(keyed, _survey(like.words, n_cells), SURVEYED), "surveyed")
+    rows = surveyed.where("block IS NULL")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(
         F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"))
 
-    tokens = stored(prefixes(docs, like, frequency_cells(surveyed)), "prefixes")
+    tokens = stored(prefixes(docs, like, frequency_cells(surveyed, n_cells)), "prefixes")
     leads = (tokens.groupBy("token").agg(F.count("*").alias("classes"), F.min("cls").alias("lead"))
              .where("classes > 1").drop("classes"))
     shared = stored(tokens.join(leads, "token"), "shared")
     framed = shared.select("cls").distinct().join(frames_of(shared), "cls", "left").select(
         "cls", F.coalesce("frame", "cls").alias("frame"))
     framed = stored(framed, "frames")
-    framed = framed.join(framed.groupBy("frame").agg(F.count("*").alias("size")), "frame")
-
-    pairs = stored(cross_pairs(shared, framed.select("cls", "frame"), like), "pairs")
-    paired = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().withColumn(
-        "paired", F.lit(True))
-    wanted = (framed.join(paired, "cls", "left").where("size > 1 OR paired")
-              .join(classes.select("cls", "row_key"), "cls"))
-    wanted = stored(wanted, "wanted")
+    pairs, many = cross_pairs(shared, framed, like)
+    pairs = stored(pairs, "pairs")
+    first = framed.join(framed.groupBy("frame").agg(F.count("*").alias("size"))
+                        .where("size > 1"), "frame").select(
+        "cls", "frame", F.col("cls").alias("home"), "size")
+    frames = stored(first.unionByName(wide_frames(many, like.percent)
+                                      .select("cls", "frame", "home", "size")), "all-frames")
+
+    wanted = (pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+              .union(frames.select("cls")).distinct())
+    wanted = stored(wanted.join(classes.select("cls", "row_key"), "cls"), "wanted")
     sets = stored(sets_of(docs, like, wanted).withColumn("n", F.size("grams")), "sets")
-
-    links = in_frames(remainders(sets.where("size > 1").drop("paired", "row_key")), like)
-    links = links.unionByName(across_frames(pairs, sets.where("paired"), like))
+    links = in_frames(sets, frames, like.percent).unionByName(across_frames(pairs, sets, like))
     found = components(links)
     # the smallest doc_id of each component, then of each class
     roots = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select(

@@ -32,13 +32,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from activity_timeline.llm.common import in_tasks, row_key, stored
 from activity_timeline.llm.components import components
+from activity_timeline.llm.frames import in_frames, similar_sizes, wide_frames
 from activity_timeline.llm.ngram_jaccard import (
-    Similarity, across_frames, class_key, remainders, sets_of, shingle_sets)
+    Similarity, across_frames, class_key, sets_of, shingle_sets)
 from activity_timeline.llm.words import mix, slices
 
 COLLECTION = 12        # short hashes of a collection
@@ -46,7 +47,6 @@ PAIR = 2               # minhashes of a short hash
 MATCHES = 4            # tables that candidates from different frames share
 JOINS = 9              # tables a class shares with the lead of its frame, at least
 FEW = 16               # classes outside a key's largest frame that may meet as pairs
-ROWS_PER_COPY = 2_000  # classes of a frame that one copy of its summary serves
 SEED = 12
 
 SIGNED = "row_key bigint, doc_id bigint, n int, cls binary, hashes array<bigint>"
@@ -113,10 +113,6 @@ def first_frames(shared: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("tables", "lead"))["lead"].alias("frame")))
 
 
-def _similar_sizes(a: Column, b: Column, like: Similarity) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * like.percent
-
-
 def between_frames(rows: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
     """Pairs a, b of classes from different frames; and cls, key of keys with too many of them.
 
@@ -134,109 +130,12 @@ def between_frames(rows: DataFrame, like: Similarity) -> tuple[DataFrame, DataFr
     found = left.join(right, F.col("l.key") == F.col("r.key")).where(
         (F.col("l.frame") != F.col("r.frame"))
         & ((F.col("r.frame") == F.col("r.large")) | (F.col("l.cls") < F.col("r.cls")))
-        & _similar_sizes(F.col("l.n"), F.col("r.n"), like))
+        & similar_sizes(F.col("l.n"), F.col("r.n"), like.percent))
     pairs = (found.groupBy(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b"))
              .agg(F.count("*").alias("tables")).where(F.col("tables") >= MATCHES).select("a", "b"))
     return pairs, mixed.where(F.col("others") > FEW).select("cls", "n", "key", "frame")
 
 
-def wide_frames(many: DataFrame, like: Similarity) -> DataFrame:
-    """cls, frame, home, size: frames of the keys with many classes, joined where they overlap.
-
-    Linked sets differ in size by a factor of 100 / percent at most. A class goes to the
-    frames of its own range of sizes and of the next one, so a link is inside one of them.
-    """
-    leads = many.groupBy("key").agg(F.min("cls").alias("lead"))
-    joined = components(many.join(leads, "key").select(F.col("cls").alias("a"),
-                                                       F.col("lead").alias("b")), "wide")
-    step = float(np.log(100 / like.percent)) or 1.0
-    range_ = F.floor(F.log("n") / step).cast("int")
-    dealt = (many.select("cls", "n", F.col("frame").alias("home")).distinct()
-             .join(joined.withColumnRenamed("node", "cls"), "cls")
-             .select("cls", "home", "root", F.explode(F.array(range_, range_ + 1)).alias("range")))
-    frame = F.unhex(F.md5(F.concat_ws(":", F.hex("root"), "range")))
-    rows = stored(dealt.select("cls", "home", frame.alias("frame")), "wide-frames")
-    sizes = (rows.groupBy("frame").agg(F.count("*").alias("size"), F.min("home").alias("low"),
-                                       F.max("home").alias("high"))
-             .where("low <> high").select("frame", "size"))
-    return rows.join(sizes, "frame")
-
-
-def _copies(size: Column) -> Column:
-    return F.ceil(size / ROWS_PER_COPY).cast("int")
-
-
-def _with_summary(rows: DataFrame, summary: DataFrame) -> DataFrame:
-    """rows (with frame, size) joined with a row per frame, copied for frames of many rows."""
-    copies = summary.withColumn("copy", F.explode(F.sequence(F.lit(0), _copies(F.col("size")) - 1)))
-    salted = rows.withColumn("copy", F.pmod(F.xxhash64("cls", F.lit(2)), _copies(F.col("size")))
-                             .cast("int"))
-    return salted.join(copies.drop("size"), ["frame", "copy"]).drop("copy")
-
-
-def links_inside(rests: DataFrame, like: Similarity) -> DataFrame:
-    """a, b: links that join up all classes of a frame that are joined by links inside it.
-
-    rests: cls, frame, home, n, rest (what the class and the frame's centre do not share),
-    size. Classes with the same home are not compared. With slack = near * n - far * |rest|,
-    two classes are linked if and only if slack_a + slack_b + 2 * far * (n-grams that their
-    rests share) >= 0. So each class is linked with the one of largest slack, the top, unless
-    it lacks too much. Of two classes of which one is out of the top's reach, the rests must
-    share at least -(slack_a + slack_b) / (2 * far) n-grams, so one of the rarest |rest| less
-    that number, and one.
-    """
-    rests = stored(rests.withColumn("slack", F.col("n") * like.near - F.size("rest") * like.far),
-                   "rests")
-    tops = rests.groupBy("frame").agg(F.max(F.struct("slack", "cls", "home")).alias("top"),
-                                      F.first("size").alias("size"))
-    with_top = stored(_with_summary(rests, tops), "rests-top")
-    near = F.col("slack") + F.col("top.slack") >= 0
-    links = with_top.where(near).select(F.col("cls").alias("a"), F.col("top.cls").alias("b"))
-
-    beyond = with_top.where(~near).groupBy("frame").agg(
-        F.max("slack").alias("beyond"), F.first("top.slack").alias("top_slack"),
-        F.first("size").alias("size"))
-    rows = _with_summary(rests, beyond).withColumn(
-        "out", F.col("slack") + F.col("top_slack") < 0)
-    partner = F.when(F.col("out"), F.greatest("top_slack", "beyond")).otherwise(F.col("beyond"))
-    least = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + partner) / (2 * like.far)))
-    tokens = rows.withColumn("keep", F.size("rest") - least + 1).where("keep > 0").select(
-        "frame", "cls", "home", "n", "out", "slack", "keep", F.size("rest").alias("length"),
-        F.explode("rest").alias("token"))
-    counts = tokens.groupBy("frame", "token").agg(F.count("*").alias("hits"))
-    order = Window.partitionBy("frame", "cls").orderBy("hits", "token")
-    ranked = stored(
-        tokens.join(counts, ["frame", "token"]).withColumn("place", F.row_number().over(order))
-        .where("place <= keep AND hits > 1")
-        .select("frame", "token", "cls", "home", "n", "out", "slack",
-                (F.col("length") - F.col("place") + 1).alias("left")), "rest-tokens")
-    l, r = ranked.where("out").alias("l"), ranked.alias("r")
-    reach = (F.col("l.slack") + F.col("r.slack")
-             + F.least("l.left", "r.left") * 2 * like.far >= 0)
-    pairs = l.join(r, (F.col("l.frame") == F.col("r.frame")) & (F.col("l.token") == F.col("r.token"))
-                   ).where((F.col("l.cls") != F.col("r.cls")) & reach
-                           & (F.col("l.home") != F.col("r.home"))
-                           & _similar_sizes(F.col("l.n"), F.col("r.n"), like)
-                           & (~F.col("r.out") | (F.col("l.cls") < F.col("r.cls"))))
-    pairs = pairs.select("l.frame", F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
-    left = rests.select("frame", F.col("cls").alias("a"), F.col("rest").alias("ra"),
-                        F.col("slack").alias("sa"))
-    right = rests.select("frame", F.col("cls").alias("b"), F.col("rest").alias("rb"),
-                         F.col("slack").alias("sb"))
-    checked = pairs.join(left, ["frame", "a"]).join(right, ["frame", "b"]).where(
-        F.col("sa") + F.col("sb") + F.size(F.array_intersect("ra", "rb")) * 2 * like.far >= 0)
-    return links.unionByName(checked.select("a", "b"))
-
-
-def in_frames(sets: DataFrame, frames: DataFrame, like: Similarity) -> DataFrame:
-    """a, b: links inside frames (cls, frame, home, size), on the full sets (cls, grams)."""
-    filled = frames.join(sets.select("cls", "n", "grams"), "cls")
-    # remainders hands n on as it is, so what belongs to the class travels with it
-    rests = remainders(filled.select("cls", "frame", "size", "grams",
-                                     F.struct("n", "home", "size").alias("n")))
-    return links_inside(rests.select("cls", "frame", "rest", "n.*"), like)
-
-
 def linked(docs: DataFrame, like: Similarity) -> DataFrame:
     """row_key, doc_id, n, cls, root of every row; rows of one component share the root."""
     keyed = docs.select(row_key().alias("row_key"), "doc_id", "text")
@@ -257,14 +156,14 @@ def linked(docs: DataFrame, like: Similarity) -> DataFrame:
     first = framed.join(framed.groupBy("frame").agg(F.count("*").alias("size"))
                         .where("size > 1"), "frame").select(
         "cls", "frame", F.col("cls").alias("home"), "size")
-    frames = stored(first.unionByName(wide_frames(many, like)
+    frames = stored(first.unionByName(wide_frames(many, like.percent)
                                       .select("cls", "frame", "home", "size")), "all-frames")
 
     wanted = (pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
               .union(frames.select("cls")).distinct())
     wanted = stored(wanted.join(classes.select("cls", "row_key"), "cls"), "wanted")
     sets = stored(sets_of(docs, like, wanted).withColumn("n", F.size("grams")), "sets")
-    links = in_frames(sets, frames, like).unionByName(across_frames(pairs, sets, like))
+    links = in_frames(sets, frames, like.percent).unionByName(across_frames(pairs, sets, like))
     found = components(links, "minhash")
     return signed.join(found.withColumnRenamed("node", "cls"), "cls", "left").select(
         "row_key", "doc_id", "n", "cls", F.coalesce("root", "cls").alias("root"))
