@@ -12,14 +12,17 @@ SEQUENCE_NAME = "Rough Cut"
 
 
 def export(timelines: Timelines, cameras: DataFrame, tracks: DataFrame | None = None,
-           name: str = SEQUENCE_NAME, width: int = 1920, height: int = 1080) -> DataFrame:
+           name: str = SEQUENCE_NAME, width: int = 1920, height: int = 1080,
+           block: int | None = None) -> DataFrame:
     """session_id, section, place, text: the texts of a session in order, joined by line breaks.
 
     There is no audio without `tracks`, nor for sessions where not both tracks
-    have a path. A document is made from several views of its timeline; where
-    timelines are costly to compute, write them first and export what is read back.
+    have a path. `block` as elsewhere: None says that a task can order the rows of
+    any session, and all relations are read once and shuffled once. With a block,
+    sessions may be of any length; then a document is made from several views of its
+    timeline, so where these are costly, write them first and export what is read back.
     """
-    return sequence_documents(timelines, cameras, tracks, name, width, height)
+    return sequence_documents(timelines, cameras, tracks, name, width, height, block)
 
 
 def save(documents: DataFrame, path: str) -> None:

@@ -17,7 +17,7 @@ from activity_timeline.functions.numbers import (
 from activity_timeline.functions.paths import file_name, file_stem, file_uri
 from activity_timeline.operators import clips, frames, rules, segments, signal, timelines
 from activity_timeline.operators.activity import activity_flags, combine_tracks
-from activity_timeline.operators.slices import choose_block, scan, scratch_path
+from activity_timeline.operators.slices import BLOCK, choose_block, scan, scratch_path
 from activity_timeline.plans import analyze as chain
 from activity_timeline.schemas import SESSION, TRACK_KEYS
 from activity_timeline.sources import documents, tables, wav
@@ -556,7 +556,7 @@ def long_session_xml(spark, sf_dir):
     """The document of all turns as one session."""
     return export(_timelines(spark, sf_dir, _one_conversation),
                   _cameras(spark, sf_dir, _one_conversation),
-                  _tracks(spark, sf_dir, _one_conversation))
+                  _tracks(spark, sf_dir, _one_conversation), block=BLOCK)
 
 
 def sequence_xml_video(spark, sf_dir):

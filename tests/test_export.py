@@ -9,6 +9,7 @@ from activity_timeline import Params, export
 from activity_timeline.functions import numbers, paths
 from activity_timeline.operators import clips, timelines
 from activity_timeline.operators.segments import number_segments
+from activity_timeline.operators.slices import BLOCK
 from activity_timeline.schemas import CAMERAS, SEGMENTS, TRACKS
 
 A, B, S, X = "speaker_a", "speaker_b", "silence", "both"
@@ -152,6 +153,23 @@ def test_audio_needs_both_microphones(spark, parts):
     assert [c.get("id") for c in audio.iter("clipitem")] == ["clipitem-a0", "clipitem-a1"]
 
 
+def test_one_pass_and_joins_give_the_same_pieces(spark, parts):
+    """Also for events and segments without a head, tracks beyond two, and null labels."""
+    made, cameras, mics = parts
+    line = made()
+    line = line._replace(
+        events=line.events.unionByName(line.events.limit(1).selectExpr(
+            "session_id", "9000L AS place", "time_s", "target_db", "7 AS track_index")),
+        segments=line.segments.unionByName(line.segments.limit(1).selectExpr(
+            "77L AS session_id", *line.segments.columns[1:])))
+    for tracks in (mics, None, mics.limit(0)):
+        once, joined = ({tuple(r) for r in export(line, cameras, tracks, block=block)
+                         .select("session_id", "section", "place", "text").collect()}
+                        for block in (None, BLOCK))
+        assert once == joined and len(once) > 15
+    assert {r[0] for r in once} == {1, 2, 3}
+
+
 def test_places_of_pieces_are_unique(parts):
     made, cameras, mics = parts
     keys = export(made(), cameras, mics).select("session_id", "section", "place")
@@ -180,5 +198,7 @@ def test_negative_cameras_are_refused(spark, parts):
     _, cameras, _ = parts
     segs = number_segments(spark.createDataFrame([(1, 0, 0.0, 1.0, -1, A, None)], SEGMENTS))
     seconds = spark.createDataFrame([(1, 1.0)], "session_id long, total_duration_s double")
+    with pytest.raises(Exception, match="negative camera"):
+        export(timelines.assemble(segs, seconds, DUCK), cameras).collect()
     with pytest.raises(Exception, match="negative camera"):
         clips.video_clips(timelines.assemble(segs, seconds, DUCK), cameras).collect()

@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from activity_timeline import Params
+from activity_timeline import Params, export
 from activity_timeline.operators.segments import segment_states
 from activity_timeline.operators.signal import session_duration
+from activity_timeline.operators.timelines import Timelines
 from activity_timeline.plans import analyze as chain
 from activity_timeline.sources.tables import samples_from
 
@@ -89,3 +90,27 @@ def test_segment_chain_sorts_once(spark):
     states = spark.createDataFrame([], "session_id long, frame long, speaker_state string")
     text = plan(segment_states(states.repartition("session_id"), Params()))
     assert len(re.findall(r"\bSort \[", text)) <= 2
+
+
+def test_export_reads_each_relation_once_and_shuffles_once(spark, tmp_path):
+    """No job runs while the plan is made."""
+    made = {
+        "heads": "id AS session_id, 60.0D AS total_duration_s, 30.0D AS fps",
+        "segments": "id AS session_id, 0L AS seg_idx, 0.0D AS start_s, 60.0D AS end_s,"
+                    " 0 AS camera_index, 'both' AS speaker_state, 'x' AS speaker_label",
+        "events": "id AS session_id, 0L AS place, 0.0D AS time_s, -3.0D AS target_db,"
+                  " 0 AS track_index",
+        "cameras": "id AS session_id, 0 AS camera_index, '/c.mp4' AS path",
+        "tracks": "id div 2 AS session_id, cast(id % 2 AS int) AS track, '/m.wav' AS path"}
+    for name, columns in made.items():
+        spark.range(40).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}")
+    read = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in made}
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    df = export(Timelines(read["heads"], read["segments"], read["events"]),
+                read["cameras"], read["tracks"])
+    assert len(tracker.getJobIdsForGroup()) == before
+    text = plan(df)
+    assert text.count("FileScan") == 5
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+    assert df.count() == 20 * 13 + 20 * 4
