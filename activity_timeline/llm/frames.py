@@ -30,12 +30,12 @@ def similar_sizes(a: Column, b: Column, percent: int) -> Column:
 def wide_frames(many: DataFrame, percent: int) -> DataFrame:
     """cls, frame, home, size: frames of the keys with many classes, joined where they overlap.
 
+    many: cls, n, frame, and the lead (first class) of a key that the class has.
+
     Linked sets differ in size by a factor of 100 / percent at most. A class goes to the
     frames of its own range of sizes and of the next one, so a link is inside one of them.
     """
-    leads = many.groupBy("key").agg(F.min("cls").alias("lead"))
-    joined = components(many.join(leads, "key").select(F.col("cls").alias("a"),
-                                                       F.col("lead").alias("b")), "wide")
+    joined = components(many.select(F.col("cls").alias("a"), F.col("lead").alias("b")), "wide")
     step = float(np.log(100 / percent)) or 1.0
     range_ = F.floor(F.log("n") / step).cast("int")
     dealt = (many.select("cls", "n", F.col("frame").alias("home")).distinct()

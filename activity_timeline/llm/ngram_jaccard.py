@@ -223,13 +223,13 @@ def frames_of(shared: DataFrame) -> DataFrame:
 
 def cross_pairs(shared: DataFrame, framed: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
     """Pairs a, b of classes from different frames that share as many n-grams as asked; and
-    cls, n, key, frame of the n-grams that would make too many of them.
+    cls, n, lead, frame of the n-grams that would make too many of them.
 
     The frame that holds most of a token's classes is not joined with itself. Tokens that one
     frame only holds are left out. Those with more than FEW classes outside their largest
     frame make no pairs: their classes meet in a wide frame.
     """
-    rows = shared.drop("lead", "length").join(framed, "cls")
+    rows = shared.drop("length").join(framed, "cls")
     tokens = (rows.groupBy("token", "frame").count().groupBy("token")
               .agg(F.sum("count").alias("classes"), F.max(F.struct("count", "frame")).alias("top"))
               .select("token", F.col("top.frame").alias("large"),
@@ -247,7 +247,7 @@ def cross_pairs(shared: DataFrame, framed: DataFrame, like: Similarity) -> tuple
     pairs = (found.groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
              .agg(F.count("*").alias("matches"), F.first(asked).alias("asked"))
              .where("matches >= asked").select("a", "b"))
-    many = mixed.where(F.col("others") > FEW).select("cls", "n", F.col("token").alias("key"), "frame")
+    many = mixed.where(F.col("others") > FEW).select("cls", "n", "lead", "frame")
     return pairs, many
 
 

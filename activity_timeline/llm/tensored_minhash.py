@@ -114,9 +114,9 @@ def first_frames(shared: DataFrame) -> DataFrame:
 
 
 def between_frames(rows: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
-    """Pairs a, b of classes from different frames; and cls, key of keys with too many of them.
+    """Pairs a, b of classes from different frames; and the rows of keys with too many of them.
 
-    rows: cls, n, key, frame.
+    rows: cls, n, key, lead, frame.
     """
     by_frame = rows.groupBy("key", "frame").count()
     keys = (by_frame.groupBy("key")
@@ -133,7 +133,7 @@ def between_frames(rows: DataFrame, like: Similarity) -> tuple[DataFrame, DataFr
         & similar_sizes(F.col("l.n"), F.col("r.n"), like.percent))
     pairs = (found.groupBy(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b"))
              .agg(F.count("*").alias("tables")).where(F.col("tables") >= MATCHES).select("a", "b"))
-    return pairs, mixed.where(F.col("others") > FEW).select("cls", "n", "key", "frame")
+    return pairs, mixed.where(F.col("others") > FEW).select("cls", "n", "lead", "frame")
 
 
 def linked(docs: DataFrame, like: Similarity) -> DataFrame:
@@ -150,7 +150,7 @@ def linked(docs: DataFrame, like: Similarity) -> DataFrame:
     shared = stored(keys.join(leads, "key"), "shared")
     framed = stored(shared.select("cls").distinct().join(first_frames(shared), "cls", "left")
                     .select("cls", F.coalesce("frame", "cls").alias("frame")), "frames")
-    rows = shared.select("cls", "n", "key").join(framed, "cls")
+    rows = shared.join(framed, "cls")
     pairs, many = between_frames(rows, like)
     pairs = stored(pairs, "pairs")
     first = framed.join(framed.groupBy("frame").agg(F.count("*").alias("size"))
