@@ -1,8 +1,9 @@
 """Samples to frames: windowed level in dB, smoothed level, frame table.
 
 Frame i covers samples [i*hop, i*hop+window). Samples are first added up in
-panes of gcd(window, hop) samples; a frame is the sum of a few neighbouring
-panes. In the paired layout the two tracks of a session are columns of one row
+panes: a hop is one pane if the window holds whole hops, else it is cut in two
+where the window ends inside it. A frame is the sum of neighbouring panes, and
+a second of sound is two panes per hop at most, whatever the two sizes are. In the paired layout the two tracks of a session are columns of one row
 (names end in _0 and _1), which also pads the shorter track with silence.
 """
 
@@ -17,17 +18,25 @@ from activity_timeline.functions.numbers import level_db, whole
 from activity_timeline.params import Params, smoothing_span
 from activity_timeline.schemas import SESSION, TRACK_KEYS
 
-# From this size on a pane is worth adding up before the shuffle.
+# From this mean size on panes are worth adding up before the shuffle.
 PREAGGREGATE_PANE = 4
 
 
+def pane_number(params: Params) -> Column:
+    """The pane that a sample falls into."""
+    hop, part, idx = params.grid.hop, params.grid.part, F.col("idx")
+    if hop == 1:
+        return idx
+    number = whole(idx, hop)
+    return number * 2 + (idx % hop >= part).cast("int") if part else number
+
+
 def pane_energy(samples: DataFrame, params: Params) -> DataFrame:
     """Energy per track and pane: session_id, track, pane, n, energy."""
-    g = params.grid.pane
-    if g == 1:
+    if params.grid.hop == 1:
         return samples.select(*TRACK_KEYS, F.col("idx").alias("pane"), F.lit(1).alias("n"),
                               (F.col("x") * F.col("x")).alias("energy"))
-    return samples.groupBy(*TRACK_KEYS, whole(F.col("idx"), g).alias("pane")).agg(
+    return samples.groupBy(*TRACK_KEYS, pane_number(params).alias("pane")).agg(
         F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("energy"))
 
 
@@ -43,10 +52,9 @@ def paired_energy(samples: DataFrame, params: Params, block: int | None = None)
     Small panes would not shrink the data much, so their samples go straight
     to the session or slice where the frames are made.
     """
-    g = params.grid.pane
-    samples = samples.withColumn("pane", whole(F.col("idx"), g) if g > 1 else F.col("idx"))
+    samples = samples.withColumn("pane", pane_number(params))
     keys = [SESSION, "pane"]
-    if g < PREAGGREGATE_PANE:
+    if ordered_rows(params) == 1:
         if block is None:
             samples = samples.repartition(SESSION)
         else:
@@ -66,7 +74,7 @@ def paired_energy(samples: DataFrame, params: Params, block: int | None = None)
 
 def ordered_rows(params: Params) -> int:
     """Samples for each row that the task of a session puts in order."""
-    pane = params.grid.pane
+    pane = params.grid.hop // params.grid.panes_per_hop
     return pane if pane >= PREAGGREGATE_PANE else 1
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cache
 from pathlib import Path
 
@@ -26,12 +27,16 @@ from activity_timeline.sources import documents, tables, wav
 EVENT_PARAMS = Params(sample_rate=100, smoothing_ms=50.0, speech_threshold_db=-18.0,
                       release_threshold_db=-20.0, hangover_ms=20.0, debounce_ms=20.0,
                       min_segment_ms=40.0)
+# the same sizes, release above speech
+CROSSED_PARAMS = replace(EVENT_PARAMS, speech_threshold_db=-20.0, release_threshold_db=-16.0)
 # the same sizes, thresholds for l_extendedprice / 105000
 LINE_PARAMS = Params(sample_rate=100, smoothing_ms=50.0, speech_threshold_db=-4.0,
                      release_threshold_db=-5.0, hangover_ms=20.0, debounce_ms=20.0,
                      min_segment_ms=40.0)
 # window 30, hop 20: panes of 10 samples, two panes per hop
 PANE_PARAMS = Params(sample_rate=1000, hop_ms=20.0)
+# window 661, hop 220: no common divisor
+UNEVEN_PARAMS = Params(sample_rate=22_050)
 TURN_PARAMS = Params(sample_rate=15, hop_ms=100.0, window_ms=100.0, debounce_ms=10_000.0,
                      min_segment_ms=20_000.0, ducking_enabled=True)
 HOT_SLICE = 852
@@ -133,6 +138,13 @@ def speaker_states(spark, sf_dir):
     return _event_states(spark, sf_dir)[0]
 
 
+def activity_flag_crossed(spark, sf_dir):
+    """Flags when the release threshold lies above the speech threshold."""
+    made, block = _event_frames(spark, sf_dir)
+    flags = activity_flags(made, TRACK_KEYS, [""], CROSSED_PARAMS, block)
+    return frames.own_frames(flags, block).select(*TRACK_KEYS, "frame", "is_active")
+
+
 def joint_states(spark, sf_dir):
     """States when the shorter track is padded with silence."""
     samples, block = _event_samples(spark, sf_dir)
@@ -313,6 +325,17 @@ def frame_rms_panes(spark, sf_dir):
     return _six(frames.own_frames(levels, block).select(*TRACK_KEYS, "frame", "rms_db"), "rms_db")
 
 
+def frame_rms_uneven(spark, sf_dir):
+    """All lines as three recordings at 22,050 Hz, from two panes per hop."""
+    lines = _table(spark, sf_dir, "lineitem").withColumn("recording", F.col("l_suppkey") % 3)
+    block = choose_block(lines, ["recording"])
+    samples = _line_samples(lines, F.col("recording"), block)
+    block = frames.frame_block(UNEVEN_PARAMS, block)
+    levels = frames.frame_levels(frames.pane_energy(samples, UNEVEN_PARAMS), TRACK_KEYS,
+                                 {"energy": "rms_db"}, UNEVEN_PARAMS, block)
+    return _six(frames.own_frames(levels, block).select(*TRACK_KEYS, "frame", "rms_db"), "rms_db")
+
+
 def segments_lineitem(spark, sf_dir):
     samples, block = _suppliers(spark, sf_dir)
     found = chain.segments(samples, LINE_PARAMS, block)
@@ -571,7 +594,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
         track_index, array_samples, chunked_samples, wav_samples, wav_ingest, mono_mixdown,
         mono_mixdown_rows, resample_linear, resample_up, align_pad, session_duration,
-        frame_rms, frame_rms_panes, ema_envelope, frame_table, frame_dataset, activity_flag,
+        frame_rms, frame_rms_panes, frame_rms_uneven, ema_envelope, frame_table, frame_dataset,
+        activity_flag, activity_flag_crossed,
         speaker_states, joint_states, runs, debounced, min_length, merged, merge_runs,
         event_segments, turn_segments, segment_durations, camera_plan, gain_events,
         timeline_counts, frame_numbers, rate_class, start_timecode, file_uris, video_clips,

@@ -6,8 +6,8 @@ recursive smoothing and state machines, islands by running counts.
 
 from __future__ import annotations
 
-from catalog import (EVENT_PARAMS, FPS, LINE_ORDER, LINE_PARAMS, PANE_PARAMS, RATES, TURN_PARAMS,
-                     TURN_STRIDE)
+from catalog import (CROSSED_PARAMS, EVENT_PARAMS, FPS, LINE_ORDER, LINE_PARAMS, PANE_PARAMS,
+                     RATES, TURN_PARAMS, TURN_STRIDE, UNEVEN_PARAMS)
 
 
 def _d(value: float) -> str:
@@ -439,6 +439,10 @@ FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id""",
             [_lines("l_suppkey"),
              _rms("samples", PANE_PARAMS.grid.window, PANE_PARAMS.grid.hop)],
             "SELECT session_id, track, frame, round(rms_db, 6) AS rms_db FROM rms"),
+        "frame_rms_uneven": _with(
+            [_lines("l_suppkey % 3"),
+             _rms("samples", UNEVEN_PARAMS.grid.window, UNEVEN_PARAMS.grid.hop)],
+            "SELECT session_id, track, frame, round(rms_db, 6) AS rms_db FROM rms"),
         "ema_envelope": _with(_FRAMES, "SELECT session_id, track, frame,"
                               " round(env, 6) AS envelope_db FROM ema"),
         "frame_table": _with(_FRAMES, f"""SELECT session_id, track, frame,
@@ -448,6 +452,8 @@ FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id""",
   round(frame * {_d(0.01)}, 6) AS time_s, round(rms_db, 6) AS rms_db,
   round(env, 6) AS envelope_db, false AS is_active FROM ema"""),
         "activity_flag": _with(_FLAGS, "SELECT session_id, track, frame, is_active FROM flags"),
+        "activity_flag_crossed": _with([*_FRAMES, _flags(CROSSED_PARAMS)],
+                                       "SELECT session_id, track, frame, is_active FROM flags"),
         "speaker_states": _with([*_FLAGS, _STATES], "SELECT * FROM states"),
         "joint_states": _with([*_PAD_FLAGS, _STATES], "SELECT * FROM states"),
         "runs": _with(_EVENT_RUNS, _seconds("runs")),

@@ -21,14 +21,16 @@ def ema(levels, kernel):
 def flags(envelope, up, down, hangover):
     out, on, waited = [], False, None
     for level in envelope:
-        if level > up:
-            on, waited = True, None
-        elif on and waited is not None:
+        if not on:
+            on = level > up
+        elif waited is None:
+            waited = 0 if level < down else None
+        elif level > up:
+            waited = None
+        else:
             waited += 1
             on = waited <= hangover
             waited = waited if on else None
-        elif on and level < down:
-            waited = 0
         out.append(on)
     return out
 

@@ -19,7 +19,7 @@ def per_track(df, *names):
     return out
 
 
-@pytest.mark.parametrize("window, hop", [(480, 160), (30, 20), (7, 3), (4, 6), (10, 10), (3, 1),
+@pytest.mark.parametrize("window, hop", [(480, 160), (30, 20), (661, 220), (7, 3), (4, 6), (10, 10), (3, 1),
                                          (1, 1)])
 @pytest.mark.parametrize("sliced", [False, True])
 def test_levels_of_all_complete_windows(spark, window, hop, sliced):
@@ -109,8 +109,11 @@ def test_flags_equal_the_state_machine(spark, kernel_ms, hangover_ms, sliced):
 
 
 @pytest.mark.parametrize("block", [None, 12])
-def test_flags_of_many_random_envelopes(spark, block):
-    p = Params(sample_rate=100, smoothing_ms=10, hangover_ms=30)
+@pytest.mark.parametrize("up, down", [(-28.0, -33.0), (-33.0, -28.0), (-30.0, -30.0)])
+def test_flags_of_many_random_envelopes(spark, block, up, down):
+    """The release threshold may lie below, at or above the speech threshold."""
+    p = Params(sample_rate=100, smoothing_ms=10, hangover_ms=30, speech_threshold_db=up,
+               release_threshold_db=down)
     rnd = np.random.default_rng(8)
     # on, between, at and around both thresholds
     levels = [-60.0, -34.0, -33.0, -32.5, -30.0, -28.0, -27.9, -10.0]
@@ -126,7 +129,23 @@ def test_flags_of_many_random_envelopes(spark, block):
                            .withColumn("slice", F.expr(f"frame div {block} + 1"))))
     got = per_track(activity_flags(df, TRACK_KEYS, [""], p, block), "is_active")
     for i, line in lines.items():
-        assert [a for _, a in got[(i, 0)]] == flags(line, -28.0, -33.0, p.grid.hangover)
+        assert [a for _, a in got[(i, 0)]] == flags(line, up, down, p.grid.hangover)
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_crossed_thresholds_from_samples(spark, sliced):
+    p = Params(sample_rate=100, smoothing_ms=20, hangover_ms=30, speech_threshold_db=-40.0,
+               release_threshold_db=-20.0)
+    tracks = noisy_sessions(5, {(0, 0): 1500, (0, 1): 800, (1, 0): 2, (2, 0): 3})
+    block = frame_block(p, 4) if sliced else None
+    frames = frame_table(pane_energy(as_samples(spark, tracks), p), TRACK_KEYS, {"energy": ""},
+                         p, block)
+    got = per_track(activity_flags(frames, TRACK_KEYS, [""], p, block), "is_active")
+    for key, x in tracks.items():
+        envelope = ema(rms_db(x, p.grid.window, p.grid.hop), p.grid.kernel)
+        want = flags(envelope, -40.0, -20.0, p.grid.hangover)
+        assert [a for _, a in got.get(key, [])] == want
+    assert {a for line in got.values() for _, a in line} == {True, False}
 
 
 def test_equality_with_a_threshold_switches_nothing(spark):

@@ -22,7 +22,7 @@ def test_build_ignores_none_and_unknown():
 
 
 @pytest.mark.parametrize("bad", [dict(hop_ms=0.0), dict(window_ms=0.01), dict(default_camera=-1),
-                                 dict(release_threshold_db=-20.0)])
+                                 dict(both_speaking_camera=-1)])
 def test_impossible_settings_are_refused(bad):
     with pytest.raises(ValueError):
         Params(**bad)
@@ -30,4 +30,12 @@ def test_impossible_settings_are_refused(bad):
 
 def test_the_slicing_limit_is_in_rows_that_are_put_in_order():
     assert ordered_rows(Params()) == 160          # panes of 160 samples
-    assert ordered_rows(Params(sample_rate=22050)) == 1   # 661 and 220: samples by themselves
+    assert ordered_rows(Params(sample_rate=22050)) == 110  # 661 and 220: panes of 1 and 219
+    assert ordered_rows(Params(sample_rate=100)) == 1      # 3 and 1: samples by themselves
+
+
+@pytest.mark.parametrize("window, hop, panes", [(480, 160, (0, 1, 3)), (661, 220, (1, 2, 7)),
+                                                (30, 20, (10, 2, 3)), (4, 6, (4, 2, 1))])
+def test_a_hop_is_two_panes_at_most(window, hop, panes):
+    grid = Params(sample_rate=1000, window_ms=window, hop_ms=hop).grid
+    assert (grid.part, grid.panes_per_hop, grid.panes_per_window) == panes

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from activity_timeline import Params, export
+from activity_timeline.operators.frames import pane_energy
 from activity_timeline.operators.segments import segment_states
 from activity_timeline.operators.signal import session_duration
 from activity_timeline.operators.timelines import Timelines
@@ -52,6 +53,15 @@ def test_stored_samples_are_added_up_before_the_shuffle(stored):
     assert "partial_sum" in below and "unused" not in below
 
 
+def test_uneven_sizes_shuffle_two_rows_per_hop(stored):
+    """661 and 220 samples at 22,050 Hz have no common divisor."""
+    p = Params(sample_rate=22050)
+    assert pane_energy(stored, p).count() == 2 * 2 * (300_000 // 220) + 2 * 2
+    text = plan(chain.paired_frames(stored, p, None))
+    below = text[text.rindex("Exchange hashpartitioning"):]
+    assert "partial_sum" in below and "REPARTITION" not in text
+
+
 def test_slices_share_one_shuffle_of_the_frames(stored):
     text = final(chain.paired_frames(stored, Params(), 900))
     assert text.count("ReusedExchange") == 1
