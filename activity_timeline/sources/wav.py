@@ -1,8 +1,10 @@
 """Uncompressed WAV files as array rows.
 
-Files are listed by Spark and cut into byte pieces, so that a long recording
-is read by many tasks. Each piece seeks to its place, decodes it, and mixes
-the channels down; no task holds more than one piece.
+Files are listed by Spark, their headers are read once, and their data is cut
+into byte pieces, so that a long recording is read by many tasks. Each piece
+brings the layout of its file, seeks to its place, decodes it, and mixes the
+channels down; no task holds more than one piece. Files over 4 GB (RF64 with
+64-bit sizes) are read like others.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import whole
+from activity_timeline.operators.slices import explode_range
 from activity_timeline.schemas import TRACK_KEYS
 
 PIECE_BYTES = 4 << 20
@@ -26,8 +29,12 @@ _ARROW = pa.schema([
     ("path", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()),
     ("first", pa.int64()), ("values", pa.list_(pa.float64()))])
 
-# Fixed values of the file format: codes for whole numbers, floats, extended headers.
+# Fixed values of the file format: codes for whole numbers, floats, extended headers, and the
+# size that stands where the 64-bit table has the real one.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+IN_TABLE = 0xFFFFFFFF
+LAYOUT = ["code", "channels", "rate", "bits", "start", "size"]
+HEADER = "path string, " + ", ".join(f"{name} bigint" for name in LAYOUT)
 
 
 def locate(path: str) -> tuple[fs.FileSystem, str]:
@@ -42,13 +49,19 @@ def _layout(file) -> tuple[int, int, int, int, int, int]:
     """(code, channels, rate, bits, start of data, bytes of data)."""
     total = file.size()
     head = file.read(12)
-    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+    if head[:4] not in (b"RIFF", b"RF64") or head[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, form = 12, None
+    at, form, wide = 12, None, {}
     while at + 8 <= total:
         file.seek(at)
         name, size = struct.unpack("<4sI", file.read(8))
-        if name == b"fmt ":
+        if size == IN_TABLE:
+            size = wide.get(name, size)
+        if name == b"ds64":
+            _, data, _, others = struct.unpack("<QQQI", file.read(28))
+            wide = dict(struct.unpack("<4sQ", file.read(12)) for _ in range(others))
+            wide[b"data"] = data
+        elif name == b"fmt ":
             body = file.read(size)
             code, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
             if code == EXTENSIBLE:
@@ -77,20 +90,32 @@ def _decode(raw: bytes, code: int, bits: int) -> np.ndarray:
     return np.frombuffer(raw, f"<i{bits // 8}").astype("f8") / float(1 << (bits - 1))
 
 
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch["path"].to_pylist():
+            system, name = locate(path)
+            with system.open_input_file(name) as file:
+                found.append(_layout(file))
+        columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(LAYOUT))]
+        yield pa.record_batch([batch["path"], *columns], names=["path", *LAYOUT])
+
+
 def _reader(piece_bytes: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, piece in zip(batch["path"].to_pylist(), batch["piece"].to_pylist()):
+            for row in batch.to_pylist():
+                path, piece = row["path"], row["piece"]
+                code, channels, rate, bits, start, size = (row[name] for name in LAYOUT)
+                width = channels * bits // 8
+                # a frame belongs to the piece that holds its first byte
+                first = -(-piece * piece_bytes // width)
+                last = min(-(-(piece + 1) * piece_bytes // width), size // width)
+                count = last - first
+                if count <= 0:
+                    continue
                 system, name = locate(path)
                 with system.open_input_file(name) as file:
-                    code, channels, rate, bits, start, size = _layout(file)
-                    width = channels * bits // 8
-                    # a frame belongs to the piece that holds its first byte
-                    first = -(-piece * piece_bytes // width)
-                    last = min(-(-(piece + 1) * piece_bytes // width), size // width)
-                    count = last - first
-                    if count <= 0:
-                        continue
                     file.seek(start + first * width)
                     raw = file.read(count * width)
                 mono = _decode(raw, code, bits).reshape(-1, channels).mean(axis=1)
@@ -106,10 +131,11 @@ def _reader(piece_bytes: int):
 def read_wav(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """path, sample_rate, channels, first, values: pieces of mono samples from sample `first`."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]")
-             .option("recursiveFileLookup", "true").load(path).select("path", "length"))
-    last = whole(F.greatest(F.col("length") - 1, F.lit(0)), piece_bytes)
-    pieces = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
-                          .alias("piece")).repartition("path", "piece")
+             .option("recursiveFileLookup", "true").load(path).select("path"))
+    headers = files.repartition("path").mapInArrow(_headers, HEADER)
+    last = whole(F.greatest(F.col("size") - 1, F.lit(0)), piece_bytes)
+    pieces = (explode_range(headers, F.lit(0).cast("bigint"), last, "piece")
+              .repartition("path", "piece"))
     return pieces.mapInArrow(_reader(piece_bytes), PIECES)
 
 

@@ -1,6 +1,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,47 @@ def test_every_format_is_read_piece_by_piece(spark, tmp_path):
     assert {(r.sample_rate,) for r in pieces.select("sample_rate").collect()} == {(8000,)}
 
 
+def wide_head(code, bits, channels, data_bytes):
+    """The head of a file with 64-bit sizes, and a chunk whose size is in the table."""
+    width = channels * bits // 8
+    fmt = struct.pack("<HHIIHH", code, channels, 8000, 8000 * width, width, bits)
+    table = struct.pack("<QQQI", 0, data_bytes, 0, 1) + struct.pack("<4sQ", b"note", 6)
+    return (b"RF64" + struct.pack("<I", wav.IN_TABLE) + b"WAVE"
+            + b"ds64" + struct.pack("<I", len(table)) + table
+            + b"note" + struct.pack("<I", wav.IN_TABLE) + b"abcdef"
+            + b"fmt " + struct.pack("<I", len(fmt)) + fmt
+            + b"data" + struct.pack("<I", wav.IN_TABLE))
+
+
+def test_wide_sizes_hold_the_same_samples(spark, tmp_path):
+    raw = np.random.default_rng(2).integers(-32768, 32767, 2 * 401).astype("<i2").tobytes()
+    for name in "ab":
+        (tmp_path / name).mkdir()
+    write(tmp_path / "a" / "1.wav", wav.PCM, 16, 2, raw)
+    # what follows the data is not part of it
+    (tmp_path / "b" / "1.wav").write_bytes(wide_head(wav.PCM, 16, 2, len(raw)) + raw + b"LIST\0\0")
+    plain, wide = ([(r["first"], r["values"]) for r in wav.read_wav(
+        spark, str(tmp_path / name), piece_bytes=300).orderBy("first").collect()] for name in "ab")
+    assert plain == wide and sum(len(v) for _, v in wide) == 401
+
+
+def test_header_of_five_gigabytes(tmp_path):
+    """A sparse file: only its head takes room on the disk."""
+    size, head = 5 << 30, wide_head(wav.PCM, 16, 1, 5 << 30)
+    with open(tmp_path / "5.wav", "wb") as out:
+        out.write(head)
+        out.truncate(len(head) + size)
+    system, name = wav.locate(str(tmp_path / "5.wav"))
+    with system.open_input_file(name) as file:
+        assert wav._layout(file) == (wav.PCM, 1, 8000, 16, len(head), size)
+    # a piece beyond 4 GB, from its layout alone
+    row = dict(zip(wav.LAYOUT, (wav.PCM, 1, 8000, 16, len(head), size)))
+    batch = pa.RecordBatch.from_pylist([{"path": str(tmp_path / "5.wav"), "piece": 5000, **row}])
+    (made,) = wav._reader(1 << 20)(iter([batch]))
+    assert made["first"].to_pylist() == [5000 << 19]
+    assert len(made["values"][0]) == 1 << 19 and not any(made["values"][0].values.to_numpy())
+
+
 def test_names_with_blanks_and_signs(spark, tmp_path):
     folder = tmp_path / "a b"
     folder.mkdir()
