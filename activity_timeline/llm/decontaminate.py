@@ -16,7 +16,9 @@ breaks as starts, without names, and with the first word of a window read the
 other way. Windows with fewer than four plain words say too little as templates;
 they match only as they are. An item is found by six windows, or half of all its
 windows, or half of those that are templates. Items of fewer tokens than a window
-are compared as a whole.
+are compared as a whole. Items of fewer than LEAST_TOKENS tokens ("yes", "Paris")
+say too little to blame a document that holds them: they match nothing, and
+`short_items` lists them.
 
 Only document windows whose hash is in a bitmap of the benchmark's hashes (of
 fixed size) are passed on to the join. Null and empty texts match nothing. Rows
@@ -41,6 +43,7 @@ from activity_timeline.llm.words import MIX, slices, token_hash, window_hashes,
 WINDOW = 8
 PLAIN = 4            # plain words that a window needs
 RUN = 6              # windows in a row (13 tokens) that are enough in a long item
+LEAST_TOKENS = 5     # tokens of the shortest item that is looked for
 BITS = 1 << 23       # size of the bitmap of benchmark hashes
 KNOWN_WORDS = 250_000  # words whose canonical form a worker remembers
 
@@ -233,6 +236,21 @@ class Tokens:
 MATCHES = "h bigint, at int, slots array<string>"
 
 
+def _item_sizes(batches):
+    words = Words()
+    for batch in batches:
+        sizes = [len(Tokens(words, [text]).codes) for text in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("item_id"), pa.array(sizes, pa.int64())],
+                              names=["item_id", "n_tokens"])
+
+
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, n_tokens of the items that are too short to be looked for (null: no tokens)."""
+    texts = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    return (in_tasks(texts, _item_sizes, "item_id bigint, n_tokens bigint")
+            .where(F.col("n_tokens") < LEAST_TOKENS))
+
+
 def _item_windows(batches):
     words = Words()
     for batch in batches:
@@ -240,7 +258,7 @@ def _item_windows(batches):
         for item, text in zip(batch.column("item_id").to_pylist(),
                               batch.column("text").to_pylist()):
             tokens = Tokens(words, [text])
-            if not len(tokens.codes):
+            if len(tokens.codes) < LEAST_TOKENS:
                 continue
             size = min(WINDOW, len(tokens.codes))
             found = {(int(x), s, True, size): [] for x, s in zip(

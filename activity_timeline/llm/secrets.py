@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -107,15 +109,19 @@ def novelty(text: str, start: int, end: int, names: bytes) -> float:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], names: bytes):
     """start, 3, end of the candidates that nothing around them explains."""
-    found, done = [], -1
+    found, done, line_end = [], -1, -1
+    starts = [start for start, _, _ in base]
+    ends = list(accumulate((end for _, _, end in base), max))  # of all spans up to one
     for word in SENSITIVE.finditer(text):
-        line_end = text.find("\n", word.end())
-        line_end = len(text) if line_end < 0 else line_end
+        if line_end < word.end():
+            line_end = text.find("\n", word.end())
+            line_end = len(text) if line_end < 0 else line_end
         at = max(word.end(), done)
         reach = min(line_end, word.end() + REACH + SHORTEST)  # the start is bounded, not the end
         while m := CANDIDATE.search(text, at, reach):
             start, end = CANDIDATE.match(text, m.start()).span()
-            known = any(b <= start and end <= e for b, _, e in base)
+            before = bisect_right(starts, start)
+            known = before > 0 and end <= ends[before - 1]
             if not known and novelty(text, start, end, names) >= NOVELTY:
                 found.append((start, 3, end))
             at = done = end

@@ -6,6 +6,10 @@ version: a shard keeps its largest slots as long as they fit the mean, the
 others go, largest first, to the shard with the fewest bytes. Adding a shard is
 the same edit with one more, empty, shard. Records never move between slots.
 
+A map is kept: a later session opens it by its path and edits its newest whole
+version. A version without the success marker of Spark's file committer does not
+count and is written anew.
+
 The map has `slots` rows whatever the corpus holds, so it is broadcast, and one
 fold over it (an SQL aggregate over an array of that length) deals out the
 released slots.
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from activity_timeline.llm.common import stored, text_or_empty
+from activity_timeline.llm.common import matching, stored, text_or_empty
 
 SLOTS = 4096
 
@@ -44,14 +48,33 @@ class SlotMap:
     """Versions of the slot-to-shard map below `path`: version, virtual_slot, shard."""
 
     def __init__(self, spark: SparkSession, path: str, shards: int, slots: int = SLOTS):
-        """Begin a map with slots dealt out in turn (version 0)."""
+        """Begin a map with slots dealt out in turn (version 0); `open` takes up one that exists."""
+        if self._versions(spark, path):
+            raise ValueError(f"{path} holds a slot map; open it")
         self.spark, self.path, self.slots, self.version = spark, path, slots, 0
         self._write(spark.range(slots).select(
             F.col("id").cast("int").alias("virtual_slot"),
             (F.col("id") % shards).cast("int").alias("shard")))
 
+    @staticmethod
+    def _versions(spark: SparkSession, path: str) -> list[int]:
+        return sorted(int(mark.rsplit("/", 2)[-2].removeprefix("version="))
+                      for mark in matching(spark, f"{path}/version=*/_SUCCESS"))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SlotMap:
+        """The map that another job left below `path`, at its newest version."""
+        versions = cls._versions(spark, path)
+        if not versions:
+            raise ValueError(f"{path} holds no slot map")
+        found = cls.__new__(cls)
+        found.spark, found.path, found.version = spark, path, versions[-1]
+        found.slots = found.read().count()
+        return found
+
     def _write(self, rows: DataFrame) -> None:
-        rows.coalesce(1).write.parquet(f"{self.path}/version={self.version}")
+        # what stands there already is a version that was never finished
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={self.version}")
 
     def read(self, version: int | None = None) -> DataFrame:
         version = self.version if version is None else version

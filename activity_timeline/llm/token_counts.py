@@ -4,23 +4,27 @@ A change row inserts a document, deletes it, or revises its count; it carries
 the sign of what it adds. Changes of a batch are summed per source, language
 and version, and the sums are written as one commit of that batch. A batch that
 is committed already is not taken again, and a half-written one (without its
-success marker) is overwritten, so a batch may be delivered any number of
-times. Totals are the sums of all commits, which
-have a row per group each, whatever the batch held.
+success marker, which Spark's file committer writes last) does not count and is
+overwritten, so a batch may be delivered any number of times. Totals are the
+sums of all commits, which have a row per group each, whatever the batch held.
+Names of batches are made of letters, digits, `_`, `-` and `.`.
 
 Sums do not depend on the order of rows or batches. Null texts count as empty.
 Null sources and languages are groups of their own. Rows without doc_id and
-repeated rows count like any rows. An empty batch is a commit of no rows.
+repeated rows count like any rows. An empty batch is a commit of no rows. A
+rollup without commits has no totals.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from activity_timeline.llm.common import in_tasks, resident
+from activity_timeline.llm.common import in_tasks, matching, resident
 from activity_timeline.llm.words import slices
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -95,12 +99,15 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    def batches(self) -> list[str]:
+        """Names of the batches that are committed."""
+        marks = matching(self.spark, f"{self.path}/batch=*/_SUCCESS")
+        return [mark.rsplit("/", 2)[-2].removeprefix("batch=") for mark in marks]
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
+            raise ValueError(f"no name for a batch: {batch!r}")
+        return bool(matching(self.spark, f"{self.path}/batch={batch}/_SUCCESS"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Take a batch of signed rows; False if it was taken before."""
@@ -112,6 +119,8 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer with documents, tokens and bytes; groups without any are left out."""
-        commits = self.spark.read.schema(COMMIT + ", batch string").parquet(self.path)
+        folders = [f"{self.path}/batch={batch}" for batch in self.batches()]
+        commits = (self.spark.read.schema(COMMIT).parquet(*folders) if folders
+                   else self.spark.createDataFrame([], COMMIT))
         return (commits.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
                 .where("n_docs <> 0 OR n_tokens <> 0 OR n_bytes <> 0"))

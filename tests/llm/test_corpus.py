@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -104,6 +105,40 @@ def test_sharding_rebalance(spark):
     assert moved.where("old <> shard").count() < 512 / 4
 
 
+def test_sharding_map_of_another_session(spark):
+    sizes = spark.range(512).selectExpr("cast(id AS int) AS virtual_slot", "100 + id % 37 AS bytes")
+    path = scratch_path(spark, "map")
+    with pytest.raises(ValueError):
+        sharding.SlotMap.open(spark, path)
+    sharding.SlotMap(spark, path, 4, slots=512).rebalance(sizes, 4)
+    with pytest.raises(ValueError):
+        sharding.SlotMap(spark, path, 4, slots=512)
+    # a version that was never finished
+    spark.range(3).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(
+        f"{path}/version=2")
+    again = sharding.SlotMap.open(spark, path)
+    assert (again.version, again.slots) == (1, 512)
+    assert again.rebalance(sizes, 5) == 2
+    latest = sharding.SlotMap.open(spark, path)
+    assert latest.version == 2
+    assert {r["shard"] for r in latest.read().select("shard").distinct().collect()} == set(range(5))
+    loads = latest.read().join(sizes, "virtual_slot").groupBy("shard").sum("bytes").collect()
+    assert max(r[1] for r in loads) - min(r[1] for r in loads) < 150
+
+
+def test_sharding_bytes_are_near_equal(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = collected(sharding.shard(docs, scratch_path(spark, "map"), 24))
+    loads = Counter()
+    for r in found:
+        loads[r["shard"]] += r["size"]
+    largest = max(r["size"] for r in found)
+    assert sorted(loads) == list(range(24))
+    assert max(loads.values()) - min(loads.values()) <= largest
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 8) for r in docs.collect())
+    assert Counter((r["doc_id"], r["size"]) for r in found) == want
+
+
 def test_line_dedup(docs, empty):
     bitmaps = line_dedup.keep_bitmaps(docs)
     found = [tuple(r) for r in line_dedup.kept_digests(docs, bitmaps).collect()]
@@ -279,6 +314,48 @@ def test_token_counts(spark, docs, empty):
     assert rollup.commit("d", token_counts.inserts(token_counts.estimated(empty), "v0"))
 
 
+def test_token_counts_of_committed_batches(spark, docs):
+    path = scratch_path(spark, "rollup")
+    rollup = token_counts.Rollup(spark, path)
+    assert rollup.totals().count() == 0 and rollup.batches() == []
+    changes = token_counts.inserts(token_counts.estimated(docs), "v0")
+    # a batch whose job was lost before it ended
+    (changes.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+     .parquet(f"{path}/batch=half"))
+    assert not rollup.committed("half") and rollup.totals().count() == 0
+    assert rollup.commit("whole", changes)
+    n = docs.count()
+    assert rollup.totals().groupBy().sum("n_docs").first()[0] == n
+    assert rollup.commit("half", changes) and not rollup.commit("half", changes)
+    assert rollup.batches() == ["half", "whole"]
+    assert rollup.totals().groupBy().sum("n_docs").first()[0] == 2 * n
+    with pytest.raises(ValueError):
+        rollup.commit("a/b", changes)
+
+
+def test_token_counts_equal_the_encoder(spark, sf_dir):
+    import base64
+
+    import tiktoken
+    path = f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    encoder = tiktoken.Encoding("whole", pat_str=token_counts.PATTERN, mergeable_ranks=ranks,
+                                special_tokens={})
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = Counter()
+    for r in documents.collect():
+        key = r["source"], r["lang"]
+        want[key, "n_docs"] += 1
+        want[key, "n_tokens"] += len(encoder.encode_ordinary(r["text"] or ""))
+        want[key, "n_bytes"] += len((r["text"] or "").encode())
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
+    rollup.commit("all", token_counts.inserts(token_counts.counted(documents, path), "v1"))
+    got = {((r["source"], r["lang"]), c): r[c]
+           for r in rollup.totals().collect() for c in token_counts.SUMS}
+    assert got == dict(want)
+
+
 def test_word_hashes():
     from activity_timeline.llm.words import BLOCK, word_hashes
     texts = ["One two\tone", None, "", "x" * 10 + " " * 5, "two" * (BLOCK // 2), "a " * BLOCK, "one"]
@@ -293,6 +370,39 @@ def test_word_hashes():
     assert len(set(names.values())) == len(names)
 
 
+def test_secrets_equal_plain_matching(spark):
+    """Base spans of whole texts, by the patterns of the contract as they are written."""
+    rules = [(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+              lambda m: len(m[2]) >= 8), (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+             (r"[0-9a-f]+", lambda m: len(m[0]) >= 32)]
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(documents).collect()}
+    some = 0
+    for r in documents.collect():
+        spans = []
+        for kind, (pattern, fits) in enumerate(rules):
+            flags = re.IGNORECASE | re.ASCII if kind == 0 else 0
+            spans.append([(m.start(), kind, m.end())
+                          for m in re.compile(pattern, flags).finditer(r["text"] or "") if fits(m)])
+        told = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(sum(spans, [])))
+        row = found[r["doc_id"]]
+        assert [row["n_assign"], row["n_access"], row["n_hex"]] == [len(s) for s in spans]
+        assert row["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert set(filter(None, told.split(","))) <= set(row["spans"].split(","))
+        some += bool(told)
+    assert some and len(found) == documents.count()
+
+
+@pytest.mark.parametrize("end", ["\n", " "])
+def test_secrets_in_a_long_text(end):
+    """A hundred thousand assignments take time in proportion, on lines of their own or on one."""
+    text = "".join(f"token={i:08d}abcdefgh{end}" for i in range(100_000))
+    begun = time.monotonic()
+    base = secrets.base_spans(text)
+    assert len(base) == 100_000 and secrets.novel_spans(text, base, b"") == []
+    assert time.monotonic() - begun < 10
+
+
 def test_secrets_whole_spans():
     rng = np.random.default_rng(21)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))

@@ -29,6 +29,19 @@ def test_items_of_few_plain_words(spark):
                                          (2, 2, "verbatim")}
 
 
+def test_items_of_too_few_words(spark):
+    rng = np.random.default_rng(14)
+    bench = ["yes", "Paris", "The", None, "", "one two three four", "one two three four five"]
+    docs = ["The answer is yes, says Paris.", "one two three four " + prose(rng, 9),
+            prose(rng, 9) + " one two three four five " + prose(rng, 9), None]
+    assert found(spark, docs, bench) == {(2, 6, "verbatim")}
+    b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    short = {r["item_id"]: r["n_tokens"] for r in decontaminate.short_items(b).collect()}
+    assert short == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 4}
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == {0, 1, 3}
+
+
 def test_changes_of_length(spark):
     rng = np.random.default_rng(12)
     a, b = prose(rng, 9), prose(rng, 10)
