@@ -72,6 +72,21 @@ def paired_energy(samples: DataFrame, params: Params, block: int | None = None)
         *[F.coalesce(F.sum(of(t, square)), F.lit(0.0)).alias(f"energy_{t}") for t in (0, 1)])
 
 
+def paired_durations(panes: DataFrame, params: Params, block: int | None = None) -> DataFrame:
+    """Seconds of the longest track of each session, from the panes of paired_energy.
+
+    Positions are dense, so the longer track has the larger count in every pane. Energies
+    are never negative: the condition keeps every pane, and makes this read the columns that
+    the frames read, so that one query over both shuffles the samples once.
+    """
+    if "slice" in panes.columns:
+        size = block * params.grid.panes_per_hop
+        panes = panes.where(whole(F.col("pane"), size) == F.col("slice"))
+    return (panes.where((F.col("energy_0") >= 0) & (F.col("energy_1") >= 0))
+            .groupBy(SESSION).agg((F.sum("n") / F.lit(float(params.sample_rate)))
+                                  .alias("total_duration_s")))
+
+
 def ordered_rows(params: Params) -> int:
     """Samples for each row that the task of a session puts in order."""
     pane = params.grid.hop // params.grid.panes_per_hop

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import whole
+from activity_timeline.operators.segment_slices import clean_in_slices
 from activity_timeline.operators.slices import GROUP_ROWS, choose_block, scan
 from activity_timeline.params import Params
 from activity_timeline.schemas import SEGMENTS, SESSION
@@ -100,6 +101,8 @@ def merge_adjacent(segments: DataFrame, block: int | None = None) -> DataFrame:
 
 
 def _clean(cuts: DataFrame, params: Params, block: int | None) -> DataFrame:
+    if block is not None:
+        return clean_in_slices(cuts, params.grid.debounce_s, params.grid.min_segment_s, block)
     for min_s in (params.grid.debounce_s, params.grid.min_segment_s):
         cuts = _drop_short(cuts, min_s, block)
     return _close(_drop_equal(cuts, block), block, numbered=True)

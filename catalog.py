@@ -369,6 +369,13 @@ def timelines_lineitem(spark, sf_dir):
     return _six(preview(made)[0].drop("header", "footer"), "total_duration_s")
 
 
+def timelines_stored_panes(spark, sf_dir):
+    """The same with the panes written once: heads and segments read nothing else."""
+    samples, block = _suppliers(spark, sf_dir)
+    made = analyze(samples, None, LINE_PARAMS, block=block, store=scratch_path(spark, "panes"))
+    return _six(preview(made)[0].drop("header", "footer"), "total_duration_s")
+
+
 # ---- conversations: turns are segments, 15 characters take a second ----
 
 def _turns(spark: SparkSession, sf_dir: str, table=_table) -> tuple[DataFrame, int | None]:
@@ -602,4 +609,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         file_first_use, audio_clips, keyframes, timeline_json_roundtrip, timeline_files,
         timeline_parts, timeline_event_rows, timeline_summary, segment_report, sequence_xml,
         sequence_xml_video, long_session_json, long_session_xml, segments_lineitem, segments_hot_session, segments_hot_slices,
-        timelines_lineitem)}
+        timelines_lineitem, timelines_stored_panes)}

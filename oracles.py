@@ -469,13 +469,14 @@ FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id""",
             "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END"), _SEG),
         "segments_hot_slices": _with(_line_segments(
             "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END"), _SEG),
-        "timelines_lineitem": _with(_line_segments("l_suppkey"), f"""SELECT session_id,
+        **dict.fromkeys(("timelines_lineitem", "timelines_stored_panes"), _with(
+            _line_segments("l_suppkey"), f"""SELECT session_id,
   round(total_duration_s, 6) AS total_duration_s, {_d(29.97)} AS fps,
   coalesce(n_segments, 0) AS n_segments, CAST(0 AS BIGINT) AS n_ducking_events
 FROM (SELECT session_id, (max(idx) + 1) / {_d(100.0)} AS total_duration_s
       FROM samples GROUP BY session_id)
 LEFT JOIN (SELECT session_id, count(*) AS n_segments FROM numbered GROUP BY session_id)
-USING (session_id)"""),
+USING (session_id)""")),
         "turn_segments": _with(_TURN_SEGMENTS, _seconds("merged")),
         "segment_durations": _with([_TURNS], "SELECT session_id, pos,"
                                    " round(end_s - start_s, 6) AS duration_s FROM turns"),

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from activity_timeline import Params, export
 from activity_timeline.operators.frames import pane_energy
-from activity_timeline.operators.segments import segment_states
+from activity_timeline.operators.segment_slices import clean_in_slices
+from activity_timeline.operators.segments import CUT, segment_states
 from activity_timeline.operators.signal import session_duration
-from activity_timeline.operators.timelines import Timelines
+from activity_timeline.operators.timelines import Timelines, to_document
 from activity_timeline.plans import analyze as chain
 from activity_timeline.sources.tables import samples_from
 
@@ -96,12 +97,47 @@ def test_durations_do_not_number_samples(spark, sf_dir):
     assert "Window" not in plan(session_duration(samples, 100))
 
 
+@pytest.mark.parametrize("rate", [16000, 100])
+def test_timelines_read_the_samples_once(stored, rate):
+    """Heads, segments and events of one query share the shuffle of the panes or samples."""
+    made = chain.analyze(stored, None, Params(sample_rate=rate, ducking_enabled=True), block=None)
+    text = final(to_document(made))
+    assert text.count("FileScan") == 1 and text.count("ReusedExchange") >= 2
+
+
+def test_stored_panes_replace_the_samples(stored, tmp_path):
+    p = Params(ducking_enabled=True)
+    made = chain.analyze(stored, None, p, block=None, store=f"{tmp_path}/panes")
+    for relation in made:
+        files = set(relation.inputFiles())
+        assert files and all("/panes/" in f for f in files)
+
+
 def test_segment_chain_sorts_once(spark):
     states = spark.createDataFrame([], "session_id long, frame long, speaker_state string")
     text = plan(segment_states(states.repartition("session_id"), Params()))
     assert len(re.findall(r"\bSort \[", text)) <= 2
 
 
+def test_cuts_in_slices_are_cleaned_without_a_job(spark, tmp_path):
+    """Nothing is written between the steps; the cuts are shuffled once for both branches."""
+    spark.range(3000).selectExpr(
+        "id % 2 AS session_id", "id div 2 AS pos", "(id div 2) / 10.0D AS start_s",
+        "CASE WHEN id > 1 THEN (id div 2) / 10.0D END AS before_end_s", "150.0D AS last_end_s",
+        "0 AS camera_index", "CASE WHEN rand(1) < 0.5 THEN 'both' ELSE 'silence' END"
+        " AS speaker_state", "'x' AS speaker_label").write.parquet(f"{tmp_path}/cuts")
+    cuts = spark.read.parquet(f"{tmp_path}/cuts").select(*CUT)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    df = clean_in_slices(cuts, 0.05, 0.2, 64)
+    assert len(tracker.getJobIdsForGroup()) == before
+    text = plan(df)
+    assert "Scan ExistingRDD" not in text and "rangepartitioning" not in text
+    # the cuts for either branch and one row per slice; adaptive execution runs the first two once
+    assert len(re.findall(r"Exchange hashpartitioning", text)) <= 4
+    assert df.count() > 1
+
+
 def test_export_reads_each_relation_once_and_shuffles_once(spark, tmp_path):
     """No job runs while the plan is made."""
     made = {

@@ -95,6 +95,25 @@ def test_random_states_equal_the_folds(spark, block):
         s: merge(absorb(runs(v, p.grid.hop_s), p.grid.debounce_s)) for s, v in lists.items()}
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 40, 1000])
+@pytest.mark.parametrize("debounce_ms, min_segment_ms", [(20, 40), (50, 0), (0, 70), (300, 3000)])
+def test_one_pass_over_slices_equals_the_folds(spark, block, debounce_ms, min_segment_ms):
+    """Tails that the next slices decide, slices whose cuts all go, sessions of one cut."""
+    rnd = random.Random(block + debounce_ms)
+    p = Params(debounce_ms=debounce_ms, min_segment_ms=min_segment_ms)
+    lists = {s: [x for _ in range(cuts) for x in [rnd.choice([A, B, S])] * rnd.choice(longs)]
+             for s, (cuts, longs) in enumerate([
+                 (150, [1, 1, 2, 3, 5]), (60, [4, 5, 6, 60]), (1, [3]), (2, [1]),
+                 (90, [1]), (40, [1, 90])])}
+    source = {s: runs(v, p.grid.hop_s) for s, v in lists.items()}
+    got = segments.clean_segments(as_segments(spark, source), p, block)
+    assert listed(got) == {s: clean(v, p) for s, v in source.items()}
+    numbers = {}
+    for r in got.orderBy("session_id", "start_s").collect():
+        numbers.setdefault(r.session_id, []).append(r.seg_idx)
+    assert all(n == list(range(len(n))) for n in numbers.values())
+
+
 @pytest.mark.parametrize("block", [None, 2])
 def test_numbers_are_dense(spark, block):
     source = {1: [(i, i + 1, A) for i in range(7)], 2: [(0, 1, B)]}

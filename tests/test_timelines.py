@@ -2,7 +2,7 @@ import json
 import random
 
 import pytest
-from fixtures import as_samples, bursts
+from fixtures import as_samples, bursts, noisy_sessions
 from pyspark.sql import functions as F
 
 from activity_timeline import Params, analyze, preview
@@ -211,6 +211,23 @@ def test_analyze_from_samples_to_timelines(spark, tracks, block):
     assert made.events.count() == 6
 
 
+@pytest.mark.parametrize("rate, window, hop", [(100, 30, 10), (1000, 30, 10), (1000, 50, 20)])
+@pytest.mark.parametrize("block", [None, 1])
+@pytest.mark.parametrize("stored", [False, True])
+def test_durations_from_panes_equal_counted_samples(spark, tmp_path, rate, window, hop, block,
+                                                    stored):
+    """Also for sessions with one track, and for those too short for a frame."""
+    p = Params(sample_rate=rate, window_ms=window, hop_ms=hop, smoothing_ms=2 * hop)
+    sizes = {(0, 0): 1203, (0, 1): 1100, (1, 1): 431, (2, 0): 1, (3, 0): 5, (3, 1): 9}
+    samples = as_samples(spark, noisy_sessions(rate, sizes))
+    store = f"{tmp_path}/panes" if stored else None
+    made = analyze(samples, None, p, block=block, store=store)
+    assert {(h.session_id, h.total_duration_s) for h in made.heads.collect()} == {
+        (s, max(n for (t, _), n in sizes.items() if t == s) / rate) for s in range(4)}
+    plain = analyze(samples, None, p, block=block)
+    assert sorted(map(tuple, made.segments.collect())) == sorted(map(tuple, plain.segments.collect()))
+
+
 def test_tracks_other_than_two_are_refused(spark):
     samples = as_samples(spark, {(1, 0): [0.1] * 800, (1, 2): [0.1] * 800})
     with pytest.raises(Exception, match="other than 0 and 1"):
