@@ -11,6 +11,9 @@ from activity_timeline.operators.timelines import (
 from activity_timeline.schemas import DOCUMENT, GAIN_EVENT, SEGMENT, SESSION
 
 _KEY = T.StructField(SESSION, T.LongType())
+_LINES = T.StructType([
+    _KEY, T.StructField("place", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("section", T.IntegerType())])
 LAYOUT = {
     "heads": T.StructType([_KEY, DOCUMENT["total_duration_s"], DOCUMENT["fps"]]),
     "segments": T.StructType([_KEY, T.StructField("seg_idx", T.LongType()), *SEGMENT.fields]),
@@ -55,9 +58,19 @@ def read_timelines(spark: SparkSession, path: str) -> Timelines:
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
-    """Documents piece by piece, in order across the files of the dataset."""
-    (lines.repartitionByRange(*LINE_KEYS).sortWithinPartitions(*LINE_KEYS)
-     .write.parquet(path))
+    """Documents piece by piece, a folder per section; inside, in order across the files.
+
+    Rows are dealt by ranges of their keys, so a long session takes several files. A reader
+    of one section (from_document reads three) opens the files of that section alone.
+    """
+    keys = ["section", SESSION, "place"]
+    (lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+     .write.partitionBy("section").parquet(path))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The pieces that write_documents wrote: session_id, section, place, text."""
+    return spark.read.schema(_LINES).parquet(path).select(*LINE_KEYS, "text")
 
 
 def write_document_files(lines: DataFrame, path: str) -> None:

@@ -561,7 +561,7 @@ def long_session_json(spark, sf_dir):
     path = scratch_path(spark, "pieces")
     made = _timelines(spark, sf_dir, _one_conversation)
     documents.write_documents(timelines.to_document(made), path)
-    return _flat(timelines.from_document(spark.read.parquet(path)))
+    return _flat(timelines.from_document(documents.read_documents(spark, path)))
 
 
 def timeline_event_rows(spark, sf_dir):
@@ -594,7 +594,7 @@ def sequence_xml_video(spark, sf_dir):
     path = scratch_path(spark, "xml")
     made = export(_timelines(spark, sf_dir), _cameras(spark, sf_dir), name="A <b> & c")
     documents.write_documents(made, path)
-    return spark.read.parquet(path)
+    return documents.read_documents(spark, path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

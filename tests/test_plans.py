@@ -10,8 +10,10 @@ from activity_timeline.operators.frames import pane_energy
 from activity_timeline.operators.segment_slices import clean_in_slices
 from activity_timeline.operators.segments import CUT, segment_states
 from activity_timeline.operators.signal import session_duration
-from activity_timeline.operators.timelines import Timelines, to_document
+from activity_timeline.operators.timelines import (
+    EVENTS, HEAD, SEGMENTS, Timelines, from_document, to_document)
 from activity_timeline.plans import analyze as chain
+from activity_timeline.sources.documents import read_documents, write_documents
 from activity_timeline.sources.tables import samples_from
 
 
@@ -138,6 +140,30 @@ def test_cuts_in_slices_are_cleaned_without_a_job(spark, tmp_path):
     assert df.count() > 1
 
 
+def test_each_relation_reads_its_own_section(spark, tmp_path):
+    """Only the files of a relation's section are opened; no file holds two sections."""
+    made = Timelines(
+        spark.range(4).selectExpr("id AS session_id", "60.0D AS total_duration_s", "30.0D AS fps"),
+        spark.range(800).selectExpr(
+            "id % 4 AS session_id", "id div 4 AS seg_idx", "0.0D AS start_s", "1.0D AS end_s",
+            "0 AS camera_index", "'both' AS speaker_state", "'x' AS speaker_label"),
+        spark.range(1600).selectExpr("id % 4 AS session_id", "id div 4 AS place", "0.0D AS time_s",
+                                     "-3.0D AS target_db", "0 AS track_index"))
+    path = f"{tmp_path}/pieces"
+    write_documents(to_document(made), path)
+    back = from_document(read_documents(spark, path))
+    for section, got, want in zip((HEAD, SEGMENTS, EVENTS), back, made):
+        columns = sorted(got.columns)
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(
+            map(tuple, want.select(columns).collect()))
+        text = plan(got)
+        assert text.count("FileScan") == 1
+        assert re.search(r"PartitionFilters: \[[^]]*section#\d+ >= %d" % section, text)
+    pruned = read_documents(spark, path).where(f"section between {SEGMENTS} and {SEGMENTS}")
+    assert pruned.select(F.input_file_name().alias("f")).distinct().where(
+        f"f NOT LIKE '%section={SEGMENTS}/%'").count() == 0
+
+
 def test_export_reads_each_relation_once_and_shuffles_once(spark, tmp_path):
     """No job runs while the plan is made."""
     made = {
