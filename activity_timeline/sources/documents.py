@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import groupby
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +14,7 @@ from pyspark.sql import types as T
 from activity_timeline.operators.timelines import (
     LINE_KEYS, Timelines, check_timelines, from_whole_documents)
 from activity_timeline.schemas import DOCUMENT, GAIN_EVENT, SEGMENT, SESSION
+from activity_timeline.sources.wav import locate
 
 _KEY = T.StructField(SESSION, T.LongType())
 _LINES = T.StructType([
@@ -73,14 +79,57 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_LINES).parquet(path).select(*LINE_KEYS, "text")
 
 
-def write_document_files(lines: DataFrame, path: str) -> None:
-    """One text file per session, in a folder session_id=... of its own.
+def write_document_files(lines: DataFrame, path: str, buckets: int = 64) -> None:
+    """One text file per session, in a folder bucket=.../session_id=... of its own.
 
-    A file is written from its start to its end, so the pieces of a session
-    stream through one task; sorting them may spill. No task holds a document.
+    A file is written from its start to its end, so the pieces of a session stream
+    through one task; sorting them may spill. No task holds a document. Sessions are
+    dealt over the buckets, each written by a task and, on reading, listed by a task:
+    with a file per session the files are the work, however few bytes they hold, so
+    none of it may be left to one task or to the driver (Spark's own writer makes the
+    driver move them one by one). A file is written under a hidden name and appears
+    whole, and _SUCCESS follows the last one.
     """
-    (lines.repartition(SESSION).sortWithinPartitions(*LINE_KEYS).select("text", SESSION)
-     .write.partitionBy(SESSION).text(path))
+    system, root = locate(path)
+    if system.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(f"{path} exists")
+    bucket = F.pmod(F.xxhash64(SESSION), F.lit(buckets)).cast("int")
+    placed = (lines.withColumn("bucket", bucket).repartition(buckets, "bucket")
+              .sortWithinPartitions("bucket", *LINE_KEYS).select("bucket", SESSION, "text"))
+    placed.mapInArrow(_file_writer(system, root), "files bigint").agg(F.sum("files")).collect()
+    system.create_dir(root, recursive=True)
+    with system.open_output_stream(f"{root}/_SUCCESS"):
+        pass
+
+
+def _file_writer(system: fs.FileSystem, root: str):
+    """Writes rows in the order of their sessions; a session may go on in the next batch."""
+    def publish(hidden: str, name: str) -> None:
+        if system.get_file_info(name).type == fs.FileType.NotFound:
+            system.move(hidden, name)
+        else:  # by another attempt of this task
+            system.delete_file(hidden)
+
+    def run(batches):
+        current, out, files = None, None, 0
+        for batch in batches:
+            rows = zip(*(column.to_pylist() for column in batch.columns))
+            for key, pieces in groupby(rows, lambda row: row[:2]):
+                if out is None or key != current:
+                    if out is not None:
+                        out.close()
+                        publish(hidden, name)
+                    session = "__HIVE_DEFAULT_PARTITION__" if key[1] is None else key[1]
+                    folder = f"{root}/bucket={key[0]}/session_id={session}"
+                    system.create_dir(folder, recursive=True)
+                    name, hidden = f"{folder}/document.txt", f"{folder}/_{uuid.uuid4().hex}"
+                    out, current, files = system.open_output_stream(hidden), key, files + 1
+                out.write("".join(f"{text or ''}\n" for *_, text in pieces).encode())
+        if out is not None:
+            out.close()
+            publish(hidden, name)
+        yield pa.record_batch([pa.array([files], pa.int64())], names=["files"])
+    return run
 
 
 def write_relation(df: DataFrame, path: str, buckets: int = 64, format: str = "parquet",

@@ -122,6 +122,23 @@ def test_a_session_of_any_length_is_one_document(spark, tmp_path):
     assert same(documents.read_timeline_files(spark, path, number), made)
 
 
+def test_files_of_many_sessions_are_dealt_over_folders(spark, tmp_path):
+    """Neither writing nor listing is left to one task."""
+    made = timelines.assemble(numbered(spark, {n: [A, S] for n in range(400)}),
+                              durations(spark, {n: 2.0 for n in range(400)}), DUCK)
+    path = str(tmp_path / "out")
+    documents.write_document_files(timelines.to_document(made).coalesce(1), path)
+    files = list((tmp_path / "out").rglob("*.txt"))
+    assert {p.parent.name for p in files} == {f"session_id={n}" for n in range(400)}
+    assert len(files) == 400 and len({p.parent.parent for p in files}) > 32
+    assert all(p.parent.parent.parent == tmp_path / "out" for p in files)
+    assert (tmp_path / "out" / "_SUCCESS").exists()
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"session_id=(\d+)", 1)
+    assert same(documents.read_timeline_files(spark, path, number), made)
+    with pytest.raises(Exception, match="exists"):
+        documents.write_document_files(timelines.to_document(made), path)
+
+
 def read(spark, document):
     text = spark.createDataFrame([(5, json.dumps(document))], "session_id long, json string")
     return [relation.collect() for relation in timelines.from_whole_documents(text)]
