@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from activity_timeline.functions.numbers import whole
 
-GROUP_ROWS = 20_000_000   # rows of one group that a single task may order
+GROUP_ROWS = 4_000_000    # rows of one group that a single task may order (some 170 MB shuffled)
 BLOCK = 131_072           # positions per slice
 BROADCAST_ROWS = 100_000  # rows of a dimension that may be broadcast
 RANGE_STEP = 65_536       # numbers that one row may turn into at once

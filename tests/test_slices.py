@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from activity_timeline.operators.slices import (
-    RANGE_STEP, attach, choose_block, explode_range, number_in_order, scan)
+    BLOCK, RANGE_STEP, attach, choose_block, explode_range, number_in_order, scan)
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +77,9 @@ def test_attach_gives_one_answer_on_every_way(spark, limit, hot):
     assert {(r.k, r.i, r.name) for r in got.collect()} == {
         (k, i, {0: "a", 1: "b"}.get(k)) for i, k in enumerate(keys)}
     assert got.count() == len(keys)
+
+
+def test_a_task_orders_no_group_of_six_million_rows(spark):
+    """A row of samples is some 40 bytes when it is shuffled: a group is cut long before 1.5 GB."""
+    df = spark.range(12_000_000).select((F.col("id") % 2).alias("k"))
+    assert choose_block(df, ["k"]) == BLOCK
