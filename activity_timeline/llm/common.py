@@ -7,6 +7,8 @@ import zipfile
 from functools import cache
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from activity_timeline.operators.slices import scratch_path
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1_000
 SPACES = " \t\n\x0b\f\r"
+KEY_BITS = 1 << 24      # bits of the filter of row keys (2 MB)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,3 +85,34 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Key of a row: equal for repeated rows, never null."""
     return F.xxhash64(F.coalesce(F.col(doc_id), F.lit(-1)), F.col(doc_id).isNull(),
                       text_or_empty(text))
+
+
+def _key_bits(keys: DataFrame, n_bits: int) -> np.ndarray:
+    """A bit for each row_key, which is a hash; at most n_bits / 8 numbers reach the driver."""
+    bit = F.col("row_key").bitwiseAND(F.lit(n_bits - 1))
+    cells = (keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).alias("cell"))
+             .agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 AS INT)))").alias("bits")))
+    out = np.zeros(max(1, n_bits // 8), np.uint8)
+    for cell, bits in cells.toLocalIterator():
+        out[cell] = bits
+    return out
+
+
+def without_keys(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `keyed` whose row_key is not in `gone`, which is read twice.
+
+    A bitmap of fixed size clears most rows where they are; the others, those of `gone` and
+    those that share a bit with one, are all that the exact anti-join shuffles.
+    """
+    n_bits = KEY_BITS
+    bits = _key_bits(gone, n_bits)
+
+    @F.pandas_udf("boolean")
+    def listed(keys: pd.Series) -> pd.Series:
+        at = keys.to_numpy().astype(np.int64) & (n_bits - 1)
+        return pd.Series((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0)
+
+    marked = keyed.withColumn("_listed", listed("row_key"))
+    clear = marked.where(~F.col("_listed")).drop("_listed")
+    rest = marked.where("_listed").drop("_listed")
+    return clear.unionByName(rest.join(gone, "row_key", "left_anti"))

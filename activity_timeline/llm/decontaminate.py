@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from activity_timeline.llm.common import in_tasks, resident, row_key, stored
+from activity_timeline.llm.common import in_tasks, resident, row_key, stored, without_keys
 from activity_timeline.llm.words import MIX, slices, token_hash, window_hashes, word_hashes
 
 WINDOW = 8
@@ -390,7 +390,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were."""
-    bad = contaminated(docs, benchmark).select("row_key").distinct()
-    keyed = docs.select(row_key().alias("row_key"), F.struct("*").alias("row"))
-    kept = keyed.join(bad, "row_key", "left_anti")
+    bad = stored(contaminated(docs, benchmark).select("row_key").distinct(), "contaminated")
+    kept = without_keys(docs.select(row_key().alias("row_key"), F.struct("*").alias("row")), bad)
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

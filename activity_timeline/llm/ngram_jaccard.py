@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from activity_timeline.llm.common import in_tasks, row_key, stored
+from activity_timeline.llm.common import in_tasks, row_key, stored, without_keys
 from activity_timeline.llm.components import components
 from activity_timeline.llm.frames import in_frames, similar_sizes, wide_frames
 from activity_timeline.llm.words import mix, slices, window_hashes, word_hashes
@@ -361,9 +361,8 @@ def one_of_each(docs: DataFrame, like: Similarity) -> DataFrame:
     found = stored(found, "linked")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     stays = found.groupBy("root", "bare").agg(F.min(order)["row_key"].alias("row_key"))
-    gone = found.join(stays, "row_key", "left_anti").select("row_key")
-    kept = docs.select(row_key().alias("row_key"), F.struct("*").alias("row")).join(
-        gone, "row_key", "left_anti")
+    gone = stored(found.join(stays, "row_key", "left_anti").select("row_key"), "gone")
+    kept = without_keys(docs.select(row_key().alias("row_key"), F.struct("*").alias("row")), gone)
     twice = found.join(stays, "row_key", "left_semi").where("copies > 1").select("row_key")
     if not twice.isEmpty():
         one = (kept.join(twice, "row_key", "left_semi").groupBy("row_key")
