@@ -314,9 +314,11 @@ def _linked(docs: DataFrame, like: Similarity) -> DataFrame:
         F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"))
 
     tokens = stored(prefixes(docs, like, frequency_cells(surveyed, n_cells)), "prefixes")
-    leads = (tokens.groupBy("token").agg(F.count("*").alias("classes"), F.min("cls").alias("lead"))
-             .where("classes > 1").drop("classes"))
-    shared = stored(tokens.join(leads, "token"), "shared")
+    # counted without the classes: most n-grams are in one prefix only, and lead to nobody
+    often = tokens.groupBy("token").count().where("count > 1").select("token")
+    shared = stored(tokens.join(often, "token"), "often")
+    leads = shared.groupBy("token").agg(F.min("cls").alias("lead"))
+    shared = stored(shared.join(leads, "token"), "shared")
     framed = shared.select("cls").distinct().join(frames_of(shared), "cls", "left").select(
         "cls", F.coalesce("frame", "cls").alias("frame"))
     framed = stored(framed, "frames")
